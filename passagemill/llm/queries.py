@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from passagemill.llm import mixing, packing, quality, url_filter
+from passagemill.llm import fingerprint, language, mixing, packing, pii, quality, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_packing": packing.op4_packing,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_language_id": language.op6_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
 SQL = {
