@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from passagemill.llm import fingerprint, language, mixing, packing, pii, quality, url_filter
+from passagemill.llm import chat, fingerprint, language, mixing, ngram_join, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_packing": packing.op4_packing,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_language_id": language.op6_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
 SQL = {
+    "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
 }
