@@ -126,6 +126,23 @@ def mix_sources(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return both.withColumn("taken", F.when(F.col("size") > 0, F.coalesce(F.col("mixed"), F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("mixed"), pieces
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """docs as often as the mix takes them: whole copies, and where a source's last block ends within a document, its first words. Rows that are alike share equally what the mix takes of them."""
+    like = ["doc_id", "source", "text_hash"]
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
+    mixed, _ = mix_sources(hashed.select("doc_id", "source", "text", "text_hash"), "text_hash")
+    share = mixed.groupBy(*like).agg(F.first("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken")).filter("taken > 0")
+    a, b = hashed.select("mix_row", *like).alias("a"), share.alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in like]
+    copies = F.expr("IF(taken % size > 0, transform(sequence(0, taken div size), i -> IF(i < taken div size, size, taken % size)), array_repeat(size, int(taken div size)))")
+    rows = a.join(b, on[0] & on[1] & on[2]).select("a.mix_row", "b.size", F.explode(copies).alias("words"))
+    cut = F.array_join(F.slice(F.expr(r"filter(split(mix_row.text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("size"), F.col("mix_row.text")).otherwise(cut)
+    out = rows.select("mix_row.*", text.alias("mix_text"), (F.col("words") < F.col("size")).alias("mix_cut"))
+    columns = [F.col("mix_text").alias(c) if c == "text" else F.when(F.col("mix_cut"), F.length("mix_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns)
+
+
 def op3_source_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     mixed, _ = mix_sources(docs)

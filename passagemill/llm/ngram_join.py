@@ -308,6 +308,18 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return first.join(top.toDF("c1", "c2"), "c1", "left").select("doc_id", "n_shingles", F.coalesce("c2", "c1").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group: the one with the least doc_id; of rows that share that id, one. Rows without an id all stay, as there is nothing to name them by."""
+    groups = stage_table(near_copies(docs, width, percent), "near-copies")
+    kept = groups.filter("doc_id = component_id").select("doc_id")
+    stay = _semi(docs, kept.distinct())
+    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id"])
+    if not groups.filter("doc_id IS NULL").isEmpty():
+        stay = stay.unionByName(docs.filter("doc_id IS NULL"))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_ngram_join(spark, sf_dir):
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

@@ -163,6 +163,11 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return judged.select("row.*", F.struct(*fields, "quality", "base_failed", "kept").alias(report))
 
 
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept, with their own columns."""
+    return judge_quality(docs, threshold).filter("quality_report.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     q = judge_quality(docs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagemill.llm import chat, fingerprint, language, mixing, ngram_join, packing, pii, quality, url_filter
+from passagemill.llm import chat, fingerprint, language, mixing, ngram_join, packing, pii, quality, token_shards, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_language_id": language.op6_language_id,
+    "op7_token_shards": token_shards.op7_token_shards,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_fingerprints": fingerprint.op10_fingerprints,
