@@ -94,8 +94,8 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, pattern: str, w
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, PIECES, strict=True)], schema=PIECES)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.append(encoder.ids(text or ""), np.uint32(SEPARATOR)).astype("<u4")
+        for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            ids = np.append(found, np.uint32(SEPARATOR)).astype("<u4")
             n = len(ids)
             for start in range(0, n, window):
                 length = min(window, n - start)

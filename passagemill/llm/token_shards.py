@@ -57,8 +57,8 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, pattern: str, length
     encoder = Encoder.shared(path, pattern, SPECIAL)
     held, docs, size = [], [], 0
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.append(encoder.ids(text or ""), np.uint32(SEPARATOR))
+        for doc, found in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+            ids = np.append(found, np.uint32(SEPARATOR))
             at = 0
             while at < len(ids):
                 part = ids[at : at + length - size]
@@ -85,7 +85,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard_seque
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = Encoder.shared(path, pattern, SPECIAL), 0
         for b in batches:
-            tokens += sum(len(encoder.ids(t or "")) + 1 for t in b.column(1).to_pylist())
+            tokens += sum(len(ids) + 1 for ids in encoder.encode(b.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // length)], pa.int64())], names=["part", "n"])
 
     counts = {r["part"]: r["n"] for r in d.mapInArrow(count, "part int, n long").collect()}  # one row for each partition
