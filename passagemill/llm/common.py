@@ -22,12 +22,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+#: Folders of our own, by application, where the session names none (as in tests).
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="passagemill-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="passagemill-shared-")
     return found.rstrip("/")
 
 
