@@ -3,8 +3,9 @@
 Each partition streams its documents: whole windows are cut off at once, and the
 rest of a document goes to the open window that it fills best. A fixed number of
 windows is open; when none has room, the fullest is emitted. Windows still open
-at the end of a partition are merged, first fit by falling length, in small
-groups of partitions. A document ends with the separator id; each id lies in
+at the end of a partition are merged in small groups of partitions: whole into
+the window that they fill best, and what is left end to end, cut where a window is
+full. A document ends with the separator id; each id lies in
 exactly one piece.
 
 A null text counts as empty (its one id is the separator). Null or repeated
@@ -32,9 +33,11 @@ from passagemill.llm.tokens import SEPARATOR, SPECIAL, Encoder, vocabulary_paths
 WINDOW, OPEN_WINDOWS = 1024, 64
 #: Partitions whose leftover windows are merged together, and the room for sequences of one partition or group.
 MERGED_PARTITIONS, ROOM = 16, 1 << 40
+#: A merged window with more than this share free is loose.
+LOOSE = 0.01
 
 PIECES = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("filled", pa.int64()), ("merge_group", pa.int64())]
+    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("filled", pa.int64()), ("merge_group", pa.int64()), ("ids", pa.binary())]
 )
 
 
@@ -84,8 +87,8 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, pattern: str, w
             if p is None:
                 sequence += 1
                 continue
-            (doc, start, length, crc, tokens), offset = p
-            rows.append((doc, start, length, crc, tokens, sequence, offset, filled, part // MERGED_PARTITIONS))
+            (doc, start, length, crc, tokens, ids), offset = p
+            rows.append((doc, start, length, crc, tokens, sequence, offset, filled, part // MERGED_PARTITIONS, None if filled is None else ids))
         sequence += 1
 
     def flush() -> pa.RecordBatch:
@@ -99,7 +102,8 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, pattern: str, w
             n = len(ids)
             for start in range(0, n, window):
                 length = min(window, n - start)
-                piece = (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), n)
+                raw = ids[start : start + length].tobytes()
+                piece = (doc, start, length, zlib.crc32(raw), n, raw)
                 if length == window:
                     emit([(piece, 0)])
                 elif (done := opened.place(length, piece)) is not None:
@@ -112,19 +116,38 @@ def pack_partition(batches: Iterator[pa.RecordBatch], path: str, pattern: str, w
 
 
 def merge_leftovers(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Put the open windows of a few partitions together, longest first into the window that they fill best."""
-    sizes = group.groupby("sequence_id")["filled"].first().sort_values(ascending=False, kind="stable")
+    """Put the open windows of a few partitions together: the fullest first into the window that they fill best, then what is still loose end to end, cut at the windows' ends."""
+    held = {k: g.sort_values("offset").to_dict("records") for k, g in group.groupby("sequence_id")}
+    size = {k: sum(p["length"] for p in g) for k, g in held.items()}
     free: list[tuple[int, int]] = []
-    place: dict[int, tuple[int, int]] = {}
-    for sequence, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        at = bisect_left(free, (size, -1))
-        room, to = free.pop(at) if at < len(free) else (window, sequence)
-        place[sequence] = (to, window - room)
-        if room > size:
-            insort(free, (room - size, to))
-    group["offset"] += group["sequence_id"].map({k: v[1] for k, v in place.items()})
-    group["sequence_id"] = group["sequence_id"].map({k: v[0] for k, v in place.items()})
-    return group
+    for k in sorted(held, key=lambda k: (-size[k], k)):
+        at = bisect_left(free, (size[k], -1))
+        if at < len(free):
+            room, to = free.pop(at)
+            held[to] += held.pop(k)
+        else:
+            room, to = window, k
+        if room > size[k]:
+            insort(free, (room - size[k], to))
+    loose = sorted(to for room, to in free if room > window * LOOSE)
+    rest = [p for k in loose for p in held.pop(k)]
+    out = []
+    for k, g in held.items():
+        offset = 0
+        for p in g:
+            out.append(p | {"sequence_id": k, "offset": offset})
+            offset += p["length"]
+    used, names = window, iter(loose)
+    for p in rest:
+        while p["length"]:
+            if used == window:
+                name, used = next(names), 0
+            take = min(window - used, p["length"])
+            raw = p["ids"][: 4 * take]
+            out.append(p | {"sequence_id": name, "offset": used, "length": take, "ids": raw, "ids_crc32": zlib.crc32(raw)})
+            p = p | {"start": p["start"] + take, "length": p["length"] - take, "ids": p["ids"][4 * take :]}
+            used += take
+    return pd.DataFrame(out, columns=group.columns)
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
@@ -133,7 +156,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, open_windows: int = OP
     path, pattern = vocabulary_paths()
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         lambda batches: pack_partition(batches, path, pattern, window, open_windows),
-        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled long, merge_group long",
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled long, merge_group long, ids binary",
     )
     pieces = stage_table(pieces, "packed-pieces")
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
