@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from passagemill.plans import registry
@@ -18,3 +23,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_rest_works_without_the_training_text_part(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "passagemill", tmp_path / "passagemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; n = e.queries(); assert n and not any(k.startswith('op') for k in n) and 'pipeline' not in n; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True)
