@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from passagemill.config import IngestConfig
 from passagemill.functions import vectors as vf
 from passagemill.operators import audit, ingest
 from passagemill.plans import tables as t
+from passagemill.streaming import feed
 
 WIDTH = 64
 CFG = IngestConfig(dimension=16, backend="hash")
@@ -142,6 +146,17 @@ def p5_ingested_passages(s, d):
     return _ingested(s, d)[1].select("note_id", "client_name", "scope", "ordinal", "heading_path", F.md5("content").alias("h"), F.size("embedding").alias("width"), "embedding_degenerate")
 
 
+def r1_ingest_stream(s, d):
+    """The requests as files, taken in by the stream into an empty store; every 13th is followed by a delete."""
+    folder = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    r = _requests(s, d)
+    gone = r.filter("request_id > 0 AND request_id % 13 = 0").withColumn("op", F.lit("delete")).withColumn("arrived_at", F.timestamp_seconds(F.lit(1_800_000_000)))
+    r.unionByName(gone).write.json(f"{folder}/in")
+    embed = lambda c: vf.hash_embedding(c, CFG.dimension).cast("array<double>")
+    feed.ingest_stream(s, f"{folder}/in", f"{folder}/store", f"{folder}/progress", CFG, embed).awaitTermination()
+    return feed.Store(s, f"{folder}/store").read()[0].select("client_name", "scope", "path_or_uri", "content_hash")
+
+
 def a4_summary(s, d):
     return ingest.run_summary(_ingested(s, d)[2].withColumn("passages", F.lit(1)))
 
@@ -244,6 +259,7 @@ ALL = {
     "p5_ingest_results": (p5_ingest_results, STORE + "SELECT request_id, outcome, NULL::VARCHAR AS fault FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT request_id, 'rejected', 'absolute path' FROM req WHERE starts_with(path_or_uri, '/')"),
     "p5_ingested_notes": (p5_ingested_notes, STORE + "SELECT client_name, scope, path_or_uri, content_hash, 's3+fts1+ei1+hash+16' AS pipeline_version, 2026 AS created, CASE WHEN note_id IS NULL THEN 11 ELSE 1 END AS month FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT client_name, scope, path_or_uri, hash, version, 2026, 1 FROM stored WHERE id % 17 = 3"),
     "p5_ingested_passages": (p5_ingested_passages, None),
+    "r1_ingest_stream": (r1_ingest_stream, STORE + "SELECT client_name, scope, path_or_uri, sha256(content) AS content_hash FROM last WHERE NOT starts_with(path_or_uri, '/') AND NOT (request_id > 0 AND request_id % 13 = 0)"),
     "v2_degenerate": (v2_degenerate, _V + "SELECT id, k IN (5, 6) AS embedding_degenerate FROM f WHERE k NOT IN (1, 3, 4)"),
     "v3_faults": (v3_faults, _V + "SELECT id, fault FROM f"),
     "f6_eligible": (f6_eligible, _V + "SELECT id FROM f WHERE k NOT IN (1, 3, 4, 5, 6)"),
