@@ -7,14 +7,14 @@ is at most the sum of their points' coordinate minima.
 
 1. Documents with equal sets are one node.
 2. Points are routed. Within a band of sizes the groups are dealt into blocks, and
-   of two documents that link at most K shingles differ, so that among any K + 1
-   blocks that are not empty in the one, at least one has equal counts in both. A
-   document is sent to its first K + 1 such blocks, and to the next band's if a
-   partner may lie there. No link is lost, and texts that share only a few passages
-   seldom meet.
+   of two documents that link at most K shingles, and so K blocks, differ. A document
+   is sent to the K + 1 blocks that hold most of its shingles, and in the next band
+   too if a partner may lie there. Of the blocks with equal counts in both, the
+   fullest is preceded by differing ones only, so both are sent to it: no link is
+   lost, and texts that share only a few passages seldom meet.
 3. All that meet in a block are tied to its least document, and these pairs are
    verified on the sets themselves. Most groups of near copies are joined by this.
-4. What met but is not yet joined is searched exactly: each meeting place's
+4. What shares a least document but is not yet joined is searched exactly: these
    documents are packed into R-tree leaves (by size, then split), leaf pairs are
    pruned by the bound over their rectangles, document pairs by the bound over
    their points, and those that are left are verified.
@@ -98,13 +98,12 @@ def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         at = block[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         sums = np.add.reduceat(group[order], first)
-        number = at[first]
-        if len(number) > k:
-            number, sums = number[: k + 1], sums[: k + 1]
-        else:  # too few blocks hold anything: the empty ones are sent as well
-            full = np.zeros(blocks, np.uint64)
-            full[number.astype(np.int64)] = sums
-            number, sums = np.arange(blocks, dtype=np.uint64), full
+        number, held = at[first], np.diff(np.append(first, n))
+        if len(number) <= k:  # the empty ones are needed as well
+            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), number)
+            number, sums, held = np.concatenate([number, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([held, np.zeros(len(empty), np.int64)])
+        best = np.lexsort((number, -held))[: k + 1]
+        number, sums = number[best], sums[best]
         out.append(mix64(mix64(sums) ^ mix64(number + np.uint64(band << 40))))
     return np.concatenate(out)
 
@@ -296,8 +295,8 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     links = verified(met.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), sets, percent)
     found = stage_table(components(links), "star-components")
     joined = lambda c: F.coalesce(F.col("component"), F.col(c)).alias("component")
-    members = met.unionByName(met.select("leader", F.col("leader").alias("doc_id")).distinct())
-    members = stage_table(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", joined("doc_id")), "members")
+    # Every document was verified against its leaders; what is open is between those that share one.
+    members = stage_table(met.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", joined("doc_id")), "members")
     still = members.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("leader")
     rest = members.join(still, "leader", "left_semi").join(sets.select("doc_id", "n", "point").dropDuplicates(["doc_id"]), "doc_id")
     pairs = stage_table(leaf_pairs(rest, percent), "bounded-pairs")
