@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, schema)
 
 
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
@@ -124,27 +127,23 @@ def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     bound_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts or RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)), reverse=True)
-    part = F.lit(len(cuts) + 1)
-    for i, cut in reversed(list(enumerate(cuts))):
-        part = F.when(F.col("doc_id") >= int(cut), F.lit(i)).otherwise(part)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 2)).otherwise(part)
-    d = d.withColumn("part", part)
-    # The first document of each part: the greatest id and, among rows that share it, the least text.
+    cuts = sorted(set(d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) or [0.0]
+    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
+    ranked = ranges.transform(d.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))))
+    # Part 0 has the greatest ids; rows without an id are a last part of their own.
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.col("range").cast("int"))
+    d = ranked.select("doc_id", "text", part.alias("part"))
     heads = d.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # one row for each part
     if not heads:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    order = [h["part"] for h in heads]
-    goes_to = {h["part"]: order[i - 1] for i, h in enumerate(heads)}
-    pairs = [F.struct(F.lit(h["part"]).alias("p"), F.lit(h["head"]).cast("long").alias("h"), F.lit(goes_to[h["part"]]).alias("to")) for h in heads]
-    lookup = F.filter(F.array(*pairs), lambda x: (x["p"] == F.col("part")) & x["h"].eqNullSafe(F.col("doc_id")))
-    copies = F.when(F.size(lookup) > 0, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(lookup[0]["to"].alias("part"), F.lit(True).alias("ghost"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))))
-    heads_only = F.array_contains(F.array(*[F.lit(h["head"]).cast("long") for h in heads]), F.col("doc_id")) | F.col("doc_id").isNull()
-    copies = F.when(F.coalesce(heads_only, F.lit(False)), copies).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost"))))
-    placed = d.select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.ghost", "doc_id", "text")
+        return spark.createDataFrame([], COMPARED)
+    goes_to = [(h["part"], h["head"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(goes_to, "head_part int, head long, ghost_part int"))  # as few rows
+    both = d.join(first, (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    own, ghost = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(F.col("ghost_part").alias("part"), F.lit(True).alias("ghost"))
+    copies = F.when(F.col("ghost_part").isNotNull(), F.array(own, ghost)).otherwise(F.array(own))
+    placed = both.select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.ghost", "doc_id", "text")
     placed = placed.repartition("part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc(), F.col("text").asc_nulls_first())
-    return placed.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(_compare, COMPARED)
 
 
 def op10_fingerprints(spark, sf_dir):
