@@ -135,12 +135,12 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def block_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """key and doc_id for each block to which a document is sent. Of equal sets within a task only the first is sent."""
+    """key, doc_id and home (the document's least key) for each block to which a document is sent. Of equal sets within a task only the first is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, ids, homes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = text_set(text, width)
                 d = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
@@ -149,25 +149,30 @@ def block_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
                     own = block_keys(s, percent)
                     keys.append(own)
                     ids.append(np.full(len(own), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
+                    homes.append(np.full(len(own), own.min() if len(own) else 0, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(homes).view(np.int64))], names=["key", "doc_id", "home"])
 
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, home long")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """leader, doc_id: each document with the least document of every block in which it meets others."""
+    """leader, doc_id: each document with the least document of every block in which it meets others.
+
+    Near copies meet in most of their blocks. Where a document and the leader have the same home, both are in that block too, with its leader, and only there they are tied; so such a pair is made once and not in every block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
         if not parts:
             return
-        key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, doc, home = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        order = np.lexsort((doc, key))
+        key, doc, home = key[order], doc[order], home[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        leader = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key))))
-        met = leader != doc
+        times = np.diff(np.append(first, len(key)))
+        leader, leader_home = np.repeat(doc[first], times), np.repeat(home[first], times)
+        met = (leader != doc) & ((home != leader_home) | (home == key))
         pairs = pd.DataFrame({"leader": leader[met], "doc_id": doc[met]}).drop_duplicates()
         yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
