@@ -2,11 +2,13 @@
 
 Documents are tokenised and strung together within a partition, each ended by the
 separator id, and cut into sequences of one length (the last of a partition is
-padded). Sequences are numbered 0..N-1 over all partitions; a keyed Feistel
-network over the next power of four, walked until it lands below N, is a
-permutation that gives each its global slot. Slots go in ranges to shards: shard s
-holds slots s*R..(s+1)*R-1, each at the byte offset (slot - s*R) * stride, so a
-reader can seek to any slot and go on from there.
+padded). A sequence's number is its place in its partition after room for all
+that the partitions before could hold: a token is at least a byte, so bytes bound
+sequences and nothing has to be tokenised twice. A keyed Feistel network over the
+next power of four, walked until it lands below the end of the numbers, permutes
+them; a sequence's global slot is the rank of its permuted number. Ranges of
+permuted numbers are shards, each written in order with a fixed stride, so shard
+sizes give every slot's place, and a reader can seek to any slot and go on.
 
 A shard is written under another name and renamed, so a lost executor leaves no
 half shard, and a repeated task writes the same bytes. A null or empty text gives
@@ -23,19 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, shared_dir
+from passagemill.llm.common import bound_batches, shared_dir, stage_table
 from passagemill.llm.tokens import SEPARATOR, SPECIAL, Encoder, vocabulary_paths
 
-#: Ids of a sequence, their type on disk, sequences of a shard, rounds and key of the Feistel network.
-LENGTH, DTYPE, SHARD_SEQUENCES, ROUNDS, KEY = 1024, "<u2", 4096, 6, 20_240_229
+#: Ids of a sequence, their type on disk, permuted numbers of a shard (a third or so are taken), rounds and key of the Feistel network.
+LENGTH, DTYPE, SHARD_NUMBERS, ROUNDS, KEY = 1024, "<u2", 8192, 6, 20_240_229
 PADDING = 0
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
-    """The slots of sequence numbers x below n: a keyed permutation of 0..n-1."""
+    """The permuted numbers x, all below n: a keyed permutation of 0..n-1."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out = np.asarray(x, np.uint64).copy()
@@ -73,106 +75,101 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, pattern: str, length
         yield np.concatenate([*held, np.full(length - size, PADDING, np.uint32)]), size, docs[0], docs[-1]
 
 
-def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, key: int = KEY, dtype: str = DTYPE) -> DataFrame:
-    """Write docs (doc_id, text) as shards into folder (a URI that pyarrow.fs opens on every executor). Returns the index, one row for each sequence: slot, shard, byte_offset, sequence, n_tokens, first_doc_id, last_doc_id, ids_crc32.
-
-    The documents are tokenised twice: once to count each partition's sequences, once to cut them; that keeps the ids off the disk but for one shuffle and the shards.
-    """
+def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS, key: int = KEY, dtype: str = DTYPE) -> DataFrame:
+    """Write docs (doc_id, text) as shards into folder (a URI that pyarrow.fs opens on every executor). Returns the index, one row for each sequence: slot, shard, byte_offset, sequence, n_tokens, first_doc_id, last_doc_id, ids_crc32."""
     bound_batches(docs.sparkSession)
     path, pattern = vocabulary_paths()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder.shared(path, pattern, SPECIAL), 0
-        for b in batches:
-            tokens += sum(len(ids) + 1 for ids in encoder.encode(b.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // length)], pa.int64())], names=["part", "n"])
-
-    counts = {r["part"]: r["n"] for r in d.mapInArrow(count, "part int, n long").collect()}  # one row for each partition
+    most = F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length).cast("long")
+    room = {r["part"]: r["n"] for r in d.groupBy(F.spark_partition_id().alias("part")).agg(most.alias("n")).collect()}  # one row for each partition
     offsets, total = {}, 0
-    for part in sorted(counts):
+    for part in sorted(room):
         offsets[part] = total
-        total += counts[part]
-    shards = max(1, -(-total // shard_sequences))
+        total += room[part]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        number, rows = offsets.get(part, 0), []
+        count, rows = 0, []
 
         def flush() -> pa.RecordBatch:
             seq = np.array([r[0] for r in rows], np.int64)
-            slot = feistel(seq, total, key)
+            placed = feistel(seq, total, key)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(seq), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
-                names=["slot", "sequence", "ids", "n_tokens", "first_doc_id", "last_doc_id"],
+                [pa.array(placed // shard_numbers, pa.int32()), pa.array(placed), pa.array(seq), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
+                names=["shard", "placed", "sequence", "ids", "n_tokens", "first_doc_id", "last_doc_id"],
             )
             rows.clear()
             return out
 
         for ids, n, first, last in sequences(batches, path, pattern, length):
-            rows.append((number, ids.astype(dtype).tobytes(), n, first, last))
-            number += 1
-            if len(rows) == 1000:
+            if count >= room.get(part, 0):
+                raise RuntimeError(f"partition {part} changed between the two readings")
+            rows.append((offsets[part] + count, ids.astype(dtype).tobytes(), n, first, last))
+            count += 1
+            if len(rows) == 500:
                 yield flush()
-        if number - offsets.get(part, 0) != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} changed between the two readings")
         if rows:
             yield flush()
 
-    stride = length * np.dtype(dtype).itemsize
-    cut_rows = d.mapInArrow(cut, "slot long, sequence long, ids binary, n_tokens int, first_doc_id long, last_doc_id long")
-    placed = cut_rows.withColumn("shard", _shard(F.col("slot"), shard_sequences).cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         out = shard = name = None
+        row = 0
 
         def close() -> None:
             out.close()
-            store.move(name, f"{root}/shard-{shard:06d}.bin")
+            store.move(name, f"{root}/shard-{shard:08d}.bin")
 
         for b in batches:
-            shards_of = b.column(6).to_numpy()
+            shards_of = b.column(0).to_numpy()
+            at = np.empty(len(shards_of), np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(shards_of)) + 1), len(shards_of)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if out is None or shards_of[lo] != shard:
                     if out is not None:
                         close()
                     store.create_dir(root, recursive=True)
-                    shard, name = int(shards_of[lo]), f"{root}/.{uuid.uuid4().hex}"
+                    shard, name, row = int(shards_of[lo]), f"{root}/.{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(name)
-                for x in b.column(2)[lo:hi]:
+                for x in b.column(3)[lo:hi]:
                     out.write(x.as_buffer())
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(2)], pa.int64())
-            at = (b.column(0).to_numpy() % shard_sequences) * stride
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(6), pa.array(at, pa.int64()), b.column(1), b.column(3), b.column(4), b.column(5), crc], names=["slot", "shard", "byte_offset", "sequence", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32"])
+                at[lo:hi] = np.arange(row, row + hi - lo)
+                row += hi - lo
+            crc = pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at), b.column(2), b.column(4), b.column(5), b.column(6), crc], names=["shard", "row", "sequence", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32"])
         if out is not None:
             close()
 
-    return placed.select("slot", "sequence", "ids", "n_tokens", "first_doc_id", "last_doc_id", "shard").mapInArrow(
-        write, "slot long, shard int, byte_offset long, sequence long, n_tokens int, first_doc_id long, last_doc_id long, ids_crc32 long"
-    )
-
-
-def _shard(slot: Column, shard_sequences: int) -> Column:
-    return F.floor(slot / shard_sequences)
+    cut_rows = d.mapInArrow(cut, "shard int, placed long, sequence long, ids binary, n_tokens int, first_doc_id long, last_doc_id long")
+    ordered = cut_rows.repartitionById(max(1, -(-total // shard_numbers)), F.col("shard")).sortWithinPartitions("shard", "placed")
+    index = stage_table(ordered.mapInArrow(write, "shard int, row long, sequence long, n_tokens int, first_doc_id long, last_doc_id long, ids_crc32 long"), "shard-index")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = index.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    stride = length * np.dtype(dtype).itemsize
+    return index.join(starts, "shard").select((F.col("start") + F.col("row")).alias("slot"), "shard", (F.col("row") * stride).alias("byte_offset"), "sequence", "n_tokens", "first_doc_id", "last_doc_id", "ids_crc32")
 
 
-def read_slots(folder: str, first_slot: int = 0, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, dtype: str = DTYPE) -> Iterator[np.ndarray]:
+def read_slots(folder: str, first_slot: int = 0, length: int = LENGTH, dtype: str = DTYPE) -> Iterator[np.ndarray]:
     """The sequences of folder from first_slot on, in slot order, by sequential reads."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     stride = length * np.dtype(dtype).itemsize
-    shard, skip = divmod(first_slot, shard_sequences)
-    while store.get_file_info(f"{root}/shard-{shard:06d}.bin").type == fs.FileType.File:
-        with store.open_input_file(f"{root}/shard-{shard:06d}.bin") as f:
+    skip = first_slot
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if not info.base_name.startswith("shard-"):
+            continue
+        held = info.size // stride
+        if skip >= held:
+            skip -= held
+            continue
+        with store.open_input_file(info.path) as f:
             f.seek(skip * stride)
             while raw := f.read(stride):
                 yield np.frombuffer(raw, dtype)
-        shard, skip = shard + 1, 0
+        skip = 0
 
 
 def op7_token_shards(spark, sf_dir):

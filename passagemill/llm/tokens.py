@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Characters of cached chunks at most, and texts encoded together.
-CACHE_CHARS, TEXTS = 6_000_000, 256
+CACHE_CHARS, TEXTS = 2_500_000, 128
 
 
 def vocabulary_paths() -> tuple[str, str]:
