@@ -158,7 +158,7 @@ def block_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 def meetings(rows: DataFrame) -> DataFrame:
     """leader, doc_id: each document with the least document of every block in which it meets others.
 
-    Near copies meet in most of their blocks. Where a document and the leader have the same home, both are in that block too, with its leader, and only there they are tied; so such a pair is made once and not in every block.
+    Near copies meet in most of their blocks. Where all of a block's documents have one home and it is another block, they all meet there as well, under that block's leader, and this block is passed over. A home is never passed over, as it is home to a document of its own; so any two documents that meet are tied to one leader.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +171,8 @@ def meetings(rows: DataFrame) -> DataFrame:
         key, doc, home = key[order], doc[order], home[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(first, len(key)))
-        leader, leader_home = np.repeat(doc[first], times), np.repeat(home[first], times)
-        met = (leader != doc) & ((home != leader_home) | (home == key))
+        leader, low, high = (np.repeat(x, times) for x in (doc[first], np.minimum.reduceat(home, first), np.maximum.reduceat(home, first)))
+        met = (leader != doc) & ((low != high) | (home == key))
         pairs = pd.DataFrame({"leader": leader[met], "doc_id": doc[met]}).drop_duplicates()
         yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 

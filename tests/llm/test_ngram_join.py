@@ -56,6 +56,29 @@ def test_components_equal_brute_force(spark):
         assert got == brute(docs)
 
 
+def edits_of_edits(seed, families):
+    """Families of short texts, each text an edit or a prolonged copy of one before it in its family, with ids in no order."""
+    rnd, texts = random.Random(seed), []
+    for f in range(families):
+        family = [[f"f{f}w{i}" for i in range(rnd.randint(9, 18))]]
+        for j in range(rnd.randint(4, 10)):
+            w = list(rnd.choice(family))
+            for _ in range(rnd.choice([1, 1, 2])):
+                at, new = rnd.choice([0, len(w) - 1, len(w)]), f"f{f}e{j}x{rnd.randrange(4)}"
+                w[at : at + rnd.choice([0, 1])] = [new]
+            family.append(w)
+        texts += [" ".join(w) for w in family]
+    ids = rnd.sample(range(10 * len(texts)), len(texts))
+    return list(zip(ids, texts, strict=True))
+
+
+def test_edits_of_edits_equal_brute_force(spark):
+    docs = edits_of_edits(3, 250)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want = brute(docs)
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
+
+
 def test_other_threshold(spark):
     docs = planted(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()}
