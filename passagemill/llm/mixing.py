@@ -7,6 +7,11 @@ source's blocks are equal runs of tokens (words) of its documents in shuffled
 order, read again from the start after each pass. So every prefix of the mix
 holds the sources near their weights, and each takes near its target.
 
+A source whose target is under FEW of these blocks would get them by chance. It
+takes exactly its target instead, in at most FEW blocks of its own size at even
+distances over the slots, and has no part in the points. So the error of every
+source is small against its own target, whatever the size of the input.
+
 A word is a run of other than blanks; a null text has none. Documents without
 words take part in nothing but are reported with taken = 0. Null sources are one
 source, last in order. Null doc_ids, repeated rows and ties are told apart by
@@ -22,6 +27,8 @@ from passagemill.llm.common import stage_table
 
 #: Slots of the mix at most, passes over a source at most, 2**32 / golden ratio, buckets for prefix sums and for finding a point's source.
 SLOTS, PASSES, GOLDEN, HASH_DIGITS, CELLS = 1 << 16, 3, 2654435769, 3, 4096
+#: Blocks that a source's target must fill to be placed by points; the most blocks of one that is placed at even distances.
+FEW = 512
 
 
 def sized_documents(docs: DataFrame, *keep: str) -> DataFrame:
@@ -55,34 +62,53 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return t.select("source", "sid", "source_size", "weight", "target")
 
 
-def slot_schedule(targets: DataFrame) -> DataFrame:
-    """slot, sid and block: which block of which source each slot takes. The number of slots is bounded by SLOTS whatever the input."""
+def source_blocks(targets: DataFrame) -> DataFrame:
+    """targets with few (whether the source is placed at even distances), block_size (words in a block of it) and most (words that it gives at most: its target if few, else what its passes hold)."""
+    whole = F.greatest(F.ceil(F.sum("source_size").over(Window.partitionBy()) / SLOTS), F.lit(1))
+    t = targets.withColumn("whole", whole).withColumn("few", F.col("target") < F.col("whole") * FEW)
+    exact = F.when(F.col("target") > 0, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.lit(0))
+    t = t.withColumn("most", F.when(F.col("few"), exact).otherwise(PASSES * F.col("source_size")).cast("long"))
+    own = F.greatest(F.ceil(F.col("most") / FEW), F.lit(1))
+    return t.withColumn("block_size", F.when(F.col("few"), own).otherwise(F.col("whole")).cast("long")).drop("whole")
+
+
+def slot_count(blocks: DataFrame) -> DataFrame:
+    """One row: n_slots, the slots that are placed by points, and span, those over which the other sources' blocks are spread."""
+    total = blocks.agg(
+        F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("few"), F.col("most"))), F.lit(0)).alias("exact"),
+        F.count_if(~F.col("few")).alias("many"),
+    )
+    size = F.greatest(F.ceil(F.col("total") / SLOTS), F.lit(1))
+    n = F.when(F.col("many") > 0, F.greatest(F.floor((F.col("total") - F.col("exact")) / size), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return total.select(n.alias("n_slots"), F.when(n > 0, n).otherwise(F.greatest(F.floor(F.col("total") / size), F.lit(1))).cast("long").alias("span"))
+
+
+def slot_schedule(blocks: DataFrame) -> DataFrame:
+    """slot, sid and block: which block of which source each slot takes. Slots placed by points are bounded by SLOTS whatever the input; each other source adds at most FEW blocks."""
     every = Window.partitionBy()
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.sum("target").over(every)
     hi = F.sum("target").over(upto)
     t = (
-        targets.filter(F.col("target") > 0)
+        blocks.filter(~F.col("few"))
         .withColumn("hi", hi / whole)
         .withColumn("lo", (hi - F.col("target")) / whole)
         .withColumn("hi", F.when(F.col("sid") == F.max("sid").over(every), F.lit(2.0)).otherwise(F.col("hi")))
     )
     cells = t.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CELLS).cast("int"))).alias("cell"))
-    block = block_size(targets)
-    slots = block.filter("n_slots > 0").select("block_size", F.explode(F.expr("sequence(0L, n_slots - 1)")).alias("slot"))
+    count = slot_count(blocks)
+    slots = count.filter("n_slots > 0").select(F.explode(F.expr("sequence(0L, n_slots - 1)")).alias("slot"))
     point = ((F.col("slot") + 1) * GOLDEN % (1 << 32)).cast("double") / float(1 << 32)
     slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
     placed = slots.join(cells, "cell").filter("lo <= point AND point < hi")
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1
     # No source gives more than its passes hold.
-    caps = targets.select("sid", (PASSES * F.col("source_size")).alias("most"))
-    return placed.withColumn("block", rank.cast("long")).join(caps, "sid").filter("block * block_size < most").select("slot", "sid", "block")
-
-
-def block_size(targets: DataFrame) -> DataFrame:
-    """One row: tokens in a block, and the number of slots."""
-    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"))
-    return total.withColumn("block_size", F.greatest(F.ceil(F.col("total") / SLOTS), F.lit(1))).withColumn("n_slots", F.floor(F.col("total") / F.col("block_size")))
+    caps = blocks.select("sid", "block_size", "most")
+    by_point = placed.withColumn("block", rank.cast("long")).join(caps, "sid").filter("block * block_size < most").select("slot", "sid", "block")
+    even = blocks.filter("few AND most > 0").withColumn("n", F.ceil(F.col("most") / F.col("block_size"))).crossJoin(F.broadcast(count))
+    even = even.select("sid", "n", "span", F.explode(F.expr("sequence(0L, n - 1)")).alias("block"))
+    return by_point.unionByName(even.select(F.expr("(2 * block + 1) * span div (2 * n)").alias("slot"), "sid", "block"))
 
 
 def shuffled_positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -100,30 +126,29 @@ def shuffled_positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return within.join(sums, ["sid", "bucket"]).withColumn("pos", F.col("bucket_pos") + F.col("inner_pos")).drop("bucket", "bucket_pos", "inner_pos", "shuffle_key")
 
 
-def mix_pieces(positions: DataFrame, schedule: DataFrame, blocks: DataFrame) -> DataFrame:
+def mix_pieces(positions: DataFrame, schedule: DataFrame) -> DataFrame:
     """The mix: slot, sid, pos, pass_no, start and words. Each row is a run of words of one document (named by sid and pos, in its pass) that one slot takes."""
-    size = F.broadcast(blocks.select("block_size"))  # one row
-    held = positions.filter("size > 0").select("sid", "pos", "size", "source_size").crossJoin(size)
-    passes = held.select("*", F.explode(F.expr(f"sequence(0, {PASSES - 1})")).alias("pass_no")).withColumn("at", F.col("pass_no") * F.col("source_size") + F.col("pos"))
+    held = positions.filter("size > 0").select("sid", "pos", "size", "source_size", "block_size", "most")
+    passes = held.select("*", F.explode(F.expr(f"sequence(0, {PASSES - 1})")).alias("pass_no")).withColumn("at", F.col("pass_no") * F.col("source_size") + F.col("pos")).filter("at < most")
     cut = passes.select(
-        "sid", "pos", "size", "pass_no", "at", "block_size",
+        "sid", "pos", "size", "pass_no", "at", "block_size", "most",
         F.explode(F.expr("sequence(at div block_size, (at + size - 1) div block_size)")).alias("block"),
     )
     first = F.greatest(F.col("at"), F.col("block") * F.col("block_size"))
-    last = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_size"))
-    return cut.join(schedule, ["sid", "block"]).select("slot", "sid", "pos", "pass_no", (first - F.col("at")).alias("start"), (last - first).alias("words"))
+    last = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("block_size"), F.col("most"))
+    return cut.join(schedule, ["sid", "block"]).filter(first < last).select("slot", "sid", "pos", "pass_no", (first - F.col("at")).alias("start"), (last - first).alias("words"))
 
 
 def mix_sources(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix. documents: doc_id, source, size, sid, source_size, target, pos, taken and the columns keep."""
     sized = stage_table(sized_documents(docs, *keep), "mix-sizes")
-    targets = stage_table(source_targets(sized), "mix-targets")
+    targets = stage_table(source_blocks(source_targets(sized)), "mix-targets")
     schedule = stage_table(slot_schedule(targets), "mix-slots")
     positions = shuffled_positions(sized, targets)
-    pieces = mix_pieces(positions, schedule, block_size(targets))
+    pieces = mix_pieces(positions, schedule)
     taken = pieces.groupBy("sid", "pos").agg(F.sum("words").alias("mixed"))
     both = positions.join(taken, ["sid", "pos"], "left")
-    return both.withColumn("taken", F.when(F.col("size") > 0, F.coalesce(F.col("mixed"), F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("mixed"), pieces
+    return both.withColumn("taken", F.when(F.col("size") > 0, F.coalesce(F.col("mixed"), F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("mixed", "few", "block_size", "most"), pieces
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

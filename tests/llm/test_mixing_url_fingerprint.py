@@ -34,6 +34,20 @@ def test_mixing_targets_and_schedule(spark):
     assert (abs(half / half.sum() - whole / whole.sum()) < 0.02).all()
 
 
+def test_small_sources_take_their_targets(spark):
+    """Sources far below a block of the mix: none vanishes and none takes much more or less than its target, and they are spread over the mix."""
+    big = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("z").alias("source"), F.repeat(F.lit("w "), 25_000).alias("text"))
+    rows = [(10_000 + 10 * k + i, f"s{k}", "w " * n) for k, n in enumerate([1, 5, 60, 300, 1000, 2500]) for i in range(7)]
+    docs = big.union(spark.createDataFrame(rows, "doc_id long, source string, text string")).toDF("doc_id", "source", "text")
+    mixed, pieces = mixing.mix_sources(docs)
+    by = mixed.groupBy("sid", "source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).toPandas()
+    assert (abs(by.taken - by.target) <= 1 + 0.01 * by.target).all(), by
+    slots = pieces.groupBy("sid", "slot").agg(F.sum("words").alias("words")).toPandas()
+    half = slots[slots.slot < slots.slot.max() / 2].groupby("sid").words.sum()
+    taken = by.set_index("sid").taken
+    assert all(abs(half.get(k, 0) / n - 0.5) < 0.05 for k, n in taken.items() if n >= 100), (half, taken)
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(1, "a", "x y z", 5), (2, "a", "p  q\nr s", 8), (3, "b", "k " * 60, 120), (4, "b", None, 0)], "doc_id long, source string, text string, n_chars long")
     mixed, _ = mixing.mix_sources(docs)
