@@ -66,8 +66,9 @@ def nearest(passages: DataFrame, queries: DataFrame, candidates: int, default_to
     return _cut(narrow.mapInPandas(run, "query_id long, passage_id long, distance double"), queries, candidates, default_top_k)
 
 
-def signatures(rows: DataFrame, key: str, vector: str, tables: int, bits: int, width: int, seed: int = 7) -> DataFrame:
-    """key, client_name, scope, band and signature: the signs of a vector's products with random directions, by table."""
+def signatures(rows: DataFrame, key: str, vector: str, tables: int, bits: int, width: int, seed: int = 7, probe: bool = False) -> DataFrame:
+    """key, client_name, band and signature: the signs of a vector's products with random directions, by table; if probe, also the signatures one bit away."""
+    flips = np.array([0] + [1 << i for i in range(bits)] * probe)
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,17 +76,18 @@ def signatures(rows: DataFrame, key: str, vector: str, tables: int, bits: int, w
             if not len(b):
                 continue
             sign = (np.array(b[vector].tolist(), np.float64) @ planes.T > 0).reshape(len(b), tables, bits)
-            value = (sign * (1 << np.arange(bits))).sum(axis=2)
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), tables), "client_name": np.repeat(b["client_name"].to_numpy(), tables), "band": np.tile(np.arange(tables), len(b)), "signature": value.reshape(-1)})
+            value = (sign * (1 << np.arange(bits))).sum(axis=2)[:, :, None] ^ flips
+            each = tables * len(flips)
+            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), each), "client_name": np.repeat(b["client_name"].to_numpy(), each), "band": np.tile(np.repeat(np.arange(tables), len(flips)), len(b)), "signature": value.reshape(-1)})
 
     return rows.select(key, "client_name", vector).mapInPandas(run, f"{key} long, client_name string, band int, signature long")
 
 
 def nearest_approximate(passages: DataFrame, queries: DataFrame, candidates: int, width: int, tables: int = 16, bits: int = 5, default_top_k: int = 5) -> DataFrame:
-    """Nearest passages among those that share a signature with the query in its tenant and scope; filters come before the cut, and a query left short of n is searched exactly."""
+    """Nearest passages among those whose signature in some table differs from the query's in at most one bit, in its tenant and scope; filters come before the cut, and a query left short of n is searched exactly."""
     q = queries.filter("query_vector IS NOT NULL")
     own = eligible(passages)
-    near = signatures(own, "passage_id", "embedding", tables, bits, width).join(signatures(q, "query_id", "query_vector", tables, bits, width), ["client_name", "band", "signature"]).select("query_id", "passage_id").distinct()
+    near = signatures(own, "passage_id", "embedding", tables, bits, width).join(signatures(q, "query_id", "query_vector", tables, bits, width, probe=True), ["client_name", "band", "signature"]).select("query_id", "passage_id").distinct()
     both = near.join(own.select("passage_id", "scope", "embedding"), "passage_id").join(q.select("query_id", "repo_filter", "query_vector"), "query_id").filter(in_scope("repo_filter", "scope"))
     d = both.select("query_id", "passage_id", cosine_distance(F.col("embedding"), F.col("query_vector")).alias("distance")).filter(~F.isnan("distance"))
     found = _cut(d, queries, candidates, default_top_k)

@@ -146,6 +146,13 @@ def test_skewed_tenants_get_full_results(spark):
     assert r.recall >= 0.5 and r.starved == 0
 
 
+def test_approximate_recall(spark, sf_dir):
+    from passagemill.plans import search_queries
+
+    got = {r.client_name: r.recall for r in search_queries.v6_recall(spark, sf_dir).collect()}
+    assert got and min(got.values()) >= 0.9, got
+
+
 FAULTS = [
     (None, "missing"), ([1.0, 0.0], "width"), ([1.0, float("nan"), 0.0], "value"), ([float("inf"), 0.0, 0.0], "value"), ([3.5e38, 0.0, 0.0], "value"), ([3.4028234663852886e38, 0.0, 0.0], None), ([1.0, None, 0.0], "value"),
     ([0.0, 0.0, 0.0], "zero norm"), ([1e-40, -1e-40, 0.0], "zero norm"), ([1e-30, 1e-30, 0.0], "zero norm"), ([1e-3, 0.0, 0.0], None), ([0.0, 1.0, 0.0], None),
