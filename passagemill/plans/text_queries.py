@@ -121,7 +121,7 @@ def d6_passages(s, d):
 
 def d3_short_sections(s, d):
     """A note of one ## section for each turn of a conversation: runs of short sections."""
-    line = F.concat(F.lit("## Turn "), "turn", F.lit("\n\n"), F.substring("text", 1, 400))
+    line = F.concat(F.lit("## Turn "), "turn", F.lit("\n\n"), "text")
     n = t.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
     p = n.select("conv_id", F.explode(split.split_bodies(F.col("body"))).alias("p"))
     return p.select("conv_id", "p.ordinal", "p.heading_path", F.length("p.content").alias("chars"))

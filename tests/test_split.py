@@ -97,3 +97,12 @@ def test_provenance(spark):
     df = spark.createDataFrame([(c[0], i) for i, c in enumerate(cases)], "body string, i int").withColumn("p", tx.provenance(F.col("body")))
     for r in df.collect():
         assert (r.p.kind, str(r.p.date) if r.p.date else None) == cases[r.i][1:]
+
+
+def test_short_sections_hold_whole_turns(spark, sf_dir):
+    from passagemill.plans import text_queries
+
+    chars = {r.conv_id: r.n for r in text_queries.d3_short_sections(spark, sf_dir).groupBy("conv_id").agg(F.sum("chars").alias("n")).collect()}
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("longest")).collect()
+    assert any(r.longest > 400 for r in turns)
+    assert [r for r in turns if chars[r.conv_id] < 0.98 * r.n] == []
