@@ -15,6 +15,19 @@ def test_stages(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() == docs.count()
 
 
+def test_near_copies_from_080(spark, sf_dir):
+    """Scattered edits that leave a five-word similarity of 0.808 (a four-word one of 0.844) make a copy; with 0.786 both stay."""
+    import corpus_pipeline as cp
+
+    docs = []
+    for family in range(10):
+        w = [f"f{family}w{i}" for i in range(380)]
+        for k, edits in enumerate((0, 8) if family % 2 else (0, 9)):
+            docs.append((10 * family + k, " ".join(f"new{x}" if x % 40 == 20 and x // 40 < edits else word for x, word in enumerate(w))))
+    kept = cp.ngram_join(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d // 10 % 2 == 0 or d % 10 == 0)
+
+
 def test_stages_on_nothing(spark, sf_dir):
     import corpus_pipeline as cp
 
