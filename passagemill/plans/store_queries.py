@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from passagemill.config import IngestConfig
 from passagemill.functions import vectors as vf
 from passagemill.operators import audit, ingest
 from passagemill.plans import tables as t
+from passagemill.session import shared_folder
 from passagemill.streaming import feed
 
 WIDTH = 64
@@ -148,7 +148,7 @@ def p5_ingested_passages(s, d):
 
 def r1_ingest_stream(s, d):
     """The requests as files, taken in by the stream into an empty store; every 13th is followed by a delete."""
-    folder = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     r = _requests(s, d)
     gone = r.filter("request_id > 0 AND request_id % 13 = 0").withColumn("op", F.lit("delete")).withColumn("arrived_at", F.timestamp_seconds(F.lit(1_800_000_000)))
     r.unionByName(gone).write.json(f"{folder}/in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+#: Folders of our own, by application, for local sessions that name none (as in tests).
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only a local session may do without; it gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="passagemill-")
+        found = _own[context.applicationId]
+    return found.rstrip("/")
