@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagemill.session import shared_folder
 
 #: Arrow batches are bounded by rows and, as texts can be long, by bytes.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
@@ -22,26 +24,52 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-#: Folders of our own, by application, where the session names none (as in tests).
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not found:
-        found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="passagemill-shared-")
-    return found.rstrip("/")
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key from which it counts as hot, keys that are broadcast at most, and the salts beyond that.
+HOT_ROWS, BROADCAST_KEYS, SALTS = 256, 1_000_000, 64
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """big with the columns of small by the keys on, inner or left. small has one row for each key, and rows: on how many rows of big the key stands (at least).
+
+    Keys on HOT_ROWS rows or more are split over tasks: there is at most one for each HOT_ROWS rows, so few are broadcast (when they were counted to be at most BROADCAST_KEYS), and more are salted. The other keys go by a shuffle. big is read twice if any key is hot.
+    """
+    hot, cold = small.filter(F.col("rows") >= HOT_ROWS).drop("rows"), small.filter(F.col("rows") < HOT_ROWS).drop("rows")
+    n = hot.count()
+    if not n:
+        return big.join(cold, on, how)
+    keys = hot.select(*on)
+    if n <= BROADCAST_KEYS:
+        first = big.join(F.broadcast(hot), on)
+        rest = big.join(F.broadcast(keys), on, "left_anti")
+    else:
+        each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns if c not in on]), F.lit(SALTS)).cast("int"))
+        first = spread.join(hot.select("*", each), [*on, "_salt"]).drop("_salt")
+        rest = spread.join(keys.select(*on, each), [*on, "_salt"], "left_anti").drop("_salt")
+    return first.unionByName(rest.join(cold, on, how))
+
+
+def free_name(columns: list[str], want: str) -> str:
+    """want, or want with as many underscores before it as it takes to differ from all columns whatever their case."""
+    taken = {c.lower() for c in columns}
+    while want.lower() in taken:
+        want = "_" + want
+    return want
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + _STEP

@@ -5,34 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import stage_table
+from passagemill.llm.common import hot_join, stage_table
 
-#: Alternations at most; the number needed grows with the logarithm of the longest path.
-MAX_ROUNDS = 60
 
-
-def _least(links: DataFrame) -> DataFrame:
-    """For each u its least neighbour m, or itself."""
-    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least of u and its neighbours. A star's centre may be on most rows."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("rows"))
+    return hot_join(edges, least, ["u"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (its least reachable node) for each node of links (u, v); links may repeat and point either way.
+    """node and component (its least reachable node) for each node of links (u, v); links may repeat and point either way, null ends and loops count for nothing.
 
-    Large-star and small-star in turn: every node is tied to the least of its neighbourhood until each component is a star. Each round is a table in the shared folder.
+    Large-star and small-star in turn: every node is tied to the least of its neighbourhood until each component is a star. Each round is a table in the shared folder; the rounds needed grow with the logarithm of the longest path, and end by themselves as labels only fall.
     """
     now = links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, state = stage_table(now, "links"), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         sign = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (sign["n"], sign["s"]) == state or sign["n"] == 0:
             break
         state = (sign["n"], sign["s"])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
-        small = large.join(_least(large), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = _with_least(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = stage_table(small, "links")
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,27 +6,29 @@ and the counts by group are the document's point: the overlap of two documents
 is at most the sum of their points' coordinate minima.
 
 1. Documents with equal sets are one node.
-2. Points are routed. Within a band of sizes the groups are dealt into blocks, and
-   of two documents that link at most K shingles, and so K blocks, differ. A document
-   is sent to the K + 1 blocks that hold most of its shingles, and in the next band
-   too if a partner may lie there. Of the blocks with equal counts in both, the
-   fullest is preceded by differing ones only, so both are sent to it: no link is
-   lost, and texts that share only a few passages seldom meet.
-3. All that meet in a block are tied to its least document, and these pairs are
-   verified on the sets themselves. Most groups of near copies are joined by this.
-4. What shares a least document but is not yet joined is searched exactly: these
-   documents are packed into R-tree leaves (by size, then split), leaf pairs are
-   pruned by the bound over their rectangles, document pairs by the bound over
-   their points, and those that are left are verified.
-5. Components of the links.
-
-So a group of near copies costs about one pair for each member, not all pairs.
+2. Points are dealt into cells. Within a band of sizes the shingles are dealt into
+   blocks, and of two documents that link at most K shingles, and so K blocks,
+   differ. A document is sent to the K + 1 blocks that hold most of its shingles, and
+   in the next band too if a partner may lie there. Of the blocks with equal counts
+   in both, the fullest is preceded by differing ones only, so both are sent to it.
+   All that meet in a block are put into the cell that one of them names, so two
+   documents that link share a cell; near copies meet in most of their blocks and
+   share few cells. This is a partitioning alone: it compares nothing.
+3. Each cell's points are an R-tree, bulk-loaded and searched for links (rtree.py).
+   Pairs that pass the bounds of the boxes and of the points are verified on the
+   sets. All links come from this search.
+4. Components of the links.
+
+A block that a sample shows to be common has its cell fixed beforehand, so that its
+documents need not come together in one task; the sample changes the way, not the
+result. A group of near copies costs about one link for each member, not all pairs.
 
 Words are runs of other than blanks, ASCII-lower-cased. With fewer than 4 words
 the whole sequence is one shingle; a null text or one without words has the empty
 set and links with nothing. Rows with a null doc_id join only as equals of other
 rows; rows that share a doc_id count as one document. An empty table gives an
-empty result.
+empty result. Very long texts are taken whole. Columns other than doc_id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, mix64, shingle_set, stage_table
-from passagemill.llm.components import components
+from passagemill.llm.common import bound_batches, hot_join, mix64, shingle_set, stage_table
+from passagemill.llm.rtree import LEAF, place_of, tree_components
 
 WIDTH, PERCENT = 4, 85
-#: Bands of sizes grow by this factor; blocks for each shingle of a band's largest set; count-vector groups; documents of a leaf.
-BAND, BLOCKS_EACH, GROUPS, LEAF = 1.5, 0.2, 128, 512
+#: Bands of sizes grow by this factor; blocks for each shingle of a band's largest set.
+BAND, BLOCKS_EACH = 1.5, 0.2
+#: Documents in the sample that shows common blocks, documents of it that make a block common, and rows of a block that are held together.
+SAMPLE, COMMON, HELD = 4096, 16, 100_000
 #: Ids that are broadcast for a semi-join at most; beyond that they are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -108,15 +112,6 @@ def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def count_vector(hashes: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its shingles fall into each group."""
-    return np.bincount((mix64(hashes) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-
-
-def _batches(ids: list, *columns: tuple[list, pa.DataType], name: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in columns]], names=list(name))
-
-
 def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and a 128-bit digest (k1, k2) of each document's set."""
 
@@ -134,49 +129,106 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def block_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """key, doc_id and home (the document's least key) for each block to which a document is sent. Of equal sets within a task only the first is sent."""
+def block_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """key, doc_id, home (the document's least key) and placed for each block to which a document is sent. Of equal sets within a task only the first is sent.
+
+    common: keys (sorted) whose cells are known already, and these cells. A document has one row for all its keys of one such cell, with placed true and the cell in home.
+    """
+    known, cells = common if common is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            keys, ids, homes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            keys, ids, homes, placed = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = text_set(text, width)
                 d = xxhash.xxh3_128_digest(s.astype("<u8").tobytes())
-                if d not in seen:
-                    seen.add(d)
-                    own = block_keys(s, percent)
-                    keys.append(own)
-                    ids.append(np.full(len(own), doc, np.int64))
-                    homes.append(np.full(len(own), own.min() if len(own) else 0, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(homes).view(np.int64))], names=["key", "doc_id", "home"])
-
-    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, home long")
-
-
-def meetings(rows: DataFrame) -> DataFrame:
-    """leader, doc_id: each document with the least document of every block in which it meets others.
-
-    Near copies meet in most of their blocks. Where all of a block's documents have one home and it is another block, they all meet there as well, under that block's leader, and this block is passed over. A home is never passed over, as it is home to a document of its own; so any two documents that meet are tied to one leader.
+                if d in seen:
+                    continue
+                seen.add(d)
+                own = block_keys(s, percent)
+                if not len(own):
+                    continue
+                home = np.full(len(own), own.min(), np.uint64).view(np.int64)
+                direct = np.empty(0, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    there = known[at] == own
+                    direct = np.unique(cells[at[there]])
+                    own, home = own[~there], home[~there]
+                spread = mix64(direct.view(np.uint64) ^ np.uint64(doc & 0xFFFFFFFFFFFFFFFF))
+                keys += [own, spread]
+                homes += [home, direct]
+                ids.append(np.full(len(own) + len(direct), doc, np.int64))
+                placed.append(np.repeat([False, True], [len(own), len(direct)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (ids, homes, placed)]], names=["key", "doc_id", "home", "placed"])
+
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "key long, doc_id long, home long, placed boolean")
+
+
+def common_keys(docs: DataFrame, n: int, width: int = WIDTH, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, cells) of the blocks that hold COMMON or more documents of a sample of about SAMPLE of the n docs. A cell's name is the least of them. A sampled document has a bounded number of keys, so the answer is bounded too."""
+    rows = block_rows(docs.sample(min(1.0, SAMPLE / max(n, 1)), seed=7), width, percent)
+    found = rows.groupBy("key").agg(F.min("doc_id").alias("cell"), F.count("*").alias("n")).filter(F.col("n") >= COMMON).select("key", "cell").toArrow()
+    keys, cells = found["key"].to_numpy().view(np.uint64), found["cell"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], cells[order]
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """cell, doc_id: each document in the cells that its blocks name.
+
+    A block's cell is named by one of its documents: the one with the least home, then id. Where all of a block's documents have one home and it is another block, they share that block's cell, and this block is passed over; a home itself is never passed over. Blocks come in sorted order, and a task holds one of them at a time, or of a very long one a run of HELD rows, from which on nothing is passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        if not parts:
-            return
-        key, doc, home = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.lexsort((doc, key))
-        key, doc, home = key[order], doc[order], home[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(first, len(key)))
-        leader, low, high = (np.repeat(x, times) for x in (doc[first], np.minimum.reduceat(home, first), np.maximum.reduceat(home, first)))
-        met = (leader != doc) & ((low != high) | (home == key))
-        pairs = pd.DataFrame({"leader": leader[met], "doc_id": doc[met]}).drop_duplicates()
-        yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
-
-    return rows.repartition("key").mapInArrow(run, "leader long, doc_id long").distinct()
+        held: tuple[np.ndarray, ...] = tuple(np.empty(0, np.int64) for _ in range(3))
+        long_key = long_cell = None
+
+        def out(cell: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(pd.DataFrame({"cell": cell, "doc_id": doc}, dtype=np.int64).drop_duplicates(), preserve_index=False)
+
+        def whole(key: np.ndarray, doc: np.ndarray, home: np.ndarray, ended: bool = True) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((doc, home, key))
+            key, doc, home = key[order], doc[order], home[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.append(first, len(key)))
+            low, high = home[first], home[first + times - 1]
+            meets = ((times > 1) & ((low != high) | (low == key[first]))) if ended else np.ones(len(first), bool)
+            keep = np.repeat(meets, times)
+            return np.repeat(doc[first], times)[keep], doc[keep]
+
+        for b in batches:
+            key, doc, home = (b.column(i).to_numpy() for i in range(3))
+            placed = b.column(3).to_numpy(zero_copy_only=False)
+            cells, docs = [home[placed]], [doc[placed]]
+            key, doc, home = key[~placed], doc[~placed], home[~placed]
+            if long_key is not None:
+                more = key == long_key
+                cells.append(np.full(int(more.sum()), long_cell))
+                docs.append(doc[more])
+                if not more.all():
+                    long_key = None
+                key, doc, home = key[~more], doc[~more], home[~more]
+            if len(key):
+                key, doc, home = (np.concatenate(x) for x in zip(held, (key, doc, home), strict=True))
+                last = np.searchsorted(key, key[-1])
+                if last:
+                    found = whole(key[:last], doc[:last], home[:last])
+                    cells.append(found[0])
+                    docs.append(found[1])
+                held = key[last:], doc[last:], home[last:]
+                if len(held[0]) > HELD:
+                    found = whole(*held, ended=False)
+                    cells.append(found[0])
+                    docs.append(found[1])
+                    long_key, long_cell = held[0][0], found[0][0]
+                    held = tuple(np.empty(0, np.int64) for _ in range(3))
+            yield out(np.concatenate(cells), np.concatenate(docs))
+        if len(held[0]):
+            yield out(*whole(*held))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "cell long, doc_id long").distinct()
 
 
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,130 +238,45 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, hashes and point (both as bytes)."""
+    """doc_id, n, place (of its point on the R-tree's curve) and hashes (as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [text_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", "hashes", "point"],
+                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(place_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "n", "place", "hashes"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, hashes binary, point binary")
+    return docs.mapInArrow(run, "doc_id long, n long, place long, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
-    s = sets.select("doc_id", "n", "hashes")
-    fits = f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)"
-    sizes = sets.select("doc_id", "n")
-    fit = pairs.join(sizes.toDF("u", "n_u"), "u").join(sizes.toDF("v", "n_v"), "v").filter(fits).select("u", "v").distinct()
-    both = fit.join(s.select(F.col("doc_id").alias("v"), F.col("hashes").alias("h_v")), "v").join(s.select(F.col("doc_id").alias("u"), F.col("hashes").alias("h_u")), "u")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, keep = b.column(0), b.column(1), []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
-
-    return both.select("u", "v", "h_u", "h_v").mapInArrow(run, "u long, v long")
-
-
-LEAVES = "leader long, leaf int, n_min long, n_max long, c_min long, c_max long, low binary, high binary, ids binary, sizes binary, comps binary, points binary"
-
-
-def _pack_leaf(g: pd.DataFrame) -> pd.DataFrame:
-    points = np.stack([np.frombuffer(p, np.uint32) for p in g["point"]])
-    ints = lambda c: g[c].to_numpy(np.int64).tobytes()
-    return pd.DataFrame(
-        [[g["leader"].iloc[0], g["leaf"].iloc[0], g["n"].min(), g["n"].max(), g["component"].min(), g["component"].max(), points.min(0).tobytes(), points.max(0).tobytes(), ints("doc_id"), ints("n"), ints("component"), points.tobytes()]],
-        columns=[x.split()[0] for x in LEAVES.split(", ")],
-    )
-
-
-def leaf_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (u, v) of different components that met and whose points' bound lets them link. members: leader, doc_id, n, component, point."""
-    band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    m = members.withColumn("band", band)
-    counts = m.groupBy("leader", "band").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("splits"))
-    m = m.join(counts, ["leader", "band"]).withColumn("leaf", F.col("band") * (1 << 16) + F.pmod(F.xxhash64("doc_id"), F.col("splits")).cast("int"))
-    leaves = stage_table(m.select("leader", "leaf", "doc_id", "n", "component", "point").groupBy("leader", "leaf").applyInPandas(_pack_leaf, LEAVES), "rtree-leaves")
-    boxes = leaves.select("leader", "leaf", "n_min", "n_max", "c_min", "c_max", "high")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    near = (
-        (F.col("a.leader") == F.col("b.leader")) & (F.col("a.leaf") <= F.col("b.leaf"))
-        & (100 * F.col("a.n_max") >= percent * F.col("b.n_min")) & (100 * F.col("b.n_max") >= percent * F.col("a.n_min"))
-        & ~((F.col("a.c_min") == F.col("a.c_max")) & (F.col("b.c_min") == F.col("b.c_max")) & (F.col("a.c_min") == F.col("b.c_min")))
-    )
-    boxed = a.join(b, near).select("a.leader", F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b"), F.col("a.n_min").alias("na"), F.col("b.n_min").alias("nb"), F.col("a.high").alias("ha"), F.col("b.high").alias("hb"))
-
-    def box_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = [
-                int(np.minimum(np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)).sum(dtype=np.int64)) >= overlap_needed(na, nb, percent)
-                for na, nb, p, q in zip(x.column(3).to_pylist(), x.column(4).to_pylist(), x.column(5), x.column(6), strict=True)
-            ]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column(i).filter(mask) for i in range(3)], names=["leader", "leaf_a", "leaf_b"])
-
-    open_pairs = boxed.mapInArrow(box_bound, "leader long, leaf_a int, leaf_b int")
-    packed = leaves.select("leader", "leaf", "ids", "sizes", "comps", "points")
-    side = lambda s: packed.toDF("leader", f"leaf_{s}", *[f"{c}_{s}" for c in ("ids", "sizes", "comps", "points")])
-    rows = open_pairs.join(side("a"), ["leader", "leaf_a"]).join(side("b"), ["leader", "leaf_b"]).select(*[f"{c}_{s}" for s in "ab" for c in ("ids", "sizes", "comps", "points")])
-
-    def point_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for row in zip(*x.columns, strict=True):
-                ia, na, ca, ib, nb, cb = (np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 1, 2, 4, 5, 6))
-                pa_, pb = (np.frombuffer(row[i].as_buffer(), np.uint32).reshape(-1, GROUPS) for i in (3, 7))
-                for i in range(len(ia)):
-                    fit = (ca[i] != cb) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
-                    if not fit.any():
-                        continue
-                    at = np.flatnonzero(fit)
-                    bound = np.minimum(pa_[i], pb[at]).sum(axis=1, dtype=np.int64)
-                    at = at[bound * (100 + percent) >= percent * (na[i] + nb[at])]
-                    us.append(np.maximum(ia[i], ib[at]))
-                    vs.append(np.minimum(ia[i], ib[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    return rows.mapInArrow(point_bound, "u long, v long").distinct()
-
-
-def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id for each of docs (doc_id, text)."""
+def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles and component_id for each of docs (doc_id, text). leaf: points of an R-tree leaf at most."""
     bound_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = stage_table(set_digests(d, width), "set-digests")
-    classes = digests.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    nodes = digests.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
-    nodes = stage_table(nodes, "set-nodes")
-    met = stage_table(meetings(block_rows(d, width, percent)), "meetings")
-    node_of = nodes.filter("doc_id IS NOT NULL").select("doc_id", "node").distinct()
-    met = met.join(node_of, "doc_id").join(node_of.toDF("leader", "leader_node"), "leader").filter("node <> leader_node").select(F.col("leader_node").alias("leader"), F.col("node").alias("doc_id")).distinct()
-    met = stage_table(met, "met-nodes")
-    ids = met.select("doc_id").union(met.select("leader")).distinct()
-    sets = stage_table(sets_of(_semi(d, ids), width), "candidate-sets")
-    links = verified(met.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), sets, percent)
-    found = stage_table(components(links), "star-components")
-    joined = lambda c: F.coalesce(F.col("component"), F.col(c)).alias("component")
-    # Every document was verified against its leaders; what is open is between those that share one.
-    members = stage_table(met.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", joined("doc_id")), "members")
-    still = members.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("leader")
-    rest = members.join(still, "leader", "left_semi").join(sets.select("doc_id", "n", "point").dropDuplicates(["doc_id"]), "doc_id")
-    pairs = stage_table(leaf_pairs(rest, percent), "bounded-pairs")
-    more = verified(pairs, sets, percent)
-    lifted = more.join(found.toDF("u", "cu"), "u", "left").join(found.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    top = components(lifted)
-    first = nodes.join(found.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
-    return first.join(top.toDF("c1", "c2"), "c1", "left").select("doc_id", "n_shingles", F.coalesce("c2", "c1").alias("component_id"))
+    # Sets that several documents share; the least of these documents stands for them.
+    shared = digests.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")).filter(F.col("rows") > 1)
+    shared = stage_table(shared, "shared-sets")
+    common = common_keys(d, digests.count(), width, percent)
+    dealt = stage_table(cells_of(block_rows(d, width, percent, common)), "cells")
+    sent = _semi(digests, dealt.select("doc_id").distinct()).select("doc_id", "k1", "k2").distinct()
+    stands = sent.join(shared.select("k1", "k2", "node"), ["k1", "k2"], "left").select("doc_id", F.coalesce("node", "doc_id").alias("node"))
+    members = stage_table(dealt.join(stands, "doc_id").select("cell", F.col("node").alias("doc_id")).distinct(), "cell-nodes")
+    # Cells of one node hold nothing to compare.
+    several = members.groupBy("cell").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).filter("a < b").select("cell", "rows")
+    members = stage_table(hot_join(members, several, ["cell"]), "members")
+    sets = stage_table(sets_of(_semi(d, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), width), "candidate-sets")
+    found = stage_table(tree_components(stage_table(members.join(sets, "doc_id").select("cell", "doc_id", "n", "place", "hashes"), "tree-members"), percent, leaf), "node-components")
+    named = shared.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"), "rows")
+    # Empty sets have one digest and nothing to be joined with; they stay out of the joins, as do ids that are null.
+    some, none = digests.filter("n_shingles > 0"), digests.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = ["doc_id", "n_shingles", "component_id"]
+    classes = stage_table(hot_join(some, stage_table(named, "shared-components"), ["k1", "k2"], "left").select(*out), "classes")
+    alone = classes.filter("component_id IS NULL AND doc_id IS NOT NULL").drop("component_id").join(found.toDF("doc_id", "component"), "doc_id", "left")
+    settled = classes.filter("component_id IS NOT NULL OR doc_id IS NULL")
+    return settled.unionByName(alone.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))).unionByName(none)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, shared_dir, stage_table
+from passagemill.llm.common import bound_batches, stage_table
 from passagemill.llm.tokens import SEPARATOR, SPECIAL, Encoder, vocabulary_paths
+from passagemill.session import shared_folder
 
 #: Ids of a sequence, their type on disk, permuted numbers of a shard (a third or so are taken), rounds and key of the Feistel network.
 LENGTH, DTYPE, SHARD_NUMBERS, ROUNDS, KEY = 1024, "<u2", 8192, 6, 20_240_229
@@ -174,4 +175,4 @@ def read_slots(folder: str, first_slot: int = 0, length: int = LENGTH, dtype: st
 
 def op7_token_shards(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return write_shards(docs, f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}")
+    return write_shards(docs, f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}")

@@ -56,12 +56,12 @@ def test_components_equal_brute_force(spark):
         assert got == brute(docs)
 
 
-def edits_of_edits(seed, families):
-    """Families of short texts, each text an edit or a prolonged copy of one before it in its family, with ids in no order."""
+def edits_of_edits(seed, families, size=10):
+    """Families of short texts (size of them at most), each text an edit or a prolonged copy of one before it in its family, with ids in no order."""
     rnd, texts = random.Random(seed), []
     for f in range(families):
         family = [[f"f{f}w{i}" for i in range(rnd.randint(9, 18))]]
-        for j in range(rnd.randint(4, 10)):
+        for j in range(rnd.randint(size - 6, size)):
             w = list(rnd.choice(family))
             for _ in range(rnd.choice([1, 1, 2])):
                 at, new = rnd.choice([0, len(w) - 1, len(w)]), f"f{f}e{j}x{rnd.randrange(4)}"
@@ -72,6 +72,33 @@ def edits_of_edits(seed, families):
     return list(zip(ids, texts, strict=True))
 
 
+def test_cells_of_many_leaves_equal_brute_force(spark):
+    """Small leaves, so that stand-ins and the descent through the tree's levels are needed."""
+    for seed, leaf in ((11, 2), (12, 5)):
+        docs = edits_of_edits(seed, 4, 120) + [(100_000 + d, t) for d, t in planted(seed)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_copies(df, leaf=leaf).collect()}
+        want = brute(docs)
+        assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
+
+
+def test_common_blocks_equal_brute_force(spark):
+    """A group of near copies that is most of the table, so that its blocks are found common by the sample."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for d in range(300):
+        w = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            w[rnd.randrange(120)] = f"x{d}y{rnd.randrange(99)}"
+        docs.append((d, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    keys, cells = nj.common_keys(df, 300)
+    assert len(keys) > 20 and (keys[1:] > keys[:-1]).all() and set(cells) <= set(range(300))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_copies(df, leaf=16).collect()}
+    assert got == brute(docs)
+
+
 def test_edits_of_edits_equal_brute_force(spark):
     docs = edits_of_edits(3, 250)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
