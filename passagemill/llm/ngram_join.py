@@ -49,7 +49,7 @@ WIDTH, PERCENT = 4, 85
 #: Bands of sizes grow by this factor; blocks for each shingle of a band's largest set.
 BAND, BLOCKS_EACH = 1.5, 0.2
 #: Documents in the sample that shows common blocks, documents of it that make a block common, and rows of a block that are held together.
-SAMPLE, COMMON, HELD = 4096, 16, 100_000
+SAMPLE, COMMON, HELD = 1024, 8, 100_000
 #: Ids that are broadcast for a semi-join at most; beyond that they are shuffled.
 BROADCAST_IDS = 2_000_000
 

@@ -11,9 +11,11 @@ base spans. Base spans always stay.
 
 Only counts by kind, votes and shape reach the driver; their number is bounded by
 the labelers, not by the input. Offsets are code points, ends exclusive. A null
-text counts as empty. Rows are judged one by one, so null or repeated doc_ids,
-repeated rows and extra columns change nothing; an empty table gives an empty
-result.
+text counts as empty. Very long texts are searched whole, in a time that grows
+little faster than they do: arrays are built in blocks (scan), and texts are cut
+from chunks. Rows are judged one by one, so null or repeated doc_ids and repeated
+rows change nothing; an empty table gives an empty result. Other columns are kept
+as a struct of their own meanwhile, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import stage_table
+from passagemill.llm.common import quoted, stage_table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base patterns. They find what the plain patterns find, in linear time: a run that failed from its start is not tried again from within, and repeats are possessive.
+#: Base patterns. They find what the plain patterns find, in linear time: a run that failed from its start is not tried again from within, and repeats are possessive. Runs of under 13 digits, which can be no card, are passed over.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: Looser patterns, and a text that must occur for them to be tried.
@@ -50,6 +52,8 @@ NEAR = {
     "card": r"(?i)(?:card|visa|credit|debit|carte|tarjeta|karte|iban|account)\W*\w{0,8}\W*$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|appel|llame)\W*\w{0,8}\W*$",
 }
+#: Elements of a block of a scan, and characters of a chunk of text.
+BLOCK, CHUNK = 100, 4096
 CONTEXT_CHARS, THRESHOLD = 32, 0.9
 VOTERS, SHAPES = ("strict", "gazetteer", "context", "edges", "checksum"), ("length", "digits", "style", "after")
 FOR, AGAINST, ABSTAIN = 1, 2, 0
@@ -77,17 +81,27 @@ VALID = {
 }
 
 
-def _located(matches: str, pieces: str) -> Column:
-    """Structs (s, e, m, pre, post) of matches from the pieces between them."""
-    starts = (
-        f"aggregate(sequence(0, size({matches}) - 1), named_struct('p', 0, 's', cast(array() AS array<int>)), "
-        f"(a, i) -> named_struct('p', a.p + length({pieces}[i]) + length({matches}[i]), 's', array_append(a.s, a.p + length({pieces}[i]))), a -> a.s)"
-    )
-    one = (
-        f"transform({starts}, (s, i) -> named_struct('s', s, 'e', s + length({matches}[i]), 'm', {matches}[i], "
-        f"'pre', right({pieces}[i], {CONTEXT_CHARS}), 'post', left({pieces}[i + 1], 1)))"
+def scan(array: str, start: str, step: str, out: str, kind: str) -> str:
+    """SQL array of out(a.st, x) for each element x of array, where a.st is start and then step(a.st, x). kind is out's type.
+
+    An array that grows by one element is copied each time, so results are gathered in blocks: n elements cost n * BLOCK + (n / BLOCK)^2 copies rather than n^2.
+    """
+    return (
+        f"flatten(aggregate(transform(sequence(0, (size({array}) - 1) div {BLOCK}), b -> transform(sequence(b * {BLOCK}, least((b + 1) * {BLOCK}, size({array})) - 1), i -> {array}[i])), "
+        f"named_struct('st', {start}, 'out', cast(array() AS array<array<{kind}>>)), "
+        f"(acc, block) -> transform(array(aggregate(block, named_struct('st', acc.st, 'out', cast(array() AS array<{kind}>)), "
+        f"(a, x) -> named_struct('st', {step}, 'out', array_append(a.out, {out})))), r -> named_struct('st', r.st, 'out', array_append(acc.out, r.out)))[0], acc -> acc.out))"
     )
-    return F.expr(f"IF(size({matches}) > 0, {one}, cast(array() AS array<struct<s:int,e:int,m:string,pre:string,post:string>>))")
+
+
+def _located(t: DataFrame, name: str) -> DataFrame:
+    """t with l_name: structs (s, e, m, pre, post) of the matches m_name, from the pieces p_name between them."""
+    m, p = f"m_{name}", f"p_{name}"
+    t = t.withColumn(f"z_{name}", F.expr(f"IF(size({m}) > 0, arrays_zip({m}, {p}), NULL)"))
+    starts = scan(f"z_{name}", "0", f"a.st + length(x.{p}) + coalesce(length(x.{m}), 0)", f"a.st + length(x.{p})", "int")
+    t = t.withColumn(f"s_{name}", F.expr(f"IF(size({m}) > 0, {starts}, NULL)"))
+    one = f"transform({m}, (m, i) -> named_struct('s', s_{name}[i], 'e', s_{name}[i] + length(m), 'm', m, 'pre', right({p}[i], {CONTEXT_CHARS}), 'post', left({p}[i + 1], 1)))"
+    return t.withColumn(f"l_{name}", F.expr(f"IF(size({m}) > 0, {one}, cast(array() AS array<struct<s:int,e:int,m:string,pre:string,post:string>>))"))
 
 
 def _votes(kind: str, base: str) -> str:
@@ -118,9 +132,8 @@ def _votes(kind: str, base: str) -> str:
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """docs with pii_found: an array of candidate structs (kind, s, e, base, the VOTERS, the SHAPES)."""
-    names = [f"`{c}`" for c in docs.columns]
-    t = docs.select(F.struct(*[F.col(c) for c in names]).alias("pii_row"), F.coalesce(F.col("text"), F.lit("")).alias("pii_text"))
+    """row (a struct of docs' columns) and found: an array of candidate structs (kind, s, e, base, the VOTERS, the SHAPES)."""
+    t = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("pii_text"))
     gates = {"email": F.contains("pii_text", F.lit("@")), "phone": F.contains("pii_text", F.lit("+"))}
     none = F.array().cast("array<string>")
     for kind, pattern in BASE.items():
@@ -139,7 +152,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     for name, pattern in [*((k, p) for k, p in BASE.items()), *((f"loose_{k}", p) for k, (p, _) in LOOSE.items())]:
         t = t.withColumn(f"p_{name}", F.when(F.size(f"m_{name}") > 0, F.split("pii_text", pattern, -1)))
     for name in [*BASE, *(f"loose_{k}" for k in LOOSE)]:
-        t = t.withColumn(f"l_{name}", _located(f"m_{name}", f"p_{name}"))
+        t = _located(t, name)
     parts = []
     for kind in KINDS:
         parts.append(f"transform(filter(l_{kind}, x -> {VALID[kind]}), x -> {_votes(kind, 'true')})")
@@ -147,17 +160,28 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     more = [f"transform(filter(l_card, x -> length({_digits()}) BETWEEN 13 AND 19 AND NOT ({VALID['card']})), x -> {_votes('card', 'false')})"]
     more += [f"transform(l_loose_{kind}, x -> {_votes(kind, 'false')})" for kind in LOOSE]
     t = t.withColumn("pii_more", F.expr(f"concat({', '.join(more)})"))
-    apart = F.expr("filter(pii_more, c -> NOT exists(pii_base, b -> b.s < c.e AND c.s < b.e))")
-    return t.select("pii_row", F.concat("pii_base", apart).alias("pii_found")).select("pii_row.*", "pii_found")
+    # A candidate stands apart from all base spans if those that begin before its end have ended by its start: one sweep over ends and starts in order.
+    events = (
+        "sort_array(concat(transform(pii_base, b -> named_struct('at', b.s, 'base', 1, 'i', -1, 'other', b.e)), "
+        "transform(pii_more, (c, i) -> named_struct('at', c.e, 'base', 0, 'i', i, 'other', c.s))))"
+    )
+    both = "size(pii_base) > 0 AND size(pii_more) > 0"
+    t = t.withColumn("events", F.expr(f"IF({both}, {events}, NULL)"))
+    apart = scan("events", "-1", "IF(x.base = 1, greatest(a.st, x.other), a.st)", "IF(x.base = 0 AND a.st <= x.other, x.i, -1)", "int")
+    kept = f"transform(filter({apart}, i -> i >= 0), i -> pii_more[i])"
+    return t.select("row", F.expr(f"IF({both}, concat(pii_base, {kept}), concat(pii_base, pii_more))").alias("found"))
 
 
 Model = dict[int, tuple[float, dict[str, dict[int, float]]]]
 
 
 def fit(found: DataFrame, rounds: int = 30, belief: float = 10.0) -> Model:
-    """By kind: the classifier's prior log-odds and its weight for each value of each vote and shape. found has pii_found."""
+    """By kind: the classifier's prior log-odds and its weight for each value of each vote and shape. found has found."""
     keys = ["kind", *VOTERS, *SHAPES]
-    rows = found.select(F.explode("pii_found").alias("c")).select(*[F.col(f"c.{k}") for k in keys]).groupBy(*keys).count().collect()
+    # One string for each candidate: were the fields taken one by one, the candidates would be looked for once for each.
+    packed = F.transform("found", lambda c: F.concat_ws(",", *[c[k].cast("string") for k in keys]))
+    counted = found.select(F.explode(packed).alias("c")).groupBy("c").count().collect()
+    rows = [dict(zip(keys, map(int, r["c"].split(",")), strict=True)) | {"count": r["count"]} for r in sorted(counted)]
     hope = {True: (0.4, 0.5, 0.1), False: (0.4, 0.1, 0.5)}  # P(abstain, for, against) before any data
     model: Model = {}
     for kind in range(len(KINDS)):
@@ -197,7 +221,7 @@ def fit(found: DataFrame, rounds: int = 30, belief: float = 10.0) -> Model:
 
 
 def accepted(model: Model, threshold: float = THRESHOLD) -> Column:
-    """pii_found less the candidates that the classifier turns down, by start, then kind."""
+    """found less the candidates that the classifier turns down, by start, then kind."""
 
     def probability(c: Column) -> Column:
         odds = F.lit(0.0)
@@ -211,8 +235,8 @@ def accepted(model: Model, threshold: float = THRESHOLD) -> Column:
             odds = F.when(c["kind"] == kind, score).otherwise(odds)
         return 1 / (1 + F.exp(-odds))
 
-    kept = F.filter("pii_found", lambda c: c["base"] | (probability(c) >= threshold))
-    return F.array_sort(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), c["base"].alias("base"))))
+    kept = F.filter("found", lambda c: c["base"] | (probability(c) >= threshold))
+    return F.sort_array(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), c["base"].alias("base"))))
 
 
 def span_text(spans: Column) -> Column:
@@ -224,21 +248,33 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets (of spans that overlap, the first), and n_chars, if it has that column, brought up to date."""
     found = with_candidates(docs)
-    spans = accepted(fit(found))
-    cut = F.expr(
-        """concat(aggregate(pii_spans, named_struct('at', 0, 'out', ''), (a, c) -> IF(c.s < a.at, a,
-             named_struct('at', c.e, 'out', concat(a.out, substring(text, a.at + 1, c.s - a.at), '<', element_at(array('EMAIL', 'IP', 'CARD', 'PHONE'), c.kind + 1), '>'))),
-           a -> concat(a.out, substring(text, a.at + 1))))"""
-    )
-    out = found.withColumn("pii_spans", spans).withColumn("text", F.when(F.size("pii_spans") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    spans = found.select("row", accepted(fit(found)).alias("spans"))
+    some = "size(spans) > 0"
+    chunks = F.expr(rf"IF({some}, regexp_extract_all(row.text, '(?s).{{1,{CHUNK}}}', 0), NULL)")
+    # Before each span that counts: its plain text, from the end of the last one; a span that begins earlier gives null.
+    parts = scan("spans", "0", "IF(x.s < a.st, a.st, x.e)", "IF(x.s < a.st, NULL, named_struct('at', a.st, 's', x.s, 'e', x.e, 'kind', x.kind))", "struct<at:int,s:int,e:int,kind:int>")
+    t = spans.withColumn("chunks", chunks).withColumn("parts", F.expr(f"IF({some}, filter({parts}, x -> x IS NOT NULL), NULL)"))
+    joined = lambda lo, last: f"array_join(transform(sequence({lo} div {CHUNK}, {last}), i -> chunks[i]), '')"
+    before = f"substring({joined('x.at', f'x.s div {CHUNK}')}, x.at % {CHUNK} + 1, x.s - x.at)"
+    cut = f"transform(parts, x -> concat({before}, '<', element_at(array('EMAIL', 'IP', 'CARD', 'PHONE'), x.kind + 1), '>'))"
+    end = "element_at(parts, -1).e"
+    rest = f"IF({end} div {CHUNK} < size(chunks), substring({joined(end, 'size(chunks) - 1')}, {end} % {CHUNK} + 1), '')"
+    text = F.expr(f"IF({some}, concat(array_join({cut}, ''), {rest}), row.text)")
+    out = t.select("row", "spans", text.alias("redacted"))
+    columns = []
+    for f in docs.schema:
+        own = F.col("row." + quoted(f.name))
+        if f.name == "text":
+            own = F.col("redacted")
+        elif f.name == "n_chars":
+            own = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(own).cast(f.dataType)
+        columns.append(own.alias(f.name))
+    return out.select(*columns)
 
 
 def op1_pii(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = stage_table(with_candidates(docs).select("doc_id", "pii_found"), "pii-candidates")
+    found = stage_table(with_candidates(docs).select(F.col("row.doc_id").alias("doc_id"), "found"), "pii-candidates")
     spans = found.withColumn("spans", accepted(fit(found)))
     base = F.filter("spans", lambda c: c["base"])
     count = lambda k: F.size(F.filter("spans", lambda c: c["base"] & (c["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
