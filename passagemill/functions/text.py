@@ -9,7 +9,7 @@ from passagemill.config import IngestConfig
 
 #: Fixed values of the data model: limits of request fields, and the kinds a provenance marker may name.
 MAX_SCOPE, MAX_PATH, MAX_STATUS, MAX_TOP_K = 512, 2048, 256, 50
-PROVENANCE = r"\[Source: (user override|empirical|agent inference) [—-] (\d{4}-\d{2}-\d{2})\]"
+PROVENANCE = r"\[Source:\s*(user override|empirical|agent inference)\s*[—-]\s*(\d{4}-\d{2}-\d{2})\s*\]"
 HEADING_JOINT = " › "
 
 
@@ -66,8 +66,8 @@ def normalise_body(rest: Column) -> Column:
 
 def provenance(body: Column) -> Column:
     """struct(kind, date) of the first marker; both null without one, or when its date is impossible."""
-    date = F.try_to_date(F.regexp_extract(body, PROVENANCE, 2), "yyyy-MM-dd")
-    return F.struct(F.when(date.isNotNull(), F.regexp_extract(body, PROVENANCE, 1)).alias("kind"), date.alias("date"))
+    date = F.try_to_date(F.regexp_extract(body, "(?U)" + PROVENANCE, 2), "yyyy-MM-dd")
+    return F.struct(F.when(date.isNotNull(), F.regexp_extract(body, "(?U)" + PROVENANCE, 1)).alias("kind"), date.alias("date"))
 
 
 def query_text(q: Column, cfg: IngestConfig) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def first_hits(results: DataFrame, golden: DataFrame, top_k: int) -> DataFrame:
-    """golden (query_id, expect_path_or_uri) with hit_rank (null: a miss), returned (the paths in order) and degraded."""
+    """golden (query_id, expect_path_or_uri) with hit_rank (null: a miss), returned (the first top_k paths in order) and degraded."""
     r = results.join(golden.select("query_id", "expect_path_or_uri"), "query_id")
     hit = F.array_contains("expect_path_or_uri", F.col("path_or_uri")) & (F.col("position") <= top_k)
     each = r.groupBy("query_id").agg(
         F.min(F.when(hit, F.col("position"))).alias("hit_rank"),
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "path_or_uri"))), lambda x: x["path_or_uri"]).alias("returned"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("position") <= top_k, F.struct("position", "path_or_uri")))), lambda x: x["path_or_uri"]).alias("returned"),
         F.bool_or("degraded").alias("degraded"),
     )
     empty = F.array().cast("array<string>")

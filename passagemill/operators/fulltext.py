@@ -67,15 +67,15 @@ def hits(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return p.join(t, on).select("query_id", "clause", "item", "offset", "length", "negated", "passage_id", "pos", "weight", F.col("t.lexeme").alias("lexeme"))
 
 
-def matches(posts: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
-    """query_id, passage_id of passages that satisfy some clause: all its items, none of its negated ones. A clause of negated items alone matches the rest of the tenant's passages."""
+def matches(every: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, passage_id of passages that satisfy some clause: all its items, none of its negated ones. A clause of negated items alone matches the rest of every (client_name, scope, passage_id): all passages of the tenant, also those without a token."""
     whole = found.groupBy("query_id", "clause", "item", "length", "negated", "passage_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n")).filter("n = length")
     items = whole.select("query_id", "clause", "item", "negated", "passage_id").distinct()
     got = items.groupBy("query_id", "clause", "passage_id").agg(F.count_if(~F.col("negated")).alias("yes"), F.count_if("negated").alias("no"))
     need = terms.select("query_id", "client_name", "repo_filter", "clause", "item", "negated").distinct().groupBy("query_id", "client_name", "repo_filter", "clause").agg(F.count_if(~F.col("negated")).alias("need"))
     positive = got.join(need.filter("need > 0").select("query_id", "clause", "need"), ["query_id", "clause"]).filter("yes = need AND no = 0").select("query_id", "passage_id")
     only_not = need.filter("need = 0").alias("n")
-    every = posts.select("client_name", "scope", "passage_id").distinct().alias("e")
+    every = every.select("client_name", "scope", "passage_id").alias("e")
     rest = every.join(only_not, (F.col("e.client_name") == F.col("n.client_name")) & in_scope("n.repo_filter", "e.scope")).select("query_id", "clause", "passage_id")
     negative = rest.join(got.select("query_id", "clause", "passage_id"), ["query_id", "clause", "passage_id"], "left_anti").select("query_id", "passage_id")
     return positive.unionByName(negative).distinct()
@@ -84,39 +84,42 @@ def matches(posts: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
 def cover_density(at: list[tuple[int, float, list[tuple[int, int, int, int]]]], clauses: dict[int, set[int]]) -> float:
     """Rank of one passage: over each minimal span of the hits (pos, weight, [(clause, item, offset, length)]) that holds all items of a clause, hits / sum of 1/weight, over 1 + the span's other words."""
 
-    def satisfied(lo: int, hi: int) -> bool:
-        runs: dict[tuple[int, int, int], set[int]] = {}
-        seen: dict[int, set[int]] = {}
-        for pos, _, roles in at[lo : hi + 1]:
-            for clause, item, offset, length in roles:
-                run = runs.setdefault((clause, item, pos - offset), set())
-                run.add(offset)
-                if len(run) == length:
-                    seen.setdefault(clause, set()).add(item)
-        return any(need <= seen.get(c, set()) for c, need in clauses.items() if need)
-
-    total, begin, n = 0.0, 0, len(at)
-    while begin < n:
-        end = begin
-        while end < n and not satisfied(begin, end):
-            end += 1
-        if end == n:
-            break
-        lo = end
-        while not satisfied(lo, end):
-            lo -= 1
-        weight = sum(1 / at[i][1] for i in range(lo, end + 1))
-        count = end - lo + 1
-        noise = (at[end][0] - at[lo][0]) - (count - 1)
-        total += (count / weight) / (1 + max(0, noise))
-        begin = lo + 1
+    runs: dict[tuple[int, int, int], int] = {}  # offsets in the window of each place of each item
+    whole: dict[tuple[int, int], int] = {}  # whole places of each item
+    met = dict.fromkeys(clauses, 0)  # items of each clause that are there
+
+    def count(i: int, step: int) -> None:
+        pos, _, roles = at[i]
+        for clause, item, offset, length in set(roles):
+            run, own = (clause, item, pos - offset), (clause, item)
+            was = runs.get(run, 0)
+            runs[run] = was + step
+            if max(was, was + step) == length:
+                before = whole.get(own, 0)
+                whole[own] = before + step
+                if clause in met and item in clauses[clause] and 0 in (before, before + step):
+                    met[clause] += step
+
+    satisfied = lambda: any(met[c] == len(need) for c, need in clauses.items() if need)
+    total, lo = 0.0, 0
+    for end in range(len(at)):
+        count(end, 1)
+        first = lo
+        while satisfied():
+            count(lo, -1)
+            lo += 1
+        if lo > first:
+            first, matched = lo - 1, end - lo + 2
+            noise = (at[end][0] - at[first][0]) - (matched - 1)
+            weight = sum(1 / at[i][1] for i in range(first, end + 1))
+            total += (matched / weight) / (1 + max(0, noise))
     return float(np.float32(total))
 
 
-def ranked(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, passage_id, rank (float) of all matching passages. Queries whose clauses have one term each are a native sum of weights; the helper sees the hits of one matched passage at a time for the others."""
+def ranked(posts: DataFrame, terms: DataFrame, every: DataFrame) -> DataFrame:
+    """query_id, passage_id, rank (float) of all matching passages of every (client_name, scope, passage_id), which posts are of. Queries whose clauses have one term each are a native sum of weights; the helper sees the hits of one matched passage at a time for the others."""
     found = hits(posts, terms)
-    matched = matches(posts, terms, found)
+    matched = matches(every, terms, found)
     value = F.lit(None).cast("double")
     for label, w in WEIGHTS.items():
         value = F.when(F.col("weight") == label, F.lit(w)).otherwise(value)

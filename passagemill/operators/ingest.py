@@ -12,16 +12,22 @@ from passagemill.config import IngestConfig
 from passagemill.functions import text as tx
 from passagemill.functions import vectors as vf
 from passagemill.operators.split import split_notes
+from passagemill.session import stage_table
 
 IDENTITY = ["client_name", "scope", "path_or_uri"]
 MUTABLE = ["name", "description", "type", "provenance_kind", "provenance_date", "status", "content_hash", "pipeline_version", "body", "meta", "updated_at"]
-#: Passages of one note have ids note_id * ROOM + ordinal, so that id order is (note, ordinal) order for small note ids.
-ROOM = 1 << 20
+#: Passages of a note with an id below SMALL have ids note_id * ROOM + ordinal, so that id order is (note, ordinal) order; those of other notes have hashes.
+ROOM, SMALL = 1 << 20, 1 << 43
+NOTE = ["client_name", "note_id"]
 
 
 def note_id(client: Column, scope: Column, path: Column) -> Column:
-    """The id of a new note: a stable hash of its identity, of 43 bits so that passage ids fit."""
-    return F.pmod(F.xxhash64(client, scope, path), F.lit(1 << 43))
+    """The id of a new note: a stable hash of its identity, not below SMALL. Joins go by (client_name, note_id), so ids need only be unique within a tenant."""
+    return F.xxhash64(client, scope, path).bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(F.lit(SMALL))
+
+
+def passage_id(note: Column, ordinal: Column) -> Column:
+    return F.when(note < SMALL, note * ROOM + ordinal).otherwise(F.xxhash64(note, ordinal))
 
 
 def normal_requests(requests: DataFrame) -> DataFrame:
@@ -51,10 +57,10 @@ def outcomes(requests: DataFrame, notes: DataFrame, cfg: IngestConfig) -> DataFr
     return both.withColumn("outcome", outcome).withColumn("note_id", own).drop("_id", "_hash", "_version")
 
 
-def failed_notes(passages: DataFrame, width: int) -> DataFrame:
-    """note_id and fault of notes of which any passage has a faulty vector."""
-    faults = passages.select("note_id", "ordinal", vf.vector_fault(F.col("embedding").cast("array<double>"), width).alias("fault")).filter("fault IS NOT NULL")
-    return faults.groupBy("note_id").agg(F.min_by("fault", "ordinal").alias("fault"))
+def failed_notes(passages: DataFrame, width: int, keys: list[str]) -> DataFrame:
+    """keys and fault of notes of which any passage has a faulty vector."""
+    faults = passages.select(*keys, "ordinal", vf.vector_fault(F.col("embedding").cast("array<double>"), width).alias("fault")).filter("fault IS NOT NULL")
+    return faults.groupBy(*keys).agg(F.min_by("fault", "ordinal").alias("fault"))
 
 
 def upsert_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
@@ -106,31 +112,32 @@ Embed = Callable[[Column], Column]
 def ingest(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notes, passages, results) after requests. results: request_id, identity, note_id, outcome, fault, passages.
 
-    The skip join comes before splitting and embedding, so that only new and changed notes pay for them. A note with a faulty vector fails as a whole and keeps what it had.
+    The skip join comes before splitting and embedding, so that only new and changed notes pay for them. Split notes and embedded passages are staged: each passage is embedded once, and the vectors that are stored are those that were checked. A note with a faulty vector fails as a whole and keeps what it had.
     """
     now = now if now is not None else F.current_timestamp()
     r = normal_requests(requests)
     r = r.withColumn("fault", tx.request_fault(F.col("scope"), F.col("path_or_uri"), F.col("content"), F.col("status"), cfg))
     rejected = r.filter("fault IS NOT NULL")
     good = outcomes(latest_per_identity(r.filter("fault IS NULL")), notes, cfg)
-    work = split_notes(good.filter("outcome <> 'skipped'"))
+    work = stage_table(split_notes(good.filter("outcome <> 'skipped'")).drop("content", "fault"), "ingest-notes")
     pieces = work.select("note_id", "client_name", "scope", "name", F.explode("passages").alias("p")).select("note_id", "client_name", "scope", "name", "p.*")
     # Long notes would pin one embedder; passages are dealt out evenly.
     pieces = pieces.repartition(F.xxhash64("note_id", "ordinal"))
     embedded = pieces.withColumn("embedding", embed(tx.embedding_input(F.col("name"), F.col("heading_path"), F.col("content"))))
-    bad = failed_notes(embedded, cfg.dimension)
-    fine = work.join(bad, "note_id", "left_anti")
+    embedded = stage_table(embedded, "ingest-passages")
+    bad = failed_notes(embedded, cfg.dimension, NOTE)
+    fine = work.join(bad, NOTE, "left_anti")
     new_notes = fine.select(
         F.col("note_id").alias("id"), *IDENTITY, "name", "description", "type", "provenance_kind", "provenance_date", "status", "content_hash", "pipeline_version", "body", "meta",
         now.alias("created_at"), now.alias("updated_at"),
     )
-    new_passages = embedded.join(bad, "note_id", "left_anti").select(
-        (F.col("note_id") * ROOM + F.col("ordinal")).alias("id"), "note_id", "client_name", "scope", "ordinal", "heading_path", "content", F.col("embedding").cast("array<float>").alias("embedding"),
+    new_passages = embedded.join(bad, NOTE, "left_anti").select(
+        passage_id(F.col("note_id"), F.col("ordinal")).alias("id"), "note_id", "client_name", "scope", "ordinal", "heading_path", "content", F.col("embedding").cast("array<float>").alias("embedding"),
         vf.degenerate(F.col("embedding").cast("array<float>")).alias("embedding_degenerate"),
     )
-    stored = passage_counts(passages).select("note_id", F.col("passages").alias("stored"))
+    stored = passage_counts(passages).select(*NOTE, F.col("passages").alias("stored"))
     results = (
-        good.drop("fault").join(bad, "note_id", "left").join(work.select("note_id", F.size("passages").alias("made")), "note_id", "left").join(stored, "note_id", "left")
+        good.drop("fault").join(bad, NOTE, "left").join(work.select(*NOTE, F.size("passages").alias("made")), NOTE, "left").join(stored, NOTE, "left")
         .select("request_id", *IDENTITY, "note_id", F.when(F.col("fault").isNotNull(), "failed").otherwise(F.col("outcome")).alias("outcome"), "fault",
                 F.when(F.col("fault").isNotNull(), F.lit(0)).when(F.col("outcome") == "skipped", F.coalesce("stored", F.lit(0))).otherwise(F.coalesce("made", F.lit(0))).cast("long").alias("passages"))
         .unionByName(rejected.select("request_id", *IDENTITY, F.lit(None).cast("long").alias("note_id"), F.lit("rejected").alias("outcome"), "fault", F.lit(0).cast("long").alias("passages")))

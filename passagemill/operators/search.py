@@ -57,7 +57,7 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, notes: DataFrame, cfg
         posts = fulltext.english(posts) if stemmed else fulltext.simple(posts)
     by_text = q.filter("w_fts IS NOT NULL")
     terms = fulltext.query_terms(by_text, stemmed)
-    fts = fulltext.top_candidates(fulltext.ranked(posts, terms), by_text, cfg.candidates, cfg.default_top_k)
+    fts = fulltext.top_candidates(fulltext.ranked(posts, terms, passages), by_text, cfg.candidates, cfg.default_top_k)
     by_vector = q.filter("w_vec IS NOT NULL")
     vec = vector.nearest(passages, by_vector, cfg.candidates, cfg.default_top_k)
     arms = fts.join(q.select("query_id", F.col("w_fts").alias("w")), "query_id").withColumn("arm", F.lit("fts")).unionByName(

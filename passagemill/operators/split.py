@@ -8,7 +8,8 @@ Arrow helper that sees one note at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from passagemill.functions import text as tx
 
 #: Fixed values of the splitter: size aimed at, largest passage, size under which a section is short.
 TARGET_CHARS, MAX_CHARS, MIN_SECTION_CHARS = 1500, 4000, 300
+JOIN = "\n\n"
 HEADING = r"^(#{2,3})\s+(.+)$"
 
 
@@ -80,48 +82,34 @@ def scan(body: str) -> list[tuple[str | None, str]]:
     return out[1:] if len(out) > 1 and not out[0][1] else out
 
 
+def run_starts(sizes: list[int], joins: Callable[[int, int], bool]) -> list[int]:
+    """Where runs begin, when item i joins the run before it if joins(i, length of that run with it)."""
+    longer = lambda run, item: (item[0], run[1] + len(JOIN) + item[1])
+    runs = accumulate(enumerate(sizes), lambda run, item: grown if joins(*(grown := longer(run, item))) else item)
+    return [i for i, length in runs if length == sizes[i]]
+
+
+def joined_runs(texts: list[str], starts: list[int]) -> list[str]:
+    return [JOIN.join(texts[a:b]) for a, b in zip(starts, [*starts[1:], None], strict=True)]
+
+
 def merge_short(found: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
-    """Short sections joined to the unit before while that stays within the target; a leading run of them goes to the first long section."""
-    units: list[tuple[str | None, str]] = []
-    waiting: list[tuple[str | None, str]] = []
-    joined = lambda parts: "\n\n".join(t for _, t in parts)
-    for path, text in found:
-        short = len(text.strip()) < MIN_SECTION_CHARS
-        if short and waiting:
-            if len(joined([*waiting, (path, text)])) <= TARGET_CHARS:
-                waiting.append((path, text))
-                continue
-            units.append((waiting[0][0], joined(waiting)))
-            waiting = []
-        if short and units:
-            together = f"{units[-1][1]}\n\n{text}"
-            if len(together) <= TARGET_CHARS:
-                units[-1] = (units[-1][0], together)
-                continue
-        elif short:
-            waiting.append((path, text))
-            continue
-        units.append((path, joined([*waiting, (path, text)])))
-        waiting = []
-    return units + ([(waiting[0][0], joined(waiting))] if waiting else [])
+    """Units of sections. A short section joins the unit before it within the target, and the first long section the short ones before it if they are one unit, which then has its heading."""
+    paths, texts = [p for p, _ in found], [t for _, t in found]
+    short = [len(t.strip()) < MIN_SECTION_CHARS for t in texts]
+    head = short.index(False) if False in short else 0
+    leads = head > 0 and len(JOIN.join(texts[:head])) <= TARGET_CHARS
+    starts = run_starts(list(map(len, texts)), lambda i, length: (leads and i == head) or (short[i] and length <= TARGET_CHARS))
+    headings = [paths[head if leads and i == 0 else i] for i in starts]
+    return list(zip(headings, joined_runs(texts, starts), strict=True))
 
 
 def pack(unit: str) -> list[str]:
-    """A unit over MAX_CHARS in pieces of whole paragraphs near the target; paragraphs over MAX_CHARS are sliced."""
+    """A unit over MAX_CHARS in pieces of whole paragraphs near the target; paragraphs over MAX_CHARS are sliced, and empty ones left out."""
     if len(unit) <= MAX_CHARS:
         return [unit]
-    out, buffer = [], ""
-    for paragraph in re.split(r"\n[ \t]*\n+", unit):
-        for i in range(0, len(paragraph), MAX_CHARS):
-            piece = paragraph[i : i + MAX_CHARS]
-            if not piece.strip():
-                continue
-            if buffer and len(buffer) + 2 + len(piece) > TARGET_CHARS:
-                out.append(buffer)
-                buffer = piece
-            else:
-                buffer = f"{buffer}\n\n{piece}" if buffer else piece
-    return out + [buffer] if buffer else out
+    slices = [p[i : i + MAX_CHARS] for p in re.split(r"\n[ \t]*\n+", unit) for i in range(0, len(p), MAX_CHARS)]
+    return joined_runs(slices, run_starts(list(map(len, slices)), lambda _, length: length <= TARGET_CHARS)) if slices else []
 
 
 def passages_of(body: str) -> list[tuple[str | None, str]]:
@@ -155,16 +143,11 @@ def read_note(content: Column) -> Column:
 
 
 def _yaml_fields(block: str | None) -> dict:
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
+    import yaml
+
     out = {"ok": False, "name": None, "description": None, "type": None}
     if block is None:
         return out
-    if yaml is None:
-        found = dict(re.findall(r"(?m)^(name|description|type):[ \t]+([^\r\n]*?)[ \t]*$", block))
-        return out | {"ok": bool(block.strip())} | found
     try:
         read = yaml.safe_load(block)
     except Exception:  # noqa: BLE001  whatever the parser dislikes makes the block no frontmatter

@@ -33,7 +33,7 @@ def p4_hybrid_search_english(s, d):
 
 def _fts(s, d):
     q = t.queries(s, d)
-    return fulltext.top_candidates(fulltext.ranked(_posts(s, d), fulltext.query_terms(q, False)), q, CFG.candidates)
+    return fulltext.top_candidates(fulltext.ranked(_posts(s, d), fulltext.query_terms(q, False), t.passages(s, d)), q, CFG.candidates)
 
 
 def e1_postings(s, d):
@@ -52,26 +52,26 @@ def e3_query_terms(s, d):
 
 
 def _two_words(s, d):
-    """Two neighbouring words of each benchmark item as phrase, as pair, as alternative, and as exclusion."""
+    """Two neighbouring words of each benchmark item as phrase, as pair, as alternative, and as exclusion, and the first word's exclusion alone."""
     w = fulltext.tokens(F.col("text"))
     b = t.table(s, d, "benchmark").select("item_id", w[0].alias("a"), w[1].alias("b")).filter("b IS NOT NULL")
-    forms = F.array(F.concat(F.lit('"'), "a", F.lit(" "), "b", F.lit('"')), F.concat("a", F.lit(" "), "b"), F.concat("a", F.lit(" OR "), "b"), F.concat("a", F.lit(" -"), "b"))
-    return b.select("item_id", F.posexplode(forms).alias("form", "q")).select((F.col("item_id") * 4 + F.col("form")).alias("query_id"), F.lit("en").alias("client_name"), "q", F.lit(None).cast("string").alias("repo_filter"), F.lit(5).alias("top_k"))
+    forms = F.array(F.concat(F.lit('"'), "a", F.lit(" "), "b", F.lit('"')), F.concat("a", F.lit(" "), "b"), F.concat("a", F.lit(" OR "), "b"), F.concat("a", F.lit(" -"), "b"), F.concat(F.lit("-"), "a"))
+    return b.select("item_id", F.posexplode(forms).alias("form", "q")).select((F.col("item_id") * 5 + F.col("form")).alias("query_id"), F.lit("en").alias("client_name"), "q", F.lit(None).cast("string").alias("repo_filter"), F.lit(5).alias("top_k"))
 
 
 def e4_matches(s, d):
     q, posts = _two_words(s, d), _posts(s, d)
     terms = fulltext.query_terms(q, False)
-    return fulltext.matches(posts, terms, fulltext.hits(posts, terms))
+    return fulltext.matches(t.passages(s, d), terms, fulltext.hits(posts, terms))
 
 
 def e5_cover_density(s, d):
     terms = fulltext.query_terms(_two_words(s, d), False)
-    return fulltext.ranked(_posts(s, d), terms).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 5).alias("rank"))
+    return fulltext.ranked(_posts(s, d), terms, t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 5).alias("rank"))
 
 
 def e5_term_rank(s, d):
-    return fulltext.ranked(_posts(s, d), fulltext.query_terms(t.queries(s, d), False)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 4).alias("rank"))
+    return fulltext.ranked(_posts(s, d), fulltext.query_terms(t.queries(s, d), False), t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 4).alias("rank"))
 
 
 def e6_candidates(s, d):
@@ -205,11 +205,12 @@ _TWO = r""", two AS (
 en AS (SELECT * FROM posts WHERE client_name = 'en'),
 ha AS (SELECT item_id, passage_id, pos, weight FROM two JOIN en ON lexeme = a), hb AS (SELECT item_id, passage_id, pos, weight FROM two JOIN en ON lexeme = b),
 m AS (
-  SELECT DISTINCT ha.item_id * 4 AS query_id, ha.passage_id FROM ha JOIN hb ON ha.item_id = hb.item_id AND ha.passage_id = hb.passage_id AND hb.pos = ha.pos + 1
-  UNION SELECT DISTINCT ha.item_id * 4 + 1, ha.passage_id FROM ha SEMI JOIN hb USING (item_id, passage_id)
-  UNION SELECT item_id * 4 + 2, passage_id FROM ha UNION SELECT item_id * 4 + 2, passage_id FROM hb
-  UNION SELECT DISTINCT ha.item_id * 4 + 3, ha.passage_id FROM ha ANTI JOIN hb USING (item_id, passage_id))"""
-_GOLD = ", gold AS (SELECT query_id, ['docs/' || query_id || '.md', 'docs/' || (query_id + 1) || '.md'] AS want FROM q), hits AS (SELECT g.query_id, min(position) FILTER (list_contains(want, path_or_uri) AND position <= 5) AS hit_rank, coalesce(bool_or(degraded), false) AS degraded, string_agg(path_or_uri, ',' ORDER BY position) AS returned FROM gold g LEFT JOIN results r ON r.query_id = g.query_id GROUP BY 1)"
+  SELECT DISTINCT ha.item_id * 5 AS query_id, ha.passage_id FROM ha JOIN hb ON ha.item_id = hb.item_id AND ha.passage_id = hb.passage_id AND hb.pos = ha.pos + 1
+  UNION SELECT DISTINCT ha.item_id * 5 + 1, ha.passage_id FROM ha SEMI JOIN hb USING (item_id, passage_id)
+  UNION SELECT item_id * 5 + 2, passage_id FROM ha UNION SELECT item_id * 5 + 2, passage_id FROM hb
+  UNION SELECT DISTINCT ha.item_id * 5 + 3, ha.passage_id FROM ha ANTI JOIN hb USING (item_id, passage_id)
+  UNION SELECT item_id * 5 + 4, passage_id FROM (SELECT item_id, passage_id FROM two, p WHERE client_name = 'en') x ANTI JOIN ha USING (item_id, passage_id))"""
+_GOLD = ", gold AS (SELECT query_id, ['docs/' || query_id || '.md', 'docs/' || (query_id + 1) || '.md'] AS want FROM q), hits AS (SELECT g.query_id, min(position) FILTER (list_contains(want, path_or_uri) AND position <= 5) AS hit_rank, coalesce(bool_or(degraded), false) AS degraded, string_agg(path_or_uri, ',' ORDER BY position) FILTER (position <= 5) AS returned FROM gold g LEFT JOIN results r ON r.query_id = g.query_id GROUP BY 1)"
 
 ALL = {
     "p4_hybrid_search": (p4_hybrid_search, WITH + "SELECT * FROM results"),

@@ -158,7 +158,7 @@ def r1_ingest_stream(s, d):
 
 
 def a4_summary(s, d):
-    return ingest.run_summary(_ingested(s, d)[2].withColumn("passages", F.lit(1)))
+    return ingest.run_summary(_ingested(s, d)[2].withColumn("passages", F.when(F.col("outcome") == "skipped", F.col("passages")).otherwise(F.lit(1))))
 
 
 def _vectors(s, d):
@@ -197,7 +197,7 @@ def a8_norms(s, d):
 
 def a9_failed_notes(s, d):
     p = _vectors(s, d).select(F.floor(F.col("id") / 4).alias("note_id"), (F.col("id") % 4).cast("int").alias("ordinal"), "embedding")
-    return ingest.failed_notes(p, WIDTH)
+    return ingest.failed_notes(p, WIDTH, ["note_id"])
 
 
 def p2_hash_embedding(s, d):
@@ -253,7 +253,7 @@ ALL = {
     "u3_upsert": (u3_upsert, READ + "SELECT CASE WHEN id % 2 = 0 THEN id ELSE id + 1000000000 END AS id, path_or_uri, CASE WHEN id % 3 = 0 THEN 'upserted' END AS status, 2026 AS created, CASE WHEN id % 2 = 0 THEN 1 ELSE 11 END AS month, id % 2 = 0 AND id % 3 = 0 AS updated FROM read WHERE id % 2 = 0 OR id % 3 = 0"),
     "a3_passage_counts": (a3_passage_counts, STORE + "SELECT id AS note_id, CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END AS passage_count FROM stored"),
     "p7_get_notes": (p7_get_notes, STORE + "SELECT id, client_name, scope, path_or_uri, name, hash AS content_hash, 2 AS passage_count FROM stored WHERE id % 7 <> 0"),
-    "a4_summary": (a4_summary, STORE + "SELECT count(*) AS considered, count(*) FILTER (NOT bad AND outcome <> 'skipped') AS ingested, count(*) FILTER (NOT bad AND outcome = 'skipped') AS skipped, count(*) FILTER (bad) AS failed, count(*) AS total_passages FROM (SELECT outcome, false AS bad FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT NULL, true FROM req WHERE starts_with(path_or_uri, '/'))"),
+    "a4_summary": (a4_summary, STORE + "SELECT count(*) AS considered, count(*) FILTER (NOT bad AND outcome <> 'skipped') AS ingested, count(*) FILTER (NOT bad AND outcome = 'skipped') AS skipped, count(*) FILTER (bad) AS failed, sum(CASE WHEN NOT bad AND outcome = 'skipped' THEN 2 ELSE 1 END)::BIGINT AS total_passages FROM (SELECT outcome, false AS bad FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT NULL, true FROM req WHERE starts_with(path_or_uri, '/'))"),
     "a5_uniqueness": (a5_uniqueness, STORE + "SELECT client_name, scope, path_or_uri, count(*) AS n FROM req GROUP BY ALL HAVING count(*) > 1"),
     "a5_passage_ordinals": (a5_passage_ordinals, STORE + "SELECT note_id, ordinal, 2 AS n FROM pass WHERE note_id % 8 = 0 AND ordinal = 1"),
     "p5_ingest_results": (p5_ingest_results, STORE + "SELECT request_id, outcome, NULL::VARCHAR AS fault FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT request_id, 'rejected', 'absolute path' FROM req WHERE starts_with(path_or_uri, '/')"),

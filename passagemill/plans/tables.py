@@ -21,7 +21,7 @@ def raw_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = lambda k: F.concat(F.when(k % 3 == 2, F.lit("### ")).otherwise(F.lit("## ")), F.lit("Section "), k.cast("string"), F.lit("\n\n"))
     lines = F.split("text", "\n", -1)
     headed = F.transform(lines, lambda x, i: F.concat(F.when((F.col("doc_id") % 2 == 0) & (i % 4 == 0), heading(F.floor(i / 4).cast("int"))).otherwise(F.lit("")), x))
-    mark = F.when(F.col("doc_id") % 21 == 0, F.lit("[Source: empirical — 2026-02-30]\n\n")).when(F.col("doc_id") % 7 == 0, F.lit("[Source: agent inference - 2026-03-04]\n\n")).otherwise(F.lit(""))
+    mark = F.when(F.col("doc_id") % 21 == 0, F.lit("[Source: empirical — 2026-02-30]\n\n")).when(F.col("doc_id") % 14 == 0, F.lit("[Source:user override—2026-04-05 ]\n\n")).when(F.col("doc_id") % 7 == 0, F.lit("[Source:  agent inference  -  2026-03-04]\n\n")).otherwise(F.lit(""))
     front = F.concat(F.lit("---\nname: note "), F.col("doc_id"), F.lit("\ndescription: from "), F.col("source"), F.lit("\ntype: "), F.col("lang"), F.lit("\n---\n"))
     front = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(front)
     return table(spark, sf_dir, "documents").select(
@@ -33,7 +33,7 @@ def raw_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW = r"""raw AS (
   SELECT doc_id AS id, lang AS client_name, source AS scope, 'docs/' || doc_id || '.md' AS path_or_uri,
     CASE WHEN doc_id % 11 = 0 THEN '' ELSE '---' || chr(10) || 'name: note ' || doc_id || chr(10) || 'description: from ' || source || chr(10) || 'type: ' || lang || chr(10) || '---' || chr(10) END
-    || CASE WHEN doc_id % 21 = 0 THEN '[Source: empirical — 2026-02-30]' || chr(10) || chr(10) WHEN doc_id % 7 = 0 THEN '[Source: agent inference - 2026-03-04]' || chr(10) || chr(10) ELSE '' END
+    || CASE WHEN doc_id % 21 = 0 THEN '[Source: empirical — 2026-02-30]' || chr(10) || chr(10) WHEN doc_id % 14 = 0 THEN '[Source:user override—2026-04-05 ]' || chr(10) || chr(10) WHEN doc_id % 7 = 0 THEN '[Source:  agent inference  -  2026-03-04]' || chr(10) || chr(10) ELSE '' END
     || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
          CASE WHEN doc_id % 2 = 0 AND (i - 1) % 4 = 0 THEN (CASE WHEN ((i - 1) // 4) % 3 = 2 THEN '### ' ELSE '## ' END) || 'Section ' || ((i - 1) // 4) || chr(10) || chr(10) ELSE '' END || x), chr(10) || chr(10)) AS content
   FROM documents)"""

@@ -170,7 +170,7 @@ ALL = {
     "c7_fields": (c7_fields, READ + "SELECT id, name, description, type FROM read"),
     "c7_yaml_fields": (c7_yaml_fields, READ + "SELECT id, name, description, type FROM read"),
     "c8_body": (c8_body, READ + "SELECT id, md5(body) AS body, length(body) AS chars FROM read"),
-    "c9_provenance": (c9_provenance, READ + r"SELECT id, CASE WHEN d IS NOT NULL THEN kind END AS kind, d AS date FROM (SELECT id, regexp_extract(body, '\[Source: (user override|empirical|agent inference) [—-] (\d{4}-\d{2}-\d{2})\]', 1) AS kind, try_strptime(regexp_extract(body, '\[Source: (user override|empirical|agent inference) [—-] (\d{4}-\d{2}-\d{2})\]', 2), '%Y-%m-%d')::DATE AS d FROM read)"),
+    "c9_provenance": (c9_provenance, READ + r"SELECT id, CASE WHEN d IS NOT NULL THEN kind END AS kind, d AS date FROM (SELECT id, regexp_extract(body, '\[Source:\s*(user override|empirical|agent inference)\s*[—-]\s*(\d{4}-\d{2}-\d{2})\s*\]', 1) AS kind, try_strptime(regexp_extract(body, '\[Source:\s*(user override|empirical|agent inference)\s*[—-]\s*(\d{4}-\d{2}-\d{2})\s*\]', 2), '%Y-%m-%d')::DATE AS d FROM read)"),
     "c11_keys": (c11_keys, "SELECT c_custkey, sha256('pm_' || sha256(c_custkey::VARCHAR)) AS key_hash, substr('pm_' || sha256(c_custkey::VARCHAR), 1, 15) AS key_prefix FROM customer"),
     "c12_heading_path": (c12_heading_path, READ + _LINES + "SELECT id, section, heading_path FROM paths WHERE NOT (section = 0 AND text = '' AND many)"),
     "f1_path_rule": (f1_path_rule, f"SELECT page_id, CASE WHEN p IS NULL OR p = '' THEN 'path is empty' WHEN length(p) > 2048 THEN 'path too long' WHEN regexp_matches(p, '^[a-z][a-z0-9+.\\-]*://') THEN NULL WHEN starts_with(p, '/') THEN 'absolute path' WHEN list_contains(string_split(p, '/'), '..') THEN 'parent component' END AS fault FROM (SELECT page_id, {_PATH} AS p FROM pages)"),

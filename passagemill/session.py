@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "passagemill") -> SparkSession:
@@ -38,3 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
             _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="passagemill-")
         found = _own[context.applicationId]
     return found.rstrip("/")
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so lost executors cost no recomputation, and nothing before it runs twice."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

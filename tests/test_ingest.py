@@ -131,3 +131,31 @@ def test_stream(spark, tmp_path):
     store = feed.Store(spark, f"file://{tmp_path}/store")
     n, p = store.read()
     assert store.version() == 1 and {r.path_or_uri for r in n.collect()} == {"x.md"} and {r.content for r in p.collect()} == {"new"}
+
+
+def test_each_passage_is_embedded_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            counted.add(len(texts))
+            return [[float(len(x))] * 8 for x in texts]
+
+        return model
+
+    rows = [(i, "acme", "", f"{i}.md", "## A\n\n" + "word " * 200 + "\n\n## B\n\n" + "more " * 200, False) for i in range(5)]
+    out = ingest.ingest(spark.createDataFrame(rows, R), *empty(spark), CFG, embedder(load))
+    assert [f.count() for f in out] == [5, 10, 5] and counted.value == 10
+
+
+def test_ids_are_a_tenants_own(spark):
+    """Two tenants' notes of one id: a fault and a count of one do not reach the other."""
+    first = spark.createDataFrame([(1, "acme", "", "a.md", "one", False), (2, "globex", "", "a.md", "two", False)], R)
+    notes, passages, _ = ingest.ingest(first, *empty(spark), CFG, EMBED)
+    same = {"id": F.lit(7).cast("long")}
+    notes, passages = keep(spark, notes.withColumns(same), passages.withColumn("note_id", F.lit(7).cast("long")))
+    change = spark.createDataFrame([(3, "acme", "", "a.md", "fails now", False), (4, "globex", "", "a.md", "fine now", False)], R)
+    embed = lambda c: F.when(c.contains("fails"), F.array().cast("array<double>")).otherwise(EMBED(c))
+    n, p, r = ingest.ingest(change, notes, passages, CFG, embed)
+    assert {x.client_name: (x.outcome, x.passages) for x in r.collect()} == {"acme": ("failed", 0), "globex": ("changed", 1)}
+    assert {x.client_name: x.content for x in p.collect()} == {"acme": "one", "globex": "fine now"}

@@ -80,20 +80,20 @@ def test_weights_a_over_b_over_c(spark):
     passages, _ = make(spark, rows)
     posts = fulltext.english(fulltext.postings(passages))
     terms = fulltext.query_terms(spark.createDataFrame([(1, "a", "zebras", 5, None, None)], Q), True)
-    rank = {r.passage_id: round(r.rank, 5) for r in fulltext.ranked(posts, terms).collect()}
+    rank = {r.passage_id: round(r.rank, 5) for r in fulltext.ranked(posts, terms, passages).collect()}
     assert rank == {1: 0.2, 2: 0.4, 3: 1.0, 4: 1.0}
 
 
 def test_phrases_exclusion_and_or(spark):
-    rows = [(1, "a", "", "red fox runs", axis(0), {}), (2, "a", "", "fox red", axis(0), {}), (3, "a", "", "red wolf", axis(0), {}), (4, "a", "", "blue", axis(0), {})]
+    rows = [(1, "a", "", "red fox runs", axis(0), {}), (2, "a", "", "fox red", axis(0), {}), (3, "a", "", "red wolf", axis(0), {}), (4, "a", "", "blue", axis(0), {}), (5, "a", "", "", axis(0), {"name": None, "description": None})]
     passages, _ = make(spark, rows)
     posts = fulltext.simple(fulltext.postings(passages))
     ask = {1: '"red fox"', 2: "red fox", 3: "red -fox", 4: "fox OR wolf", 5: "-red", 6: 'red "', 7: "fox or", 8: "", 9: '-"red fox"'}
     terms = fulltext.query_terms(spark.createDataFrame([(k, "a", v, 5, None, None) for k, v in ask.items()], Q), False)
     got = {}
-    for r in fulltext.ranked(posts, terms).collect():
+    for r in fulltext.ranked(posts, terms, passages).collect():
         got.setdefault(r.query_id, set()).add(r.passage_id)
-    assert got == {1: {1}, 2: {1, 2}, 3: {3}, 4: {1, 2, 3}, 5: {4}, 6: {1, 2, 3}, 7: {1, 2}, 9: {2, 3, 4}}
+    assert got == {1: {1}, 2: {1, 2}, 3: {3}, 4: {1, 2, 3}, 5: {4, 5}, 6: {1, 2, 3}, 7: {1, 2}, 9: {2, 3, 4, 5}}
 
 
 def test_cover_density():
@@ -105,6 +105,34 @@ def test_cover_density():
     assert fulltext.cover_density(hits[:1], {0: {0, 1}}) == 0
 
 
+def test_cover_density_equals_a_plain_search():
+    """Against trying every window; many hits, phrases, and words that stand for several items."""
+    import random
+
+    def plain(at, clauses):
+        def whole(lo, hi):
+            runs = {}
+            for pos, _, roles in at[lo : hi + 1]:
+                for c, i, o, n in roles:
+                    runs.setdefault((c, i, pos - o, n), set()).add(o)
+            there = {(c, i) for (c, i, _, n), got in runs.items() if len(got) == n}
+            return any(need and all((c, i) in there for i in need) for c, need in clauses.items())
+
+        total, begin = 0.0, 0
+        while (end := next((e for e in range(begin, len(at)) if whole(begin, e)), None)) is not None:
+            lo = max(x for x in range(begin, end + 1) if whole(x, end))
+            m = end - lo + 1
+            total += (m / sum(1 / w for _, w, _ in at[lo : end + 1])) / (1 + max(0, at[end][0] - at[lo][0] - m + 1))
+            begin = lo + 1
+        return total
+
+    rnd = random.Random(1)
+    roles = [[(0, 0, 0, 1)], [(0, 1, 0, 2)], [(0, 1, 1, 2)], [(1, 0, 0, 1), (0, 0, 0, 1)], [(1, 1, 0, 1)]]
+    for _ in range(60):
+        at = [(p, rnd.choice([1.0, 0.4, 0.2]), rnd.choice(roles)) for p in sorted(rnd.sample(range(60), 25))]
+        assert fulltext.cover_density(at, {0: {0, 1}, 1: {0, 1}}) == pytest.approx(plain(at, {0: {0, 1}, 1: {0, 1}}), rel=1e-6)
+
+
 def test_parse_drops_stop_words_but_keeps_their_place():
     got = parse('"state of the art" -the OR x', lexeme)
     assert [(t["clause"], t["term"], t["offset"]) for t in got] == [(0, "state", 0), (0, "art", 3), (1, "x", 0)]

@@ -92,7 +92,7 @@ def test_frontmatter_cases(spark):
 def test_provenance(spark):
     cases = [
         ("[Source: user override — 2026-01-02]", "user override", "2026-01-02"), ("x [Source: empirical - 2026-09-30] y", "empirical", "2026-09-30"),
-        ("[Source: empirical - 2026-13-45] [Source: empirical - 2026-01-01]", None, None), ("[Source: hearsay - 2026-01-01]", None, None), ("", None, None),
+        ("[Source: empirical - 2026-13-45] [Source: empirical - 2026-01-01]", None, None), ("[Source: hearsay - 2026-01-01]", None, None), ("[Source:empirical-2026-01-01\t]", "empirical", "2026-01-01"), ("", None, None),
     ]
     df = spark.createDataFrame([(c[0], i) for i, c in enumerate(cases)], "body string, i int").withColumn("p", tx.provenance(F.col("body")))
     for r in df.collect():
@@ -106,3 +106,37 @@ def test_short_sections_hold_whole_turns(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("longest")).collect()
     assert any(r.longest > 400 for r in turns)
     assert [r for r in turns if chars[r.conv_id] < 0.98 * r.n] == []
+
+
+def by_rules(found):
+    """The units of sections, told section by section as the rules are stated."""
+    units, waiting = [], []
+    for path, text in found:
+        if len(text.strip()) < 300:
+            if units and len(units[-1][1]) + 2 + len(text) <= 1500:
+                units[-1] = (units[-1][0], units[-1][1] + "\n\n" + text)
+            elif units:
+                units.append((path, text))
+            elif not waiting or len("\n\n".join([*(t for _, t in waiting), text])) <= 1500:
+                waiting.append((path, text))
+            else:
+                units += [(waiting[0][0], "\n\n".join(t for _, t in waiting)), (path, text)]
+                waiting = []
+        else:
+            units.append((path, "\n\n".join([*(t for _, t in waiting), text])))
+            waiting = []
+    return units + [(p, "\n\n".join(t for _, t in waiting)) for p, _ in waiting[:1]]
+
+
+def test_units_follow_the_rules():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(400):
+        found = [(f"H{i}", "x" * rnd.choice([5, 120, 299, 299, 300, 700, 1490, 2000])) for i in range(rnd.randint(1, 14))]
+        assert split.merge_short(found) == by_rules(found)
+
+
+def test_pack_keeps_blank_pieces():
+    unit = "\n\n".join(["a" * 1400, "\f", "b" * 1499, "", "c" * 4100, "d"])
+    assert split.pack(unit) == ["a" * 1400 + "\n\n\f", "b" * 1499, "c" * 4000, "c" * 100 + "\n\nd"]
