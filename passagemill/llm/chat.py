@@ -6,26 +6,40 @@ assistant's. For each turn the repair may keep or change its role, merge it into
 the turn before, or put empty turns before it, at fixed costs; dynamic
 programming finds the cheapest way.
 
-A turn is a min-plus matrix over the automaton's states, so long conversations
-are cut into segments of turn numbers: each segment's matrix is made on its own,
-the few matrices of a conversation are folded to find the states in which each
-segment is entered and left, and each segment then traces its own path. No task
-holds a whole conversation, and what is returned is one row for each turn, with
-its rendered fragment: the fragments of a conversation, in order, are its text.
+A turn is a min-plus matrix over the automaton's states. All turns are range-sorted
+by conversation and order and numbered by rank within their conversation's part of
+a task (a fragment), and a fragment is cut into segments of SEGMENT_TURNS turns,
+whatever their turn numbers. Each segment's matrix is made on its own; the matrices
+of a fragment's segments are multiplied, and those of a conversation's fragments, of
+which there are no more than tasks, are folded to find the states in which each is
+entered and left. From there the way is traced down to segments and turns. So no
+task holds more than a segment's texts of one conversation. What is returned is one
+row for each turn, with its rendered piece; render_conversations joins them.
+
+Markers in a text would forge turns, so "<|" is written as "<\\|" in rendered text,
+and "<\\" as "<\\\\", which can be undone.
 
 Order is by turn (nulls first), then role, then a hash of the text. A null or unknown role takes
 whichever role is cheapest; a null text is empty. Rows with a null conv_id are
 one conversation. Repeated rows are separate turns. Ties between repairs go to
-the first in the order of ROLES. An empty table gives an empty result.
+the first in the order of ROLES. Very long texts are kept whole. Columns other than
+the four named are not looked at, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from passagemill.llm.common import bound_batches, stage_table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn.
@@ -56,42 +70,37 @@ def _steps(role: int) -> list[list[int]]:
     return out
 
 
-STEPS = [_steps(r) for r in range(4)]
+#: The matrix of a turn, by role (0: unknown).
+FLAT = [[x for row in _steps(r) for x in row] for r in range(4)]
 
 
-def segment_matrix(roles: list[int]) -> list[int]:
-    """16 costs: from each state on entry to each on leaving."""
-    m = [[0 if i == j else INFINITE for j in range(4)] for i in range(4)]
-    for role in roles:
-        step = STEPS[role]
-        m = [[min(min(row[k] + step[k][j] for k in range(4)), INFINITE) for j in range(4)] for row in m]
-    return [x for row in m for x in row]
+_UNIT = [0 if i == j else INFINITE for i in range(4) for j in range(4)]
 
 
-def route(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """The states in which each segment is entered and left on the cheapest way from START to a legal end."""
-    costs = [[0, INFINITE, INFINITE, INFINITE]]
+def product_of(matrices: Iterable[list[int]]) -> list[int]:
+    """The min-plus product of matrices, as 16 costs from each state on entry to each on leaving."""
+    out = _UNIT
     for m in matrices:
-        costs.append([min(costs[-1][i] + m[4 * i + j] for i in range(4)) for j in range(4)])
-    state = min(range(4), key=lambda s: costs[-1][s] + INSERT * len(_END[s]))
-    out = []
-    for m, before in zip(reversed(matrices), reversed(costs[:-1]), strict=True):
-        entry = min(range(4), key=lambda i: before[i] + m[4 * i + state])
-        out.append((entry, state))
-        state = entry
-    return out[::-1]
+        out = [min(INFINITE, *(out[4 * i + k] + m[4 * k + j] for k in range(4))) for i in range(4) for j in range(4)]
+    return out
+
+
+def segment_matrix(roles: list[int]) -> list[int]:
+    """The product of the matrices of turns with these roles."""
+    return product_of(FLAT[role] for role in roles)
 
 
-def trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, int]]:
-    """(state before, state after) of each turn on the cheapest way from entry to leave."""
+def route(matrices: list[list[int]], entry: int = START, leave: int | None = None) -> list[tuple[int, int]]:
+    """The states in which each of matrices is entered and left on the cheapest way from entry to leave, or to a legal end."""
     costs = [[0 if s == entry else INFINITE for s in range(4)]]
-    for role in roles:
-        costs.append([min(costs[-1][i] + STEPS[role][i][j] for i in range(4)) for j in range(4)])
+    for m in matrices:
+        costs.append([min(costs[-1][i] + m[4 * i + j] for i in range(4)) for j in range(4)])
+    state = min(range(4), key=lambda s: costs[-1][s] + INSERT * len(_END[s])) if leave is None else leave
     out = []
-    for role, before in zip(reversed(roles), reversed(costs[:-1]), strict=True):
-        old = min(range(4), key=lambda i: before[i] + STEPS[role][i][leave])
-        out.append((old, leave))
-        leave = old
+    for m, before in zip(reversed(matrices), reversed(costs[:-1]), strict=True):
+        came = min(range(4), key=lambda i: before[i] + m[4 * i + state])
+        out.append((came, state))
+        state = came
     return out[::-1]
 
 
@@ -102,49 +111,80 @@ def _role_code() -> Column:
     return code
 
 
-def repair_chats(turns: DataFrame) -> DataFrame:
-    """One row for each of turns (conv_id, turn, role, text): conv_id, segment, place (in the segment), turn, role, new_role, action, inserted, appended, cost, fragment."""
-    seg = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-(1 << 50))).cast("long")
-    t = turns.select("conv_id", seg.alias("segment"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"), _role_code().alias("code"))
-    keys = ["conv_id", "segment"]
-    # First the roles of each segment in order, then the whole turns: the texts are shuffled once.
-    matrix = F.pandas_udf(lambda s: s.map(lambda c: segment_matrix([int(x) for x in c])), "array<int>")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")), F.xxhash64("text"), "code"))), lambda x: x["code"])
-    light = t.groupBy(*keys).agg(in_order.alias("codes"))
-    matrices = light.select(*keys, matrix("codes").alias("m"))
-
-    def routes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment")
-        way = route([[int(x) for x in m] for m in pdf["m"]])
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "segment": pdf["segment"], "entry": [w[0] for w in way], "leave": [w[1] for w in way], "last": [False] * (len(pdf) - 1) + [True]})
-
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    ways = matrices.groupBy("conv_id").applyInPandas(routes, f"conv_id {kind}, segment long, entry int, leave int, last boolean")
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("key"), F.xxhash64("text").alias("tie"), "code", "text", "role")))
-    held = t.groupBy(*keys).agg(rows.alias("rows"))
-    a, b = held.alias("a"), ways.alias("b")
-    both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.segment") == F.col("b.segment"))).select("a.conv_id", "a.segment", "a.rows", "b.entry", "b.leave", "b.last")
-    traced = F.pandas_udf(
-        lambda codes, entry, leave: pd.Series([[{"old": o, "new": n} for o, n in trace([int(y) for y in c], e, x)] for c, e, x in zip(codes, entry, leave, strict=True)]),
-        "array<struct<old:int,new:int>>",
-    )
-    both = both.withColumn("path", traced(F.transform("rows", lambda x: x["code"]), F.col("entry"), F.col("leave")))
-    each = both.select("conv_id", "segment", "last", F.size("rows").alias("n"), F.posexplode(F.arrays_zip("rows", "path")).alias("place", "x"))
+def _numbered(t: DataFrame, parts: int | None) -> DataFrame:
+    """t in order, with frag (a number for each conversation's part of a task, rising in order) and pos (the rank in it)."""
+    order = ["conv_id", "turn", "key", "tie"]
+    ranged = t.repartitionByRange(parts, *order) if parts else t.repartitionByRange(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frag, pos, last = TaskContext.get().partitionId() << 32, 0, None
+        for b in batches:
+            frags, places = [], []
+            for conv in b.column(0).to_pylist():
+                if last is not None and last[0] != conv:
+                    frag, pos = frag + 1, 0
+                last = (conv,)
+                frags.append(frag)
+                places.append(pos)
+                pos += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(frags, pa.int64()), pa.array(places, pa.int64())], names=[*b.schema.names, "frag", "pos"])
+
+    schema = StructType([*t.schema.fields]).add("frag", LongType()).add("pos", LongType())
+    return ranged.sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+_MATRIX = "array<int>"
+_WAY = "array<struct<entry:int,leave:int>>"
+
+
+def _each(way: Callable[..., list[tuple[int, int]]]):
+    """A batch function: way of each row's arguments, as structs."""
+    return lambda *columns: pd.Series([[{"entry": int(e), "leave": int(x)} for e, x in way(*row)] for row in zip(*columns, strict=True)])
+
+
+def _ints(matrices) -> list[list[int]]:
+    return [[int(x) for x in m] for m in matrices]
+
+
+def repair_chats(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, parts: int | None = None) -> DataFrame:
+    """One row for each of turns (conv_id, turn, role, text): conv_id, segment, place (in the segment), turn, role, new_role, action, inserted, appended, cost, fragment. segment_turns: turns of a segment at most; parts: tasks of the sort."""
+    bound_batches(turns.sparkSession)
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("key"), F.xxhash64("text").alias("tie"), "role", F.coalesce("text", F.lit("")).alias("text"), _role_code().alias("code"))
+    t = stage_table(_numbered(t, parts), "chat-turns").withColumn("seg", F.floor(F.col("pos") / segment_turns))
+    in_order = lambda *fields: F.array_sort(F.collect_list(F.struct(*fields)))
+    matrix = F.pandas_udf(lambda s: s.map(lambda c: segment_matrix([int(x) for x in c])), _MATRIX)
+    times = F.pandas_udf(lambda s: s.map(lambda c: product_of(_ints(c))), _MATRIX)
+    segments = t.groupBy("conv_id", "frag", "seg").agg(in_order("pos", "code").alias("c")).select("conv_id", "frag", "seg", matrix(F.col("c.code")).alias("m"))
+    frags = segments.groupBy("conv_id", "frag").agg(in_order("seg", "m").alias("kids")).select("conv_id", "frag", "kids", times(F.col("kids.m")).alias("m"))
+    frags = stage_table(frags, "chat-fragments")
+    whole = frags.groupBy("conv_id").agg(in_order("frag", "m").alias("kids"))
+    top = F.pandas_udf(_each(lambda m: route(_ints(m))), _WAY)
+    ways = whole.select(F.size("kids").alias("n"), F.posexplode(F.arrays_zip(F.col("kids.frag").alias("frag"), top(F.col("kids.m")).alias("way"))).alias("i", "x"))
+    ways = ways.select("x.frag", "x.way.entry", "x.way.leave", (F.col("i") == F.col("n") - 1).alias("last"))
+    down = F.pandas_udf(_each(lambda m, entry, leave: route(_ints(m), int(entry), int(leave))), _WAY)
+    inner = frags.join(ways, "frag").select("frag", "last", F.size("kids").alias("n"), F.posexplode(F.arrays_zip(F.col("kids.seg").alias("seg"), down(F.col("kids.m"), F.col("entry"), F.col("leave")).alias("way"))).alias("i", "x"))
+    inner = inner.select("frag", "x.seg", "x.way.entry", "x.way.leave", (F.col("last") & (F.col("i") == F.col("n") - 1)).alias("last"))
+    held = t.groupBy("conv_id", "frag", "seg").agg(in_order("pos", "turn", "code", "text", "role").alias("rows"))
+    traced = F.pandas_udf(_each(lambda codes, entry, leave: route([FLAT[int(c)] for c in codes], int(entry), int(leave))), _WAY)
+    both = held.join(inner, ["frag", "seg"]).withColumn("path", traced(F.col("rows.code"), F.col("entry"), F.col("leave")))
+    number = (F.col("frag") * 1048576 + F.col("seg")).alias("segment")
+    each = both.select("conv_id", number, "last", F.size("rows").alias("n"), F.posexplode(F.arrays_zip("rows", "path")).alias("place", "x"))
     role_of = F.array(F.lit(None).cast("string"), *[F.lit(r) for r in ROLES])
-    old, new, code = F.col("x.path.old"), F.col("x.path.new"), F.col("x.rows.code")
+    old, new, code = F.col("x.path.entry"), F.col("x.path.leave"), F.col("x.rows.code")
     ended = F.col("last") & (F.col("place") == F.col("n") - 1)
     inserted = F.when((new == ASSISTANT) & old.isin(START, SYSTEM), F.array(F.lit("user"))).otherwise(F.array().cast("array<string>"))
     appended = F.when(ended & (new == SYSTEM), F.array(F.lit("user"), F.lit("assistant"))).when(ended & (new == USER), F.array(F.lit("assistant"))).otherwise(F.array().cast("array<string>"))
     merged = old == new
     changed = F.when(code == 0, NAME).when(code == new, 0).otherwise(RELABEL)
     empty = lambda r: F.concat(F.lit(OPEN), r, F.lit("\n" + CLOSE))
+    safe = F.replace(F.replace(F.col("x.rows.text"), F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
     out = each.select(
         "conv_id", "segment", "place", F.col("x.rows.turn").alias("turn"), F.col("x.rows.role").alias("role"),
         F.element_at(role_of, new + 1).alias("new_role"),
         F.concat_ws("+", F.when(F.size(inserted) > 0, "insert"), F.when(changed > 0, "relabel"), F.when(merged, "merge"), F.when((F.size(inserted) == 0) & (changed == 0) & ~merged, "keep")).alias("action"),
         inserted.alias("inserted"), appended.alias("appended"),
         (changed + F.when(merged, MERGE).otherwise(0) + INSERT * (F.size(inserted) + F.size(appended))).cast("long").alias("cost"),
-        old.alias("old"), merged.alias("merged"), ended.alias("ended"), F.col("x.rows.text").alias("text"),
+        old.alias("old"), merged.alias("merged"), ended.alias("ended"), safe.alias("text"),
     )
     fragment = F.concat(
         F.when(F.col("merged"), F.lit("\n")).otherwise(
@@ -156,5 +196,11 @@ def repair_chats(turns: DataFrame) -> DataFrame:
     return out.withColumn("fragment", fragment).select("conv_id", "segment", "place", "turn", "role", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), F.array_join("appended", ",").alias("appended"), "cost", "fragment")
 
 
+def render_conversations(repaired: DataFrame) -> DataFrame:
+    """conv_id, segment, turns and rendered: the text of each conversation. It is in one row, or for one of more than a segment's turns in several, to be read in the order of segment."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "fragment")))
+    return repaired.groupBy("conv_id", "segment").agg(F.count("*").alias("turns"), F.array_join(F.transform(rows, lambda x: x["fragment"]), "").alias("rendered"))
+
+
 def op9_chat_formatting(spark, sf_dir):
     return repair_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))

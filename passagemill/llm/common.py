@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.session import shared_folder
+from passagemill.session import stage_table  # noqa: F401
 
 #: Arrow batches are bounded by rows and, as texts can be long, by bytes.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
@@ -24,14 +22,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one key from which it counts as hot, keys that are broadcast at most, and the salts beyond that.
 HOT_ROWS, BROADCAST_KEYS, SALTS = 256, 1_000_000, 64
 

@@ -6,8 +6,9 @@ the sketch of the whole, and estimate resemblance, containment and the number of
 distinct shingles; below k shingles the estimates are exact.
 
 A null text counts as empty; an empty text has the empty sketch, which resembles
-only itself. Rows are told apart by doc_id, then text, so that nulls, ties and
-repeated rows have one defined order; an empty table gives an empty result.
+only itself. Rows are told apart by doc_id, then by text, so that nulls (last), ties
+and repeated rows have one defined order; an empty table gives an empty result.
+Very long texts are sketched whole.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from passagemill.llm.common import bound_batches, shingle_set
+from passagemill.llm.common import bound_batches, free_name, shingle_set
 
 SHINGLE_WORDS, K = 5, 128
 #: Bits of a stored hash: six bytes keep a sketch short and still tell apart more shingles than a text holds.
 HASH_BYTES = 6
 SPACE = float(1 << (8 * HASH_BYTES))
-#: Ranges of ids for each shuffle partition.
-RANGES_EACH = 2
+#: Bytes of a part's texts, about: a part is one task's work. Parts at most, as their bounds are collected; beyond that many, parts grow instead.
+PART_BYTES, MAX_PARTS = 8 << 20, 20_000
 
 
 def sketch(text: str, k: int = K, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -80,22 +82,21 @@ def from_string(s: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with the columns fingerprint and distinct_shingles, by rows alone."""
+    """docs with the columns fingerprint and distinct_shingles, by rows alone. Where docs has such columns, underscores are put before the new ones' names."""
+    names = [free_name(docs.columns, c) for c in ("fingerprint", "distinct_shingles")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sketches = [sketch(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(to_string, sketches), pa.string()), pa.array(map(distinct_count, sketches), pa.float64())], names=[*b.schema.names, "fingerprint", "distinct_shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(to_string, sketches), pa.string()), pa.array(map(distinct_count, sketches), pa.float64())], names=[*b.schema.names, *names])
 
     bound_batches(docs.sparkSession)
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("fingerprint", StringType()).add("distinct_shingles", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
     return docs.mapInArrow(make, schema)
 
 
-COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, next_contains double"
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("distinct_shingles", pa.float64()), ("next_contains", pa.float64())])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,38 +113,55 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edited = old_text[: len(old_text) - half] + text[:half]
                 new = sketch(edited)
                 digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((old, len(old_text), digest, to_string(old_sketch), to_string(new), resemblance(old_sketch, new), resemblance(old_sketch, own)))
+                out.append((old, len(old_text), digest, to_string(old_sketch), to_string(new), resemblance(old_sketch, new), resemblance(old_sketch, own), distinct_count(old_sketch), containment(old_sketch, own)))
             before = None if ghost else (part, doc, text, own)
         columns = list(zip(*out, strict=True)) if out else [[] for _ in EDITED]
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, EDITED, strict=True)], schema=EDITED)
 
 
+def _part(d: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """d (doc_id, text, tie, bytes) with part, and the number of parts: ranges of falling doc_id of about equal rows, rows without an id last. An id that alone fills a range, and the rows without one, are dealt over several parts by ranges of tie."""
+    quantiles = d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    cuts = sorted({*quantiles, *(c + 1 for c, after in zip(quantiles, quantiles[1:], strict=False) if c == after)}) or [0.0]
+    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
+    ranked = ranges.transform(d.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))))
+    ranked = ranked.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.col("range").cast("int")))
+    held = ranked.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).collect()  # one row for each range
+    usual = max(1, sum(r["bytes"] for r in held) // parts)
+    rows, at = [], 0
+    for r in sorted(held, key=lambda r: r["range"]):
+        splits = -(-r["bytes"] // usual) if r["one"] and r["bytes"] > 2 * usual else 1
+        rows.append((r["range"], at, splits))
+        at += splits
+    table = F.broadcast(d.sparkSession.createDataFrame(rows, "range int, first int, splits int"))  # as few rows
+    share = (F.col("tie").cast("double") / float(1 << 64) + 0.5) * F.col("splits")
+    part = F.col("first") + F.least(F.floor(share), F.col("splits") - 1).cast("int")
+    return ranked.join(table, "range").select("doc_id", "text", "tie", part.alias("part")), at
+
+
 def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """For each of docs (doc_id, text): its fingerprint, that of its edited text, and their likeness; the next document is the one with the next lower doc_id, after the last the first.
+    """For each of docs (doc_id, text): its fingerprint, that of its edited text, their likeness, its likeness to and the share of its shingles in the next document, and its distinct shingles; the next document is the one with the next lower doc_id, after the last the first.
 
-    Texts are shuffled once, into ranges of ids whose bounds are a bounded set of quantiles. The first document of a range goes to the range before it too, so that no range waits for another.
+    Texts are shuffled once, into parts by order (_part). Their number follows the bytes of the texts, and each is one task. The first document of a part goes to the part before it too, so that no part waits for another.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts or RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) or [0.0]
-    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
-    ranked = ranges.transform(d.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))))
-    # Part 0 has the greatest ids; rows without an id are a last part of their own.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.col("range").cast("int"))
-    d = ranked.select("doc_id", "text", part.alias("part"))
-    heads = d.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # one row for each part
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("bytes"))
+    if parts is None:
+        parts = min(max(1, -(-(d.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES)), MAX_PARTS)
+    d, n = _part(d, parts)
+    heads = d.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("down"), "tie")).alias("head")).select("part", "head.*").collect()  # one row for each part
     if not heads:
         return spark.createDataFrame([], COMPARED)
-    goes_to = [(h["part"], h["head"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
-    first = F.broadcast(spark.createDataFrame(goes_to, "head_part int, head long, ghost_part int"))  # as few rows
-    both = d.join(first, (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    heads.sort(key=lambda h: h["part"])
+    goes_to = [(h["part"], None if h["down"] is None else -h["down"], h["tie"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(goes_to, "head_part int, head long, head_tie long, ghost_part int"))  # as few rows
+    both = d.join(first, (F.col("part") == F.col("head_part")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")
     own, ghost = F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(F.col("ghost_part").alias("part"), F.lit(True).alias("ghost"))
     copies = F.when(F.col("ghost_part").isNotNull(), F.array(own, ghost)).otherwise(F.array(own))
-    placed = both.select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.ghost", "doc_id", "text")
-    placed = placed.repartition("part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc(), F.col("text").asc_nulls_first())
-    return placed.mapInArrow(_compare, COMPARED)
+    placed = both.select("doc_id", "text", "tie", F.explode(copies).alias("c")).select("c.part", "c.ghost", "doc_id", "text", "tie")
+    placed = placed.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "tie", F.col("text").asc_nulls_first())
+    return placed.select("part", "ghost", "doc_id", "text").mapInArrow(_compare, COMPARED)
 
 
 def op10_fingerprints(spark, sf_dir):

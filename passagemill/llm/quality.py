@@ -7,8 +7,12 @@ being good reaches a threshold, in place of having to pass every rule.
 
 Words are runs of other than blanks (space, \\t, \\n, \\v, \\f, \\r). A null or
 empty text has no words and fails the base test; an empty table gives an empty
-result. Rows are judged one by one, so repeated rows, null or repeated doc_ids
-and extra columns change nothing.
+result. Very long texts are counted whole. Rows are judged one by one, so repeated
+rows and null or repeated doc_ids change nothing. Other columns are kept as a struct
+of their own meanwhile, so their names clash with nothing.
+
+The stop-word rule knows four languages. It abstains on a text without any of their
+words, as that may be of another language.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, window_hashes, word_hashes
+from passagemill.llm.common import bound_batches, quoted, stage_table, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of the languages that the stop-word rule knows.
@@ -99,7 +103,7 @@ def rule_votes() -> dict[str, Column]:
         "symbols": _vote(c("n_symbols") / n < 0.02, c("n_symbols") / n > 0.15),
         "dup_lines": _vote((c("n_dup_lines") / lines < 0.1) & (c("n_lines") > 1), c("n_dup_lines") / lines > 0.3),
         "repeats": _vote(c("n_repeat_words") / n < 0.05, c("n_repeat_words") / n > 0.15),
-        "stop_words": _vote(c("n_stop_words") / n > 0.1, (c("n_stop_words") / n < 0.02) & (c("n_words") >= 20)),
+        "stop_words": _vote(c("n_stop_words") / n > 0.1, (c("n_stop_words") > 0) & (c("n_stop_words") / n < 0.02) & (c("n_words") >= 20)),
         "capitals": _vote(c("n_capital_words") / n < 0.1, c("n_capital_words") / n > 0.4),
         "shouting": _vote(c("n_shouted") / n < 0.02, c("n_shouted") / n > 0.2),
     }
@@ -143,36 +147,33 @@ def posterior(model: tuple[float, list[list[list[float]]]], votes: dict[str, Col
     return 1 / (1 + F.exp(-log_odds))
 
 
-def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with a struct column quality_report: the features, base_failed, quality (posterior) and kept.
+FIELDS = [x.split()[0] for x in FEATURES.split(", ")]
+
+
+def judge_quality(docs: DataFrame, threshold: float = 0.5, stage: tuple[str, ...] | None = None) -> DataFrame:
+    """row (a struct of docs' columns, or of those in stage) and report: a struct of FEATURES, base_failed, quality (posterior) and kept.
 
-    The first pass counts vote patterns (at most 3 ** 8 of them, whatever the input), the second applies the model.
+    Features are counted once and staged; vote patterns (at most 3 ** 8 of them, whatever the input) are counted from there, and the model is applied to them. stage: the columns that are staged and returned, where not all are needed.
     """
     bound_batches(docs.sparkSession)
     votes = rule_votes()
-    counted = docs.select(features(F.col("text")).alias("f")).select("f.*").select(*[v.alias(k) for k, v in votes.items()]).groupBy(*RULES).count()
-    model = estimate_accuracies([(tuple(r[k] for k in RULES), r["count"]) for r in sorted(counted.collect())])
-    report = "quality_report"
-    f = docs.withColumn(report, features(F.col("text")))
-    # The votes are written over bare feature names; bind them to the struct's fields.
-    fields = [x.split()[0] for x in FEATURES.split(", ")]
-    bare = f.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *[F.col(f"{report}.{x}").alias(x) for x in fields])
+    row = F.struct(*[F.col(quoted(c)).alias(c) for c in (docs.columns if stage is None else stage)])
+    counts = stage_table(docs.select(row.alias("row"), features(F.col("text")).alias("f")), "quality-features").select("row", "f.*")
+    patterns = counts.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*RULES).count().collect()
+    model = estimate_accuracies([(tuple(r[k] for k in RULES), r["count"]) for r in sorted(patterns)])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = bare.withColumn("quality", posterior(model, votes)).withColumn("base_failed", failed)
+    judged = counts.withColumn("quality", posterior(model, votes)).withColumn("base_failed", failed)
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return judged.select("row.*", F.struct(*fields, "quality", "base_failed", "kept").alias(report))
+    return judged.select("row", F.struct(*FIELDS, "quality", "base_failed", "kept").alias("report"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    return judge_quality(docs, threshold).filter("quality_report.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge_quality(docs, threshold).filter("report.kept").select(*[F.col("row." + quoted(c)).alias(c) for c in docs.columns])
 
 
 def op8_quality_rules(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    q = judge_quality(docs)
-    r = "quality_report"
-    return q.select(
-        "doc_id",
-        *[F.col(f"{r}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")],
-    )
+    q = judge_quality(docs, stage=("doc_id",))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+    return q.select("row.doc_id", *[F.col(f"report.{c}").alias(c) for c in columns])

@@ -120,7 +120,14 @@ def test_fingerprint_corner_cases(spark):
     got = fp.edited_likeness(d, 3).collect()
     assert len(got) == 5 and len({r.fingerprint for r in got if r.n_chars == 13}) == 1
     assert fp.edited_likeness(d.filter("1 = 0")).count() == 0
+    many = spark.createDataFrame([(None if i % 2 else 9, f"word{i} " * 20) for i in range(400)] + [(i, "x y z") for i in range(40)], "doc_id long, text string").repartition(3)
+    cut, parts = fp._part(many.selectExpr("doc_id", "text", "xxhash64(text) AS tie", "octet_length(text) AS bytes"), 8)
+    held = {(r.part, r.doc_id): r.n for r in cut.groupBy("part", "doc_id").agg(F.count("*").alias("n")).collect()}
+    assert max(n for (_, doc), n in held.items() if doc is None) < 100 and max(n for (_, doc), n in held.items() if doc == 9) < 100
+    out = fp.edited_likeness(many, 8).collect()
+    assert len(out) == 440 and sum(r.near_next == 1.0 for r in out) in (37, 38, 39)
     one = fp.edited_likeness(d.filter("doc_id = 2")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     wide = d.withColumn("fingerprint_of", F.lit(1))
     assert fp.fingerprints(wide).columns == ["doc_id", "text", "fingerprint_of", "fingerprint", "distinct_shingles"]
+    assert fp.fingerprints(d.withColumn("fingerprint", F.lit("own"))).columns == ["doc_id", "text", "fingerprint", "_fingerprint", "distinct_shingles"]
