@@ -20,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from passagemill.llm.common import bound_batches
+from passagemill.llm.common import bound_batches, free_name, stage_table
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
-#: Additive smoothing, EM rounds over all languages and over a set, languages in a set at most, weight of the penalty, languages that a model may hold (bounds what is collected and broadcast).
-SMOOTHING, ROUNDS, SET_ROUNDS, MAX_SET, PENALTY, MAX_LANGUAGES = 0.1, 6, 4, 3, 1.0, 256
+#: Additive smoothing, EM rounds over all languages and over a set, weight of the penalty.
+SMOOTHING, ROUNDS, SET_ROUNDS, PENALTY = 0.1, 6, 4, 1.0
+#: Languages that a model holds at most (those with the most trigrams; the others are never predicted), as what is broadcast is 256 KB for each; cells (trigrams times languages) that are worked on together, so that memory does not grow with both.
+LANGUAGES, CELLS = 512, 1 << 22
 FOLDS, UNKNOWN = 5, "und"
 
 #: ASCII other than letters becomes a blank; bytes of other scripts stay.
@@ -46,8 +49,8 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return np.unique(bucket, return_counts=True)
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by language and bucket) from docs (text, lang)."""
+def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities by language and bucket) from docs (text, lang). languages: how many the model holds at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -64,11 +67,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     bound_batches(docs.sparkSession)
     known = docs.filter("lang IS NOT NULL").select("text", "lang")
     counts = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()  # at most languages x BUCKETS rows
+    counts = stage_table(counts, "trigram-counts")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(languages).select("lang")
+    table = counts.join(F.broadcast(most), "lang").toArrow()  # at most languages x BUCKETS rows
     names = np.array(table["lang"].to_pylist(), object)
     langs = sorted(set(names))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model holds {MAX_LANGUAGES}")
     model = np.full((len(langs), BUCKETS), SMOOTHING)
     if langs:
         model[np.searchsorted(np.array(langs, object), names), table["bucket"].to_numpy()] += table["n"].to_numpy()
@@ -86,13 +89,23 @@ def _estimate(theta: np.ndarray, p: np.ndarray, c: np.ndarray, doc: np.ndarray,
 
 def infer(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(has a letter, proportions by language) of each text; proportions outside the chosen set are 0."""
-    n_langs = len(model)
     found = [trigram_counts(t) for t in texts]
     has = np.array([f is not None and len(f[0]) > 0 for f in found], bool)
-    out = np.zeros((len(texts), n_langs))
-    some = [f for f in found if f is not None and len(f[0])]
-    if not some or not n_langs:
-        return has & (n_langs > 0), out
+    out = np.zeros((len(texts), len(model)))
+    if not len(model):
+        return has & False, out
+    at = np.flatnonzero(has)
+    sizes = np.array([len(found[i][0]) for i in at], np.int64)
+    run = (np.cumsum(sizes) - sizes) * len(model) // CELLS
+    for r in np.unique(run):
+        rows = at[run == r]
+        out[rows] = _infer_some([found[i] for i in rows], model)
+    return has, out
+
+
+def _infer_some(some: list[tuple[np.ndarray, np.ndarray]], model: np.ndarray) -> np.ndarray:
+    """The proportions of texts that are given as trigram counts. A set of languages grows while the penalised likelihood does."""
+    n_langs = len(model)
     sizes = np.array([len(f[0]) for f in some])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     doc = np.repeat(np.arange(len(some)), sizes)
@@ -111,22 +124,32 @@ def infer(texts: list[str | None], model: np.ndarray) -> tuple[np.ndarray, np.nd
     chosen = np.zeros_like(theta)
     chosen[np.arange(len(some)), best] = 1
     score = single.max(axis=1)
-    for k in range(2, min(MAX_SET, n_langs) + 1):
-        t = np.where(rank < k, np.maximum(theta, 1e-3), 0).astype(np.float32)
-        t = _estimate(t / t.sum(axis=1, keepdims=True), p, c, doc, starts, total, SET_ROUNDS)
-        like = base + np.add.reduceat(c * np.log(np.maximum((t[doc] * p).sum(axis=1), 1e-30)), starts, dtype=np.float64)
-        like -= PENALTY * (k - 1) * np.log(np.maximum(total, 2))
-        better = like > score
-        chosen[better], score[better] = t[better], like[better]
-    out[has] = chosen / chosen.sum(axis=1, keepdims=True)
-    return has, out
+    grows = np.arange(len(some))
+    for k in range(2, n_langs + 1):
+        held = np.isin(doc, grows)
+        first = np.cumsum(sizes[grows]) - sizes[grows]
+        of = np.repeat(np.arange(len(grows)), sizes[grows])
+        part, weight = p[held], c[held]
+        t = np.where(rank[grows] < k, np.maximum(theta[grows], 1e-3), 0).astype(np.float32)
+        t = _estimate(t / t.sum(axis=1, keepdims=True), part, weight, of, first, total[grows], SET_ROUNDS)
+        like = base[grows] + np.add.reduceat(weight * np.log(np.maximum((t[of] * part).sum(axis=1), 1e-30)), first, dtype=np.float64)
+        like -= PENALTY * (k - 1) * np.log(np.maximum(total[grows], 2))
+        better = like > score[grows]
+        # The second language may help only together with the third, so that no set ends at one.
+        ends = ~better & (k > 2)
+        chosen[grows[better]], score[grows[better]] = t[better], like[better]
+        grows = grows[~ends]
+        if not len(grows):
+            break
+    return chosen / chosen.sum(axis=1, keepdims=True)
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
-    """docs (which have a text) with lang_pred, score and lang_set (the chosen languages with their proportions)."""
+    """docs (which have a text) with lang_pred, score and lang_set (the chosen languages with their proportions). Where docs has such columns, underscores are put before the new ones' names."""
     spark = docs.sparkSession
     bound_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # languages x BUCKETS floats, bounded by MAX_LANGUAGES
+    names = [free_name(docs.columns, c) for c in ("lang_pred", "score", "lang_set")]
+    held = spark.sparkContext.broadcast(model)  # languages x BUCKETS floats, of at most LANGUAGES languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,11 +158,9 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
             pred = [langs[i] if h else UNKNOWN for h, i in zip(has, at, strict=True)]
             score = [min(1.0, float(s[i])) if h else 0.0 for h, i, s in zip(has, at, share, strict=True)]
             sets = [",".join(f"{langs[i]}:{s[i]:.3f}" for i in np.flatnonzero(s)) for s in share]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[*b.schema.names, "lang_pred", "score", "lang_set"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[*b.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("lang_set", StringType())
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], StringType())
     return docs.mapInArrow(run, schema)
 
 

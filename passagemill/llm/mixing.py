@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import stage_table
+from passagemill.llm.common import quoted, stage_table
 
 #: Slots of the mix at most, passes over a source at most, 2**32 / golden ratio, buckets for prefix sums and for finding a point's source.
 SLOTS, PASSES, GOLDEN, HASH_DIGITS, CELLS = 1 << 16, 3, 2654435769, 3, 4096
@@ -38,7 +38,7 @@ def sized_documents(docs: DataFrame, *keep: str) -> DataFrame:
         "doc_id",
         "source",
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffle_key"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).alias("shuffle_key"),
         *keep,
     )
 
@@ -154,7 +154,7 @@ def mix_sources(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as often as the mix takes them: whole copies, and where a source's last block ends within a document, its first words. Rows that are alike share equally what the mix takes of them."""
     like = ["doc_id", "source", "text_hash"]
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
+    hashed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("mix_row"), "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
     mixed, _ = mix_sources(hashed.select("doc_id", "source", "text", "text_hash"), "text_hash")
     share = mixed.groupBy(*like).agg(F.first("size").alias("size"), F.floor(F.sum("taken") / F.count("*")).alias("taken")).filter("taken > 0")
     a, b = hashed.select("mix_row", *like).alias("a"), share.alias("b")
@@ -163,8 +163,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = a.join(b, on[0] & on[1] & on[2]).select("a.mix_row", "b.size", F.explode(copies).alias("words"))
     cut = F.array_join(F.slice(F.expr(r"filter(split(mix_row.text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"), 1, F.col("words").cast("int")), " ")
     text = F.when(F.col("words") == F.col("size"), F.col("mix_row.text")).otherwise(cut)
-    out = rows.select("mix_row.*", text.alias("mix_text"), (F.col("words") < F.col("size")).alias("mix_cut"))
-    columns = [F.col("mix_text").alias(c) if c == "text" else F.when(F.col("mix_cut"), F.length("mix_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    out = rows.select("mix_row", text.alias("mix_text"), (F.col("words") < F.col("size")).alias("mix_cut"))
+    columns = []
+    for c in docs.columns:
+        own = F.col("mix_row." + quoted(c))
+        if c == "text":
+            own = F.col("mix_text")
+        elif c == "n_chars":
+            own = F.when(F.col("mix_cut"), F.length("mix_text")).otherwise(own).cast(docs.schema[c].dataType)
+        columns.append(own.alias(c))
     return out.select(*columns)
 
 
@@ -177,7 +184,7 @@ def op3_source_mixing(spark, sf_dir):
 OP3_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS k FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source),
 weighed AS (

@@ -33,7 +33,7 @@ from passagemill.llm.tokens import SEPARATOR, SPECIAL, Encoder, vocabulary_paths
 from passagemill.session import shared_folder
 
 #: Ids of a sequence, their type on disk, permuted numbers of a shard (a third or so are taken), rounds and key of the Feistel network.
-LENGTH, DTYPE, SHARD_NUMBERS, ROUNDS, KEY = 1024, "<u2", 8192, 6, 20_240_229
+LENGTH, DTYPE, SHARD_NUMBERS, ROUNDS, KEY = 1024, "<u2", 1 << 16, 6, 20_240_229
 PADDING = 0
 
 
@@ -83,7 +83,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard_numbe
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     most = F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length).cast("long")
     room = {r["part"]: r["n"] for r in d.groupBy(F.spark_partition_id().alias("part")).agg(most.alias("n")).collect()}  # one row for each partition
-    offsets, total = {}, 0
+    offsets, total, most_id = {}, 0, int(np.iinfo(dtype).max)
     for part in sorted(room):
         offsets[part] = total
         total += room[part]
@@ -105,6 +105,8 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard_numbe
         for ids, n, first, last in sequences(batches, path, pattern, length):
             if count >= room.get(part, 0):
                 raise RuntimeError(f"partition {part} changed between the two readings")
+            if int(ids.max()) > most_id:
+                raise ValueError(f"an id above {most_id} does not fit {dtype}")
             rows.append((offsets[part] + count, ids.astype(dtype).tobytes(), n, first, last))
             count += 1
             if len(rows) == 500:

@@ -58,6 +58,44 @@ def test_mixed_documents(spark):
     assert words == {k: v for k, v in taken.items() if v}
 
 
+def test_mixed_documents_with_clashing_names(spark):
+    names = ["mix_text", "mix_cut", "MIX_ROW", "a.b", "words"]
+    docs = spark.createDataFrame([(1, "a", "x y z", *"pqrst")], "doc_id long, source string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a", "x y z", *"pqrst")]
+
+
+def test_url_levels(spark):
+    hosts = ["www.example.co.uk", "co.uk", "a.b.example.com", "localhost", "example.com:8080", "10.0.0.1:80", "[::1]", "", "x.gouv.fr", "xco.uk"]
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_levels(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    assert got == {
+        "www.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.example.com": ("example.com", "com"), "localhost": ("localhost", "localhost"),
+        "example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "address"), "[::1]": ("[::1]", "address"), "": ("", ""), "x.gouv.fr": ("x.gouv.fr", "gouv.fr"), "xco.uk": ("xco.uk", "uk"),
+    }
+
+
+def test_beta_score_equals_integration(spark):
+    """The score's probability against the beta distribution's, by a fine sum over points that avoid its poles."""
+    from math import erf, sqrt
+
+    for a, b in ((0.67, 0.33), (1, 1), (2, 8), (8.67, 0.33), (5, 10), (30, 70), (3, 4)):
+        u = (np.arange(400_000) + 0.5) / 400_000
+        low, high = 0.3**a / a * np.mean((1 - 0.3 * u ** (1 / a)) ** (b - 1)), 0.7**b / b * np.mean((1 - 0.7 * u ** (1 / b)) ** (a - 1))
+        z = spark.createDataFrame([(a / (a + b), float(a + b))], "mean double, weight double").select(url_filter.beta_score(0.3).alias("z")).first().z
+        if a < 20:
+            assert abs((1 + erf(z / sqrt(2))) / 2 - low / (low + high)) < 0.03, (a, b)
+
+
+def test_bad_hosts_do_not_taint_a_public_suffix(spark):
+    """Bad pages on a few .co.uk hosts say little of another one, among many good pages elsewhere."""
+    pages = [(i, f"http://h{i % 50}.info/p/{i}") for i in range(1000)] + [(1000 + i, f"http://bad{i % 5}.co.uk/p/{1000 + i}") for i in range(40)]
+    pages += [(5000 + i, f"http://good{i}.co.uk/p/{5000 + i}") for i in range(20)] + [(9000, "http://innocent.co.uk/x"), (9001, "http://new.info/x"), (9002, "http://new.info:8080/x")]
+    labels = [(i, 1, 0) for i in range(1000)] + [(1000 + i, 0, 0) for i in range(40)] + [(5000 + i, 1, 0) for i in range(20)]
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    verdict = {r.page_id: r.verdict for r in out}
+    assert [verdict[i] for i in (9000, 9001, 9002)] == ["allow"] * 3 and {verdict[1000 + i] for i in range(40)} == {"block"}
+
+
 def test_mixing_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix_sources(docs)[0].count() == 0

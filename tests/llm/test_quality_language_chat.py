@@ -81,6 +81,36 @@ def test_language_mixture_and_und(spark, sf_dir):
     assert got[5].lang_pred == "fr" and got[5].score > 0.9
 
 
+def test_language_sets_of_any_size():
+    """Five languages in one text, and 300 in a model, against their share in the text."""
+    rnd = np.random.default_rng(0)
+    model = np.log(np.full((300, language.BUCKETS), 1e-7))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rnd.choice(list(letters), 5)) for _ in range(300)]
+    for i, w in enumerate(words):
+        found = language.trigram_counts(w)
+        model[i, found[0]] = np.log(found[1] / found[1].sum())
+    text = " ".join(w for w in words[:5] for _ in range(200))
+    has, share = language.infer([text, None, words[7]] + [text] * 5, model.astype(np.float32))
+    assert list(has) == [True, False, True] + [True] * 5
+    assert set(np.flatnonzero(share[0] > 0.1)) == {0, 1, 2, 3, 4} and np.abs(share[0][:5] - 0.2).max() < 0.05
+    assert share[2].argmax() == 7 and not share[1].any()
+
+
+def test_language_predict_by_its_formula(spark):
+    """A plain reckoning of one language's log-likelihoods names the language of texts of one language."""
+    docs = [(i, " ".join(("der hund und die katze", "the dog and the cat", "le chien et le chat")[i % 3].split()[k % 5] for k in range(40)), "def"[i % 3]) for i in range(30)]
+    langs, model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame(docs, "doc_id long, text string, lang_pred string"), langs, model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "_lang_pred", "score", "lang_set"]
+    for r in got.collect():
+        at, n = language.trigram_counts(r.text)
+        assert r["_lang_pred"] == langs[int((model[:, at] * n).sum(axis=1).argmax())] == r.lang_pred
+    assert language.predict(got.limit(0).select("doc_id", "text"), langs, model).count() == 0
+    few, small = language.train(spark.createDataFrame(docs + [(99, "zz", "z")], "doc_id long, text string, lang string"), 3)
+    assert few == ["d", "e", "f"] and len(small) == 3
+
+
 def test_language_nothing_to_learn(spark):
     langs, model = language.train(spark.createDataFrame([("abc", None)], "text string, lang string"))
     got = language.predict(spark.createDataFrame([(1, "abc def")], "doc_id long, text string"), langs, model).collect()
