@@ -121,7 +121,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _part(d: DataFrame, parts: int) -> tuple[DataFrame, int]:
     """d (doc_id, text, tie, bytes) with part, and the number of parts: ranges of falling doc_id of about equal rows, rows without an id last. An id that alone fills a range, and the rows without one, are dealt over several parts by ranges of tie."""
-    quantiles = d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    quantiles = d.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     cuts = sorted({*quantiles, *(c + 1 for c, after in zip(quantiles, quantiles[1:], strict=False) if c == after)}) or [0.0]
     ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="range")
     ranked = ranges.transform(d.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))))
