@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("ngram_join", ngram_join), ("pii", pii), ("source_mixing", source_mixing), ("packing", packing)]
 
-#: The learnt stages and the tokeniser have no SQL; tests hold the stages against brute force.
+#: The learnt stages and the tokeniser have no SQL; a test holds each stage's result on a small table against brute force.
 ORACLE_SQL = None
 
 
