@@ -44,3 +44,45 @@ def test_nothing_else_imports_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert "passagemill.llm" not in f.read_text(), f
+
+
+def test_stages_equal_brute_force(spark, sf_dir):
+    """Each stage on what the one before it kept: the base rules of quality, links of near copies, spans, words of the mix and pieces of the packing, all reckoned plainly."""
+    import re
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from tests.llm.test_ngram_join import brute as groups
+    from tests.llm.test_pii import brute as spans
+    from tests.llm.test_quality_language_chat import brute_quality
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(cp.STAGES)
+    good = stage_table(stages["quality_rules"](spark, docs, sf_dir), "t")
+    all_rows, kept = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in good.collect()}
+    failed = {d for d, r in all_rows.items() if (q := brute_quality(r.text))[0] < 10 or 100 * q[4] > 20 * q[0]}
+    assert not failed & set(kept) and len(kept) > 0.9 * (len(all_rows) - len(failed)) and all(all_rows[d] == r for d, r in kept.items())
+    one = stage_table(stages["ngram_join"](spark, good, sf_dir), "t")
+    assert {r.doc_id for r in one.collect()} == {c for _, c in groups([(d, r.text) for d, r in kept.items()], 5, 80).values()}
+    safe = stage_table(stages["pii"](spark, one, sf_dir), "t")
+    for r in safe.collect():
+        found, text, out, at = spans(kept[r.doc_id].text), kept[r.doc_id].text, [], 0
+        for kind, lo, hi in (x.split(":") for x in found.split(",") if x):
+            if int(lo) >= at:
+                out += [text[at : int(lo)], f"<{kind.upper()}>"]
+                at = int(hi)
+        plain = "".join(out) + text[at:]
+        # Added spans may replace more; what is there is then a shorter list of the same pieces.
+        assert r.text == plain or (spans(r.text) == "" and len(re.findall("<[A-Z]+>", r.text)) > len(re.findall("<[A-Z]+>", plain))), r.doc_id
+        assert r.n_chars == len(r.text)
+    mixed = stage_table(stages["source_mixing"](spark, safe, sf_dir), "t")
+    sizes, taken = {r.doc_id: len(words(r.text)) for r in safe.collect()}, Counter()
+    for r in mixed.collect():
+        taken[r.doc_id] += len(words(r.text))
+    assert all(0 < n <= 3 * sizes[d] for d, n in taken.items()) and abs(sum(taken.values()) / sum(sizes.values()) - 1) < 0.02
+    copies, whole, length = Counter(r.doc_id for r in mixed.collect()), Counter(), Counter()
+    for r in stages["packing"](spark, mixed, sf_dir).collect():
+        length[r.doc_id] += r.length
+        whole[r.doc_id] += r.doc_tokens * (r.start == 0)
+    assert whole == length and set(whole) == set(copies)
