@@ -41,7 +41,7 @@ def e1_postings(s, d):
 
 
 def e2_english_vocabulary(s, d):
-    p = fulltext.english(fulltext.postings(t.passages(s, d).filter("client_name = 'en'")))
+    p = fulltext.english(fulltext.postings(t.passages(s, d)))
     return p.groupBy("lexeme").agg(F.count("*").alias("n"))
 
 

@@ -128,8 +128,8 @@ def d3_short_sections(s, d):
 
 
 def d5_pack(s, d):
-    """Bodies without headings: passages come from packing alone."""
-    p = t.read_notes(s, d).filter("id % 2 = 1").select("id", F.explode(split.split_bodies(F.col("body"))).alias("p"))
+    """How the passages of every body come out: of those without headings, from packing alone."""
+    p = t.read_notes(s, d).select("id", F.explode(split.split_bodies(F.col("body"))).alias("p"))
     return p.groupBy("id").agg(F.count("*").alias("passages"), F.max(F.length("p.content")).alias("longest"), F.count("p.heading_path").alias("headed"))
 
 
