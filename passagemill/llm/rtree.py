@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import mix64, stage_table
-from passagemill.llm.components import components
+from passagemill.llm.components import components, joined
 
 #: Coordinates of a point; sums of them that order points; points and shingles of a leaf at most; leaves of a node.
 GROUPS, AXES, LEAF, LEAF_SHINGLES, FANOUT = 256, 8, 256, 1 << 20, 16
@@ -83,6 +83,19 @@ def search(sets: list[np.ndarray], points: np.ndarray, root: np.ndarray, first:
     return links
 
 
+def ties(doc: np.ndarray, links: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) within doc as ties of ids: each linked id with the least of those that it reaches here, so that a leaf gives stars and no paths."""
+    over = np.arange(len(doc))
+    for i, j in links:
+        a, b = over[i], over[j]
+        if a != b:
+            a, b = (a, b) if doc[a] <= doc[b] else (b, a)
+            over[over == b] = a
+    low = doc[over]
+    tied = low != doc
+    return doc[tied], low[tied]
+
+
 def boxes_may_link(n_min: tuple, n_max: tuple, low: tuple, high: tuple, percent: int) -> bool:
     """Whether sets of two boxes can link by their sizes and both bounds on the overlap."""
     if 100 * n_max[0] < percent * n_min[1] or 100 * n_max[1] < percent * n_min[0]:
@@ -93,7 +106,7 @@ def boxes_may_link(n_min: tuple, n_max: tuple, low: tuple, high: tuple, percent:
 
 
 def load_leaves(members: DataFrame, percent: int, size: int = LEAF) -> DataFrame:
-    """The leaves of members (MEMBERS), each joined with itself: u and v hold the ids of its links. sets is null where the cell has no other leaf."""
+    """The leaves of members (MEMBERS), each joined with itself: u and v hold the ids that its links tie. sets is null where the cell has no other leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, rows = TaskContext.get().partitionId(), 0, []
@@ -102,9 +115,8 @@ def load_leaves(members: DataFrame, percent: int, size: int = LEAF) -> DataFrame
         def leaf(alone: bool) -> None:
             nonlocal seq, ids, sets, held
             points = np.stack([count_vector(s) for s in sets])
-            found = search(sets, points, np.arange(len(sets)), 0, percent)
             doc = np.array(ids, np.int64)
-            u, v = (np.array([doc[x[k]] for x in found], np.int64).tobytes() for k in (0, 1))
+            u, v = (x.tobytes() for x in ties(doc, search(sets, points, np.arange(len(sets)), 0, percent)))
             n = np.array(list(map(len, sets)), np.int64)
             corners = (None, None) if alone else (points.min(0).astype(np.int64).tobytes(), points.max(0).astype(np.int64).tobytes())
             rows.append((cell, part, seq, int(n.min()), int(n.max()), *corners, doc.tobytes(), n.tobytes(), None if alone else b"".join(s.tobytes() for s in sets), u, v))
@@ -159,7 +171,7 @@ def _longs(*names: str, keep: tuple[str, ...] = ()):
 
 
 def leaf_links(leaves: DataFrame) -> DataFrame:
-    """u, v of the links found within leaves."""
+    """u, v of the ties within leaves."""
     return leaves.select("u", "v").mapInArrow(_longs("u", "v"), "u long, v long")
 
 
@@ -238,8 +250,7 @@ def descend(leaves: DataFrame, inside: DataFrame, percent: int) -> DataFrame:
 def tree_components(members: DataFrame, percent: int, size: int = LEAF) -> DataFrame:
     """node, component: for every doc_id of members (MEMBERS; each cell's points are searched for links) that links with another, the least doc_id that it reaches."""
     leaves = stage_table(load_leaves(members, percent, size), "rtree-leaves")
-    links = stage_table(leaf_links(leaves), "rtree-links")
-    found = components(links)
+    found = stage_table(components(leaf_links(leaves)), "components")
     several = leaves.groupBy("cell").count().filter("count > 1").select("cell")
     if several.isEmpty():
         return found
@@ -260,8 +271,7 @@ def tree_components(members: DataFrame, percent: int, size: int = LEAF) -> DataF
         before = n
         few = stand_ins.join(open_cells, "cell", "left_semi").select("cell", "doc_id")
         upper = stage_table(load_leaves(few.join(members.select("cell", "doc_id", "n", "place", "hashes"), ["cell", "doc_id"]), percent, size), "rtree-upper")
-        links = stage_table(links.unionByName(leaf_links(upper)), "rtree-links")
-        found = components(links)
+        found = joined(found, leaf_links(upper))
     inside = (
         named.join(open_cells, "cell", "left_semi").groupBy("cell", "part", "seq")
         .agg(F.min("component").alias("c_min"), F.max("component").alias("c_max"), F.map_from_entries(F.collect_list(F.struct("doc_id", "component"))).alias("of"))
@@ -278,4 +288,4 @@ def tree_components(members: DataFrame, percent: int, size: int = LEAF) -> DataF
 
     inside = stage_table(ids_of.select("cell", "part", "seq", "c_min", "c_max", "ids", "of").mapInArrow(in_order, "cell long, part int, seq int, c_min long, c_max long, comps binary"), "rtree-inside")
     more = descend(wide, inside, percent)
-    return components(links.unionByName(more))
+    return joined(found, more)

@@ -1,7 +1,7 @@
 import random
 
 from passagemill.llm import ngram_join as nj
-from passagemill.llm.components import components
+from passagemill.llm.components import components, joined
 
 
 def brute(docs, width=4, percent=85):
@@ -149,3 +149,15 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_links_join_components(spark):
+    """More links joined to components equal the components of all links; links within components and none change nothing."""
+    rng = random.Random(5)
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    table = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    found = components(table(some))
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    as_dict = lambda df: {r.node: r.component for r in df.collect()}
+    assert as_dict(joined(found, table(more))) == as_dict(components(table(some + more)))
+    assert as_dict(joined(found, table([]))) == as_dict(joined(found, table(some))) == as_dict(found)
