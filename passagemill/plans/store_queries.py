@@ -13,6 +13,7 @@ from passagemill.functions import vectors as vf
 from passagemill.operators import audit, ingest
 from passagemill.plans import tables as t
 from passagemill.session import shared_folder
+from passagemill.sources import corpus
 from passagemill.streaming import feed
 
 WIDTH = 64
@@ -157,6 +158,49 @@ def r1_ingest_stream(s, d):
     return feed.Store(s, f"{folder}/store").read()[0].select("client_name", "scope", "path_or_uri", "content_hash")
 
 
+def r2_feed_deletes(s, d):
+    """A batch of the feed with a delete of every sixth stored note; that of every twelfth is asked for by another tenant, and every 18th note is sent anew afterwards. What is left: all notes, and the passages of those not sent anew."""
+    n = _notes(s, d).filter("id % 6 = 0")
+    asks = lambda rows, k, op, tenant, at: rows.select((F.col("id") * 2 + k).alias("request_id"), F.timestamp_seconds(F.lit(at)).alias("arrived_at"), F.lit(op).alias("op"), tenant.alias("client_name"), "scope", F.lit(None).cast("string").alias("repo_name"), "path_or_uri", F.col("body").alias("content"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("meta"), F.lit(True).alias("force"))
+    tenant = F.when(F.col("id") % 12 == 0, F.concat("client_name", F.lit("-other"))).otherwise(F.col("client_name"))
+    batch = asks(n, 0, "delete", tenant, 1_700_000_000).unionByName(asks(n.filter("id % 18 = 0"), 1, "upsert", F.col("client_name"), 1_700_000_001))
+    embed = lambda c: vf.hash_embedding(c, CFG.dimension).cast("array<double>")
+    notes, passages, _ = feed.apply_batch(batch, _notes(s, d), _passages(s, d), CFG, embed, _now())
+    return notes.select(F.col("id").alias("note_id"), F.lit("note").alias("kind"), F.lit(1).cast("long").alias("n")).unionByName(passages.filter("note_id % 18 <> 0").groupBy("note_id").agg(F.lit("passage").alias("kind"), F.count("*").alias("n")))
+
+
+def _corpus(s, d):
+    """A file for each document, in a folder of its source, some with Windows line ends, and some not UTF-8, of another kind, or with names that are excluded."""
+    root = f"{shared_folder(s)}/corpus-{uuid.uuid4().hex}"
+    k = F.col("doc_id")
+    name = F.when(k % 7 == 3, F.concat(k, F.lit("/MEMORY.md"))).when(k % 13 == 4, F.concat(k, F.lit(".txt"))).otherwise(F.concat(k, F.lit(".md")))
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(k % 5 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text).cast("binary")
+    bad = F.concat(F.lit(b"\xff\xfe").cast("binary"), text)
+    corpus.write_files(t.table(s, d, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), name).alias("path_or_uri"), F.when(k % 11 == 5, bad).otherwise(text).alias("content")), root)
+    return corpus.read_corpus(s, root)
+
+
+def s1_corpus_files(s, d):
+    return _corpus(s, d)[0].select("path_or_uri", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("content_hash"))
+
+
+def s3_failed_files(s, d):
+    return _corpus(s, d)[1].select("path_or_uri", "fault")
+
+
+def s5_golden_files(s, d):
+    """A golden file for each 50 benchmark items, of which every ninth has no expectation and every tenth a list of two; each sixth file lacks a number of its gate."""
+    root = f"{shared_folder(s)}/golden-{uuid.uuid4().hex}"
+    k = F.col("item_id")
+    want = F.when(k % 9 == 8, F.array().cast("array<string>")).when(k % 10 == 9, F.array(F.concat(F.lit("docs/"), k), F.lit("x.md"))).otherwise(F.array(F.concat(F.lit("docs/"), k)))
+    entry = F.concat(F.lit("- "), F.to_json(F.struct(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,]", " ").alias("query"), want.alias("expect_path_or_uri"), F.concat(F.lit("item "), k).alias("notes"))))
+    files = t.table(s, d, "benchmark").select(F.floor(k / 50).alias("file"), k.alias("k"), entry.alias("entry")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "entry"))), lambda x: x["entry"]), "\n").alias("entries"))
+    gate = F.concat(F.lit("version: 1\ngate: {top_k: 5, threshold: 3"), F.when(F.col("file") % 6 == 5, F.lit("")).otherwise(F.lit(", minimum_queries: 10")), F.lit("}\nqueries:\n"))
+    corpus.write_files(files.select(F.concat(F.lit("golden-"), "file", F.lit(".yaml")).alias("path_or_uri"), F.concat(gate, "entries").cast("binary").alias("content")), root)
+    return corpus.read_golden(s, root).select(F.element_at(F.split("path", "/"), -1).alias("file"), "position", "query", F.array_join("expect_path_or_uri", "|").alias("expected"), "notes", "top_k", "threshold", "minimum_queries", "fault")
+
+
 def a4_summary(s, d):
     return ingest.run_summary(_ingested(s, d)[2].withColumn("passages", F.when(F.col("outcome") == "skipped", F.col("passages")).otherwise(F.lit(1))))
 
@@ -260,6 +304,10 @@ ALL = {
     "p5_ingested_notes": (p5_ingested_notes, STORE + "SELECT client_name, scope, path_or_uri, content_hash, 's3+fts1+ei1+hash+16' AS pipeline_version, 2026 AS created, CASE WHEN note_id IS NULL THEN 11 ELSE 1 END AS month FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT client_name, scope, path_or_uri, hash, version, 2026, 1 FROM stored WHERE id % 17 = 3"),
     "p5_ingested_passages": (p5_ingested_passages, None),
     "r1_ingest_stream": (r1_ingest_stream, STORE + "SELECT client_name, scope, path_or_uri, sha256(content) AS content_hash FROM last WHERE NOT starts_with(path_or_uri, '/') AND NOT (request_id > 0 AND request_id % 13 = 0)"),
+    "r2_feed_deletes": (r2_feed_deletes, STORE + "SELECT id AS note_id, 'note' AS kind, 1::BIGINT AS n FROM stored WHERE id % 6 <> 0 OR id % 12 = 0 OR id % 18 = 0 UNION ALL SELECT note_id, 'passage', count(*) FROM pass WHERE (note_id % 6 <> 0 OR note_id % 12 = 0) AND note_id % 18 <> 0 GROUP BY 1"),
+    "s1_corpus_files": (s1_corpus_files, "SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path_or_uri, length(t)::BIGINT AS chars, sha256(t) AS content_hash FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents) WHERE doc_id % 7 <> 3 AND doc_id % 13 <> 4 AND doc_id % 11 <> 5"),
+    "s3_failed_files": (s3_failed_files, "SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path_or_uri, 'not UTF-8' AS fault FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 13 <> 4 AND doc_id % 11 = 5"),
+    "s5_golden_files": (s5_golden_files, "SELECT 'golden-' || (item_id // 50) || '.yaml' AS file, position::INT AS position, CASE WHEN fault IS NULL THEN regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g') END AS query, CASE WHEN fault IS NULL THEN 'docs/' || item_id || CASE WHEN item_id % 10 = 9 THEN '|x.md' ELSE '' END END AS expected, CASE WHEN fault IS NULL THEN 'item ' || item_id END AS notes, 5 AS top_k, 3 AS threshold, 10 AS minimum_queries, fault FROM (SELECT *, CASE WHEN item_id % 9 = 8 THEN 'queries[' || position || ']: expect_path_or_uri must be a path or a list of paths' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY item_id // 50 ORDER BY item_id) - 1 AS position FROM benchmark)) WHERE item_id // 50 % 6 <> 5 UNION ALL SELECT DISTINCT 'golden-' || (item_id // 50) || '.yaml', -1, NULL, NULL, NULL, NULL::INT, NULL::INT, NULL::INT, 'gate.minimum_queries must be an integer' FROM benchmark WHERE item_id // 50 % 6 = 5"),
     "v2_degenerate": (v2_degenerate, _V + "SELECT id, k IN (5, 6) AS embedding_degenerate FROM f WHERE k NOT IN (1, 3, 4)"),
     "v3_faults": (v3_faults, _V + "SELECT id, fault FROM f"),
     "f6_eligible": (f6_eligible, _V + "SELECT id FROM f WHERE k NOT IN (1, 3, 4, 5, 6)"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,33 +40,92 @@ def read_corpus(spark: SparkSession, root: str, globs: list[str] | None = None)
     return good, both.filter("text IS NULL").select("path_or_uri", F.lit("not UTF-8").alias("fault"))
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each of files (path_or_uri, content as bytes) as a file under root, in tasks. A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(root)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{top}/{name}") as f:
+                    f.write(content)
+            yield b.select(["path_or_uri"])
+
+    files.select("path_or_uri", "content").mapInArrow(run, "path_or_uri string").write.format("noop").mode("overwrite").save()
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.INGEST_REQUESTS).json(path)
 
 
-def load_golden(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """(gate, queries) of a golden file (JSON), checked; a fault names the entry."""
-    whole = "\n".join(r["value"] for r in spark.read.text(path).collect())  # a small file, read whole
-    return check_golden(spark, json.loads(whole))
+GOLDEN_ROWS = "path string, position int, query string, expect_path_or_uri array<string>, notes string, top_k int, threshold int, minimum_queries int, fault string"
+GATE = ("top_k", "threshold", "minimum_queries")
+
+
+def _is_text(x) -> bool:
+    return isinstance(x, str) and x != ""
+
+
+def _golden_rows(text: str) -> list[tuple]:
+    """The entries of a golden file (YAML) as rows of GOLDEN_ROWS without the path. What is wrong with an entry stands in its fault; what is wrong with the file is one row at position -1."""
 
+    def whole(fault: str) -> list[tuple]:
+        return [(-1, None, None, None, None, None, None, fault)]
 
-def check_golden(spark: SparkSession, doc: dict) -> tuple[dict, DataFrame]:
+    try:
+        doc = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        return whole(f"not YAML: {getattr(e, 'problem', None) or e}")
+    if not isinstance(doc, dict):
+        return whole("the top level must be a mapping")
     if doc.get("version") != 1:
-        raise ValueError("version must be 1")
-    gate = doc.get("gate") or {}
-    for k in ("top_k", "threshold", "minimum_queries"):
-        if not isinstance(gate.get(k), int) or isinstance(gate.get(k), bool):
-            raise ValueError(f"gate.{k} must be an integer")
+        return whole("version must be 1")
+    gate = doc.get("gate")
+    bad = ["gate"] if not isinstance(gate, dict) else [f"gate.{k}" for k in GATE if type(gate.get(k)) is not int]
+    if bad:
+        return whole(f"{bad[0]} must be {'a mapping' if bad == ['gate'] else 'an integer'}")
+    if not isinstance(doc.get("queries"), list):
+        return whole("queries must be a list")
     rows = []
-    for i, q in enumerate(doc.get("queries") or []):
-        if not isinstance(q, dict) or not isinstance(q.get("query"), str) or not q["query"].strip():
-            raise ValueError(f"queries[{i}]: query must be a text")
-        want = q.get("expect_path_or_uri")
+    for i, entry in enumerate(doc["queries"]):
+        e = entry if isinstance(entry, dict) else {}
+        want = e.get("expect_path_or_uri")
         want = [want] if isinstance(want, str) else want
-        if not isinstance(want, list) or not want or not all(isinstance(x, str) and x for x in want):
-            raise ValueError(f"queries[{i}]: expect_path_or_uri must be a path or a list of paths")
-        rows.append((q["query"], want, q.get("notes")))
-    return gate, spark.createDataFrame(rows, schemas.GOLDEN)
+        verdicts = (
+            (isinstance(entry, dict), "must be a mapping"),
+            (_is_text(e.get("query")) and e["query"].strip() != "", "query must be a text"),
+            (isinstance(want, list) and want != [] and all(map(_is_text, want)), "expect_path_or_uri must be a path or a list of paths"),
+            (e.get("notes") is None or isinstance(e["notes"], str), "notes must be a text"),
+        )
+        fault = next((f"queries[{i}]: {said}" for holds, said in verdicts if not holds), None)
+        rows.append((i, *((e["query"], want, e.get("notes")) if fault is None else (None,) * 3), *(gate[k] for k in GATE), fault))
+    return rows
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all golden files (YAML, each read whole in a task) under path, one row each (GOLDEN_ROWS), with the gate of their file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in GOLDEN_ROWS.split(", ")]
+        for b in batches:
+            yield pd.DataFrame([(p, *row) for p, text in zip(b["path"], b["text"], strict=True) for row in _golden_rows(text)], columns=names).astype(dict.fromkeys(("position", *GATE), "Int32"))
+
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).mapInPandas(run, GOLDEN_ROWS)
+
+
+def load_golden(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(gate, queries) of one golden file; the first fault raises and names the entry. A hand-made file of this kind is small and is read on the driver."""
+    return check_golden(spark, "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def check_golden(spark: SparkSession, text: str) -> tuple[dict, DataFrame]:
+    rows = _golden_rows(text)
+    for row in rows:
+        if row[-1]:
+            raise ValueError(row[-1])
+    gate = yaml.safe_load(text)["gate"]
+    return {k: gate[k] for k in GATE}, spark.createDataFrame([row[1:4] for row in rows], schemas.GOLDEN)
 
 
 def write_store(notes: DataFrame, passages: DataFrame, folder: str) -> None:

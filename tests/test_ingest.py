@@ -101,12 +101,15 @@ def test_corpus(spark, tmp_path):
 
 def test_golden(spark, tmp_path):
     doc = {"version": 1, "gate": {"top_k": 5, "threshold": 2, "minimum_queries": 3}, "queries": [{"query": "q", "expect_path_or_uri": "a"}, {"query": "r", "expect_path_or_uri": ["b", "c"], "notes": "n"}]}
-    (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
-    gate, rows = corpus.load_golden(spark, f"file://{tmp_path}/g.json")
+    (tmp_path / "g.yaml").write_text("version: 1\ngate:\n  top_k: 5\n  threshold: 2\n  minimum_queries: 3\nqueries:\n- query: q\n  expect_path_or_uri: a\n- {query: r, expect_path_or_uri: [b, c], notes: n}\n")
+    gate, rows = corpus.load_golden(spark, f"file://{tmp_path}/g.yaml")
     assert gate["threshold"] == 2 and [list(r.expect_path_or_uri) for r in rows.collect()] == [["a"], ["b", "c"]]
-    for bad, message in (({"version": 2}, "version"), ({"queries": [{"query": "  ", "expect_path_or_uri": "a"}]}, r"queries\[0\]"), ({"queries": [{"query": "q", "expect_path_or_uri": "a"}, {"query": "q", "expect_path_or_uri": []}]}, r"queries\[1\]"), ({"gate": {"top_k": True}}, "gate.top_k")):
+    for bad, message in (({"version": 2}, "version"), ({"queries": [{"query": "  ", "expect_path_or_uri": "a"}]}, r"queries\[0\]"), ({"queries": [{"query": "q", "expect_path_or_uri": "a"}, {"query": "q", "expect_path_or_uri": []}]}, r"queries\[1\]"), ({"gate": {"top_k": True}}, "gate.top_k"), ({"gate": []}, "gate must be a mapping"), ({"queries": {}}, "queries must be a list"), ({"queries": ["q"]}, r"queries\[0\]: must be a mapping"), ({"queries": [{"query": "q", "expect_path_or_uri": ["a", ""]}]}, "expect_path"), ({"queries": [{"query": "q", "expect_path_or_uri": "a", "notes": 3}]}, "notes")):
         with pytest.raises(ValueError, match=message):
-            corpus.check_golden(spark, doc | bad)
+            corpus.check_golden(spark, json.dumps(doc | bad))
+    for text, message in (("- a\n", "mapping"), ("", "mapping"), ("a: [", "not YAML")):
+        with pytest.raises(ValueError, match=message):
+            corpus.check_golden(spark, text)
 
 
 def test_store_round_trip(spark, tmp_path):
