@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagemill.llm import chat, fingerprint, language, mixing, ngram_join, packing, pii, quality, token_shards, url_filter
+from passagemill.llm import chat, collocation, decontaminate, fingerprint, language, mixing, ngram_join, packing, pii, prefix_trie, quality, token_shards, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_fingerprints": fingerprint.op10_fingerprints,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_collocations": collocation.op12_collocations,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_source_mixing": mixing.OP3_SQL,
     "op5_url_filters": url_filter.OP5_SQL,
+    "op11_decontamination": decontaminate.OP11_SQL,
+    "op12_collocations": collocation.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
