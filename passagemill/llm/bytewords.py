@@ -8,6 +8,7 @@ the bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import mix64
 
-#: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+#: Bytes that are hashed at a time, and bytes of texts that are handled at a time (or one longer text).
+CHUNK, PART = 1 << 20, 4 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -77,6 +78,15 @@ def word_bytes(separators: bytes) -> np.ndarray:
     return table
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in pieces whose texts in column have PART bytes at most, or are one text."""
+    upto, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words_of(column: pa.Array, table: np.ndarray) -> Words:
     """The words of a column of texts; null has none."""
     texts = pc.fill_null(column.cast(pa.large_string()), "")

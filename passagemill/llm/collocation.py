@@ -38,16 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.bytewords import Words, bloom, may_hold, word_bytes, words_of
+from passagemill.llm.bytewords import Words, bloom, may_hold, parts, word_bytes, words_of
 from passagemill.llm.common import bound_batches, mix64, stage_table
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 WORD_BYTES = word_bytes(b" \t" + BREAKS)
 _BREAK = ~word_bytes(BREAKS)
-#: Ids of a length that are ranks; ids along a side of a tile; dense tiles that a task holds; coordinates that it holds.
-DICTIONARY, TILE, HELD_TILES, HELD_PAIRS = 1 << 18, 512, 48, 1 << 21
-#: Occurrences in a batch from which a tile is dense.
+#: Ids of a length that are ranks; ids along a side of a tile; dense tiles that a task holds; coordinates that it holds; ids that are looked at at a time.
+DICTIONARY, TILE, HELD_TILES, HELD_PAIRS, SLICE = 1 << 18, 256, 48, 1 << 20, 1 << 20
+#: Occurrences in a slice from which a tile is dense.
 DENSE = TILE * TILE // 8
 _SIGN = np.uint64(1 << 63)
 
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word and n, its occurrences; word is null for the sum over all words of lang. Words are summed as strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in parts(b, 0)):
             w = words_of(b.column(0), WORD_BYTES)
             if not len(w):
                 continue
@@ -143,15 +143,22 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(s.as_buffer(), np.int64)
 
 
+def _slices(seqs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same neighbours in slices, each with the first id of the next."""
+    for s in seqs:
+        for at in range(0, len(s), SLICE):
+            yield s[at : at + SLICE + 1]
+
+
 def word_sequences(docs: DataFrame, ids) -> DataFrame:
     """seq: sequences of word ids, as bytes; ids: a broadcast of Ids."""
 
     def seqs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
+        for b in (p for b in batches for p in parts(b, 0)):
             w = words_of(b.column(0), WORD_BYTES)
             if not len(w):
                 continue
-            piece = np.cumsum(_BREAK[w.data], dtype=np.int64)[w.start]
+            piece = np.searchsorted(np.flatnonzero(_BREAK[w.data]), w.start)
             new = np.cumsum((np.diff(piece) != 0) | (np.diff(w.row) != 0))
             out = np.zeros(len(w) + (int(new[-1]) if len(new) else 0), np.int64)
             out[np.arange(len(w)) + np.concatenate(([0], new)).astype(np.int64)] = ids.value.of(_keys(w, b.column(1)))
@@ -190,7 +197,7 @@ def pair_counts(seqs: DataFrame) -> DataFrame:
             n = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
             return out(code >> 31, code & 0x7FFFFFFF, n)
 
-        for s in _sequences(batches):
+        for s in _slices(_sequences(batches)):
             a, b = s[:-1], s[1:]
             both = np.flatnonzero((a > 0) & (b > 0))
             far = np.flatnonzero((a != 0) & (b != 0) & ((a < 0) | (b < 0)))

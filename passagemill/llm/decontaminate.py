@@ -40,7 +40,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.bytewords import bloom, lower_ascii, may_hold, shingles, word_bytes, words_of
+from passagemill.llm.bytewords import bloom, lower_ascii, may_hold, parts, shingles, word_bytes, words_of
 from passagemill.llm.common import bound_batches, hot_join, stage_table
 
 WIDTH, SHINGLE = 10, 4
@@ -97,7 +97,7 @@ def shingle_counts(docs: DataFrame, sizes: list[int], table: Broadcast) -> DataF
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64))], names=["h", "n"])
 
-        for b in batches:
+        for b in (p for b in batches for p in parts(b, 0)):
             for _, _, key in _found(b.column(0), sizes, table):
                 key, n = np.unique(key, return_counts=True)
                 keys.append(key)
@@ -120,7 +120,7 @@ def document_postings(docs: DataFrame, sizes: list[int], table: Broadcast, width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in (p for b in batches for p in parts(b, 1)):
             n_words = None
             for w, place, key in _found(b.column(1), sizes, table):
                 if n_words is None:

@@ -66,7 +66,8 @@ DOCS = [
 ]
 
 
-def test_decontamination_equals_brute_force(spark):
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bytewords, "PART", 40)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "'x' AS h", "'x' AS RID").repartition(3)
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS doc_id")
     for width in (10, 3):
@@ -127,6 +128,7 @@ def some_texts():
 @pytest.mark.parametrize("dictionary", [1 << 18, 40, 1])
 def test_collocations_equal_brute_force(spark, dictionary, monkeypatch):
     monkeypatch.setattr(collocation, "DENSE", 20)
+    monkeypatch.setattr(bytewords, "PART", 1000)
     texts = some_texts()
     docs = spark.createDataFrame(texts, "text string, lang string").selectExpr("*", "1 AS n", "'x' AS word").repartition(4)
     got = sorted(tuple(r) for r in collocation.collocations(docs, 8, 5, 25, dictionary).collect())
@@ -145,6 +147,7 @@ def test_tiles_dense_and_sparse_count_alike(spark, monkeypatch):
         monkeypatch.setattr(collocation, "DENSE", dense)
         monkeypatch.setattr(collocation, "HELD_TILES", tiles)
         monkeypatch.setattr(collocation, "HELD_PAIRS", held)
+        monkeypatch.setattr(collocation, "SLICE", 1000)
         assert {(r.a, r.b): r.f for r in collocation.pair_counts(frame).collect()} == want
 
 
