@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import mix64
 
 #: Bytes that are hashed at a time, and bytes of texts that are handled at a time (or one longer text).
-CHUNK, PART = 1 << 20, 4 << 20
+CHUNK, PART = 1 << 20, 2 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -46,9 +46,11 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 WORD_BYTES = word_bytes(b" \t" + BREAKS)
 _BREAK = ~word_bytes(BREAKS)
 #: Ids of a length that are ranks; ids along a side of a tile; dense tiles that a task holds; coordinates that it holds; ids that are looked at at a time.
-DICTIONARY, TILE, HELD_TILES, HELD_PAIRS, SLICE = 1 << 18, 256, 48, 1 << 20, 1 << 20
+DICTIONARY, TILE, HELD_TILES, HELD_PAIRS, SLICE = 1 << 18, 256, 32, 1 << 19, 1 << 19
 #: Occurrences in a slice from which a tile is dense.
 DENSE = TILE * TILE // 8
+#: Bytes of a batch to tasks, and rows of a batch from them.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1 << 16
 _SIGN = np.uint64(1 << 63)
 
 
@@ -184,17 +186,23 @@ def pair_counts(seqs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: dict[tuple[int, int], np.ndarray] = {}
         codes, counts, held = [], [], 0
-        out = lambda a, b, n: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "f"])
+
+        def out(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(a), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + BATCH_ROWS]) for x in (a, b, n)], names=["a", "b", "f"])
 
         def dense() -> Iterator[pa.RecordBatch]:
             for (ta, tb), cells in tiles.items():
                 at = np.flatnonzero(cells)
-                yield out(at // TILE + ta * TILE + 1, at % TILE + tb * TILE + 1, cells[at])
+                yield from out(at // TILE + ta * TILE + 1, at % TILE + tb * TILE + 1, cells[at])
             tiles.clear()
 
-        def sparse() -> pa.RecordBatch:
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+        def sparse() -> Iterator[pa.RecordBatch]:
+            code, n = np.concatenate(codes), np.concatenate(counts)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            code, n = code[first], np.add.reduceat(n[order], first)
             return out(code >> 31, code & 0x7FFFFFFF, n)
 
         for s in _slices(_sequences(batches)):
@@ -203,7 +211,7 @@ def pair_counts(seqs: DataFrame) -> DataFrame:
             far = np.flatnonzero((a != 0) & (b != 0) & ((a < 0) | (b < 0)))
             if len(far):
                 pairs, n = np.unique(np.stack([a[far], b[far]], 1), axis=0, return_counts=True)
-                yield out(pairs[:, 0].copy(), pairs[:, 1].copy(), n)
+                yield from out(pairs[:, 0].copy(), pairs[:, 1].copy(), n)
             if not len(both):
                 continue
             a, b = a[both] - 1, b[both] - 1
@@ -222,10 +230,10 @@ def pair_counts(seqs: DataFrame) -> DataFrame:
             counts.append(n)
             held += len(code)
             if held > HELD_PAIRS:
-                yield sparse()
+                yield from sparse()
                 codes, counts, held = [], [], 0
         if held:
-            yield sparse()
+            yield from sparse()
         yield from dense()
 
     return seqs.mapInArrow(run, "a long, b long, f long").groupBy("a", "b").agg(F.sum("f").alias("f"))
@@ -262,7 +270,7 @@ def _pair_keyed(pairs: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, dictionary: int = DICTIONARY) -> tuple[DataFrame, list[DataFrame]]:
     """(totals, levels): lang and n, the words of each lang; for 2, 3, ... words the phrases that occur least times or more: id, lang, phrase, f, a and b (ids of the phrases without the last and first word), pre and suf (frequencies of its first and last 1, 2, ... words)."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, BATCH_BYTES)
     share = spark.sparkContext.broadcast
     counts = stage_table(word_counts(docs).filter((F.col("n") >= least) | F.col("word").isNull()), "phrase-words")
     totals = counts.filter("word IS NULL").select("lang", "n")
