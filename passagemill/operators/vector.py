@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.vectors import cosine_distance
+from passagemill.operators import ann
 from passagemill.operators.fulltext import in_scope
 
-#: Bytes of query vectors that are broadcast to the matrix product at most; beyond that queries are joined by tenant.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of query vectors that are broadcast to the matrix product at a time, and queries that are multiplied at a time.
+BROADCAST_BYTES, QUERIES_AT_ONCE = 64 << 20, 256
 
 
 def eligible(passages: DataFrame) -> DataFrame:
@@ -34,68 +35,68 @@ def nearest_native(passages: DataFrame, queries: DataFrame, candidates: int, def
     return _cut(d, queries, candidates, default_top_k)
 
 
-def nearest(passages: DataFrame, queries: DataFrame, candidates: int, default_top_k: int = 5) -> DataFrame:
-    """As nearest_native, by a matrix product for each Arrow batch: queries go to the passages, each batch keeps its own first n, so that embeddings are never shuffled. Queries too many to broadcast take the native way."""
+def nearest(passages: DataFrame, queries: DataFrame, candidates: int, default_top_k: int = 5, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, passage_id, distance, r by a matrix product for each batch of passages: the queries go to the passages, in blocks of block_bytes, and embeddings are never shuffled. A batch gives its best of each query."""
     rows = queries.filter("query_vector IS NOT NULL").select("query_id", "client_name", "repo_filter", "top_k", "query_vector")
-    width = rows.select(F.coalesce(F.max(F.size("query_vector")), F.lit(0)), F.count("*")).first()
-    if width[0] * width[1] * 8 > BROADCAST_BYTES:
-        return nearest_native(passages, queries, candidates, default_top_k)
-    held = rows.collect()  # bounded by BROADCAST_BYTES
-    spark = passages.sparkSession
-    table = spark.sparkContext.broadcast([(r["query_id"], r["client_name"], r["repo_filter"] or "", max(candidates, r["top_k"] or default_top_k), np.array(r["query_vector"], np.float64)) for r in held])
+    width, many = rows.select(F.coalesce(F.max(F.size("query_vector")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-width * many * 8 // block_bytes))
+    narrow = eligible(passages).select("passage_id", "client_name", "scope", "embedding")
+    found = None
+    for i in range(blocks):
+        held = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about block_bytes
+        part = narrow.mapInPandas(_best(passages.sparkSession.sparkContext.broadcast(_by_tenant(held, candidates, default_top_k))), "query_id long, passage_id long, distance double")
+        found = part if found is None else found.unionByName(part)
+    return _cut(found, queries, candidates, default_top_k)
+
+
+def _by_tenant(rows: list, candidates: int, default_top_k: int) -> dict[str, tuple]:
+    """By tenant, its queries' ids, unit vectors, scopes and wanted numbers; zero vectors have no nearest."""
+    out: dict[str, list] = {}
+    for r in rows:
+        v = np.array(r["query_vector"], np.float64)
+        if (norm := np.sqrt((v * v).sum())) > 0:
+            out.setdefault(r["client_name"], []).append((r["query_id"], v / norm, r["repo_filter"] or "", max(candidates, r["top_k"] or default_top_k)))
+    return {client: ([x[0] for x in g], np.array([x[1] for x in g]), [x[2] for x in g], [x[3] for x in g]) for client, g in out.items()}
+
+
+def _best(table):
+    """A function over batches of passages: the nearest in each batch for each query of the broadcast table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for client, part in b.groupby("client_name"):
+                if client not in table.value:
+                    continue
                 m = np.array(part["embedding"].tolist(), np.float64)
                 norms = np.sqrt((m * m).sum(axis=1))
-                ids, scopes = part["passage_id"].to_numpy(), part["scope"].to_numpy()
-                for query, owner, scope, n, v in table.value:
-                    if owner != client:
-                        continue
-                    at = np.flatnonzero(scopes == scope) if scope else np.arange(len(ids))
-                    scale = norms[at] * np.sqrt((v * v).sum())
-                    at, scale = at[scale > 0], scale[scale > 0]
-                    d = 1 - np.clip(m[at] @ v / scale, -1, 1)
-                    best = np.lexsort((ids[at], d))[:n]
-                    out.append(pd.DataFrame({"query_id": query, "passage_id": ids[at][best], "distance": d[best]}))
+                some = norms > 0
+                m, ids, scopes = m[some] / norms[some, None], part["passage_id"].to_numpy()[some], part["scope"].to_numpy()[some]
+                names, q, wanted, ns = table.value[client]
+                for at in range(0, len(names), QUERIES_AT_ONCE):
+                    d = 1 - np.clip(q[at : at + QUERIES_AT_ONCE] @ m.T, -1, 1)
+                    for k, row in enumerate(d, at):
+                        here = np.flatnonzero(scopes == wanted[k]) if wanted[k] else np.arange(len(ids))
+                        best = here[np.lexsort((ids[here], row[here]))[: ns[k]]]
+                        out.append(pd.DataFrame({"query_id": names[k], "passage_id": ids[best], "distance": row[best]}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "passage_id": [], "distance": []})
 
-    narrow = eligible(passages).select("passage_id", "client_name", "scope", "embedding")
-    return _cut(narrow.mapInPandas(run, "query_id long, passage_id long, distance double"), queries, candidates, default_top_k)
+    return run
 
 
-def signatures(rows: DataFrame, key: str, vector: str, tables: int, bits: int, width: int, seed: int = 7, probe: bool = False) -> DataFrame:
-    """key, client_name, band and signature: the signs of a vector's products with random directions, by table; if probe, also the signatures one bit away."""
-    flips = np.array([0] + [1 << i for i in range(bits)] * probe)
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
+def nearest_approximate(passages: DataFrame, queries: DataFrame, candidates: int, width: int, default_top_k: int = 5, reach: float = 1.0, index: ann.Index | None = None) -> DataFrame:
+    """query_id, passage_id, distance, r by inverted lists of codes (index, else made here) and full vectors of what they leave over; see operators.ann."""
+    kept, _ = ann.candidates_of(index or ann.build_index(passages, width), queries, candidates, default_top_k, reach)
+    return _cut(ann.compare(kept, passages, queries), queries, candidates, default_top_k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            sign = (np.array(b[vector].tolist(), np.float64) @ planes.T > 0).reshape(len(b), tables, bits)
-            value = (sign * (1 << np.arange(bits))).sum(axis=2)[:, :, None] ^ flips
-            each = tables * len(flips)
-            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), each), "client_name": np.repeat(b["client_name"].to_numpy(), each), "band": np.tile(np.repeat(np.arange(tables), len(flips)), len(b)), "signature": value.reshape(-1)})
-
-    return rows.select(key, "client_name", vector).mapInPandas(run, f"{key} long, client_name string, band int, signature long")
-
-
-def nearest_approximate(passages: DataFrame, queries: DataFrame, candidates: int, width: int, tables: int = 16, bits: int = 5, default_top_k: int = 5) -> DataFrame:
-    """Nearest passages among those whose signature in some table differs from the query's in at most one bit, in its tenant and scope; filters come before the cut, and a query left short of n is searched exactly."""
-    q = queries.filter("query_vector IS NOT NULL")
-    own = eligible(passages)
-    near = signatures(own, "passage_id", "embedding", tables, bits, width).join(signatures(q, "query_id", "query_vector", tables, bits, width, probe=True), ["client_name", "band", "signature"]).select("query_id", "passage_id").distinct()
-    both = near.join(own.select("passage_id", "scope", "embedding"), "passage_id").join(q.select("query_id", "repo_filter", "query_vector"), "query_id").filter(in_scope("repo_filter", "scope"))
-    d = both.select("query_id", "passage_id", cosine_distance(F.col("embedding"), F.col("query_vector")).alias("distance")).filter(~F.isnan("distance"))
-    found = _cut(d, queries, candidates, default_top_k)
-    n = F.greatest(F.lit(candidates), F.coalesce(F.col("top_k"), F.lit(default_top_k)))
-    counts = found.groupBy("query_id").agg(F.count("*").alias("got"))
-    short = q.join(counts, "query_id", "left").filter(F.coalesce("got", F.lit(0)) < n).drop("got")
-    exact = nearest_native(passages, short, candidates, default_top_k)
-    return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(exact)
+
+def recall_report(passages: DataFrame, queries: DataFrame, candidates: int, width: int, reach: float = 1.0) -> DataFrame:
+    """client_name, queries, recall, starved, and the shares of the tenant's passages whose codes were looked at (scanned) and whose vectors were compared, of the approximate search against the exact one."""
+    kept, work = ann.candidates_of(ann.build_index(passages, width), queries, candidates, reach=reach)
+    found = recall(_cut(ann.compare(kept, passages, queries), queries, candidates, 5), nearest(passages, queries, candidates), queries)
+    sizes = eligible(passages).groupBy("client_name").agg(F.count("*").alias("passages"))
+    shares = work.join(queries.select("query_id", "client_name"), "query_id").join(sizes, "client_name").groupBy("client_name").agg(F.avg(F.col("seen") / F.col("passages")).alias("scanned"), F.avg(F.col("compared") / F.col("passages")).alias("compared"))
+    return found.join(shares, "client_name")
 
 
 def recall(approximate: DataFrame, exact: DataFrame, queries: DataFrame) -> DataFrame:

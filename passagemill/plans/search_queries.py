@@ -113,7 +113,7 @@ def v5_nearest_approximate(s, d):
 
 def v6_recall(s, d):
     p, q = t.passages(s, d), t.queries(s, d).withColumn("top_k", F.lit(10))
-    return vector.recall(vector.nearest_approximate(p, q, 10, 64), vector.nearest(p, q, 10), q)
+    return vector.recall_report(p, q, 10, 64)
 
 
 def a1_fusion(s, d):
@@ -230,7 +230,7 @@ ALL = {
     "v1_distances": (v1_distances, WITH + "SELECT query_id, count(*) AS n, round(avg(x), 7) AS mean, round(min(x), 7) AS least FROM (SELECT query_id, 1 - greatest(-1, least(1, list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v))))) AS x FROM q JOIN p USING (client_name) WHERE v IS NOT NULL) GROUP BY 1"),
     "v4_nearest": (v4_nearest, WITH + "SELECT query_id, passage_id, round(distance, 8) AS distance, r::INT AS r FROM vec"),
     "v4_nearest_native": (v4_nearest_native, WITH + "SELECT query_id, passage_id, round(distance, 8) AS distance, r::INT AS r FROM vec"),
-    "v5_nearest_approximate": (v5_nearest_approximate, None),
+    "v5_nearest_approximate": (v5_nearest_approximate, WITH + "SELECT query_id, passage_id, round(distance, 8) AS distance, r::INT AS r FROM vec"),
     "v6_recall": (v6_recall, None),
     "a1_fusion": (a1_fusion, WITH + "SELECT query_id, passage_id, round(sum(CASE WHEN arm = 'vec' THEN 0.5::DOUBLE WHEN v IS NULL THEN 2.0 ELSE 2.0 END / (10 + r)), 9) AS score, min(r) FILTER (arm = 'fts')::INT AS fts_rank, min(r) FILTER (arm = 'vec')::INT AS vector_rank FROM (SELECT query_id, passage_id, r, 'fts' AS arm FROM fts UNION ALL SELECT query_id, passage_id, r, 'vec' FROM vec) JOIN q USING (query_id) GROUP BY 1, 2"),
     "a2_arm_ranks": (a2_arm_ranks, WITH + "SELECT query_id, count(fts_rank) AS by_text, count(vector_rank) AS by_vector, count(*) FILTER (fts_rank IS NOT NULL AND vector_rank IS NOT NULL) AS by_both FROM results GROUP BY 1"),
