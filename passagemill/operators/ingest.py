@@ -63,13 +63,17 @@ def failed_notes(passages: DataFrame, width: int, keys: list[str]) -> DataFrame:
     return faults.groupBy(*keys).agg(F.min_by("fault", "ordinal").alias("fault"))
 
 
-def upsert_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
-    """notes with the rows of new written over: an identity that is there keeps its id and created_at."""
+def written_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of new as they are written: an identity that is in notes keeps its id and created_at."""
     old = notes.select(*IDENTITY, F.col("id").alias("_id"), F.col("created_at").alias("_at"))
     written = new.join(old, IDENTITY, "left").withColumn("id", F.coalesce("_id", "id")).withColumn("created_at", F.coalesce("_at", "created_at"))
+    return written.select(schemas.NOTES.fieldNames())
+
+
+def upsert_notes(notes: DataFrame, new: DataFrame) -> DataFrame:
+    """notes with the rows of new written over."""
     kept = notes.join(new.select(*IDENTITY), IDENTITY, "left_anti")
-    cols = [f.name for f in schemas.NOTES]
-    return kept.select(*cols).unionByName(written.select(*cols))
+    return kept.select(schemas.NOTES.fieldNames()).unionByName(written_notes(notes, new))
 
 
 def replace_passages(passages: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
@@ -110,7 +114,13 @@ Embed = Callable[[Column], Column]
 
 
 def ingest(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(notes, passages, results) after requests. results: request_id, identity, note_id, outcome, fault, passages.
+    """(notes, passages, results) after requests."""
+    new_notes, new_passages, results = changes(requests, notes, passages, cfg, embed, now)
+    return upsert_notes(notes, new_notes), replace_passages(passages, new_notes.select("client_name", F.col("id").alias("note_id")), new_passages), results
+
+
+def changes(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new notes, their passages, results) of requests to a store that holds notes and passages. results: request_id, identity, note_id, outcome, fault, passages.
 
     The skip join comes before splitting and embedding, so that only new and changed notes pay for them. Split notes and embedded passages are staged: each passage is embedded once, and the vectors that are stored are those that were checked. A note with a faulty vector fails as a whole and keeps what it had.
     """
@@ -142,4 +152,4 @@ def ingest(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: Inge
                 F.when(F.col("fault").isNotNull(), F.lit(0)).when(F.col("outcome") == "skipped", F.coalesce("stored", F.lit(0))).otherwise(F.coalesce("made", F.lit(0))).cast("long").alias("passages"))
         .unionByName(rejected.select("request_id", *IDENTITY, F.lit(None).cast("long").alias("note_id"), F.lit("rejected").alias("outcome"), "fault", F.lit(0).cast("long").alias("passages")))
     )
-    return upsert_notes(notes, new_notes), replace_passages(passages, fine.select("client_name", "note_id"), new_passages), results
+    return new_notes, new_passages, results

@@ -47,7 +47,7 @@ def e2_english_vocabulary(s, d):
 
 def e3_query_terms(s, d):
     q = t.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("client_name"), F.col("text").alias("q"), F.lit(None).cast("string").alias("repo_filter"))
-    terms = fulltext.query_terms(q, False).filter("length = 1")
+    terms = fulltext.query_terms(q, False)
     return terms.groupBy("query_id", "clause").agg(F.count("*").alias("terms"), F.count_if("negated").alias("negated"))
 
 
@@ -217,7 +217,11 @@ ALL = {
     "p4_hybrid_search_english": (p4_hybrid_search_english, None),
     "e1_postings": (e1_postings, WITH + "SELECT client_name, lexeme, weight, count(*) AS n, sum(pos)::BIGINT AS pos_sum, count(DISTINCT passage_id) AS passages FROM posts GROUP BY 1, 2, 3"),
     "e2_english_vocabulary": (e2_english_vocabulary, None),
-    "e3_query_terms": (e3_query_terms, None),
+    "e3_query_terms": (e3_query_terms, r"""
+WITH c AS (SELECT item_id, unnest(regexp_extract_all(text, '\S+')) AS c, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i FROM benchmark),
+t AS (SELECT *, lower(c) = 'or' AS is_or, len(regexp_extract_all(lower(c), '[\p{L}\p{N}_]+')) AS n, count(*) FILTER (lower(c) = 'or') OVER (PARTITION BY item_id ORDER BY i) AS ors FROM c),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY item_id ORDER BY ors) - 1 AS clause FROM t WHERE NOT is_or AND n > 0)
+SELECT item_id AS query_id, clause::INT AS clause, sum(n)::BIGINT AS terms, coalesce(sum(n) FILTER (starts_with(c, '-')), 0)::BIGINT AS negated FROM d GROUP BY ALL"""),
     "e4_matches": (e4_matches, WITH + _TWO + " SELECT query_id, passage_id FROM m"),
     "e5_cover_density": (e5_cover_density, None),
     "e5_term_rank": (e5_term_rank, WITH + "SELECT query_id, passage_id, round(rank::DOUBLE, 4) AS rank FROM fts0"),

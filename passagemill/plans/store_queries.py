@@ -12,8 +12,9 @@ from passagemill.config import IngestConfig
 from passagemill.functions import vectors as vf
 from passagemill.operators import audit, ingest
 from passagemill.plans import tables as t
-from passagemill.session import shared_folder
+from passagemill.session import shared_folder, stage_table
 from passagemill.sources import corpus
+from passagemill.sources.store import LogStore
 from passagemill.streaming import feed
 
 WIDTH = 64
@@ -155,7 +156,7 @@ def r1_ingest_stream(s, d):
     r.unionByName(gone).write.json(f"{folder}/in")
     embed = lambda c: vf.hash_embedding(c, CFG.dimension).cast("array<double>")
     feed.ingest_stream(s, f"{folder}/in", f"{folder}/store", f"{folder}/progress", CFG, embed).awaitTermination()
-    return feed.Store(s, f"{folder}/store").read()[0].select("client_name", "scope", "path_or_uri", "content_hash")
+    return LogStore(s, f"{folder}/store").read()[0].select("client_name", "scope", "path_or_uri", "content_hash")
 
 
 def r2_feed_deletes(s, d):
@@ -202,7 +203,13 @@ def s5_golden_files(s, d):
 
 
 def a4_summary(s, d):
-    return ingest.run_summary(_ingested(s, d)[2].withColumn("passages", F.when(F.col("outcome") == "skipped", F.col("passages")).otherwise(F.lit(1))))
+    """The summary of a run, with what its total of passages differs by from those that are stored for the notes that it counts."""
+    _, passages, results = _ingested(s, d)
+    results = stage_table(results, "results")
+    counted = results.filter("outcome IN ('new', 'changed', 'forced', 'skipped')").select("client_name", "note_id").distinct()
+    stored = passages.join(counted, ["client_name", "note_id"], "left_semi").agg(F.count("*").alias("stored"))
+    summary = ingest.run_summary(results).select("*", F.lit(1).alias("k"))
+    return summary.join(stored.select("stored", F.lit(1).alias("k")), "k").select("considered", "ingested", "skipped", "failed", (F.col("total_passages") - F.col("stored")).alias("differs_by"), (F.col("total_passages") > F.col("considered") - F.col("failed")).alias("several"))
 
 
 def _vectors(s, d):
@@ -214,7 +221,7 @@ def _vectors(s, d):
 
 
 def v2_degenerate(s, d):
-    return _vectors(s, d).filter("id % 10 NOT IN (1, 3, 4)").select("id", vf.degenerate(F.col("embedding").cast("array<float>")).alias("embedding_degenerate"))
+    return _vectors(s, d).select("id", vf.degenerate(F.col("embedding").cast("array<float>")).alias("embedding_degenerate"))
 
 
 def v3_faults(s, d):
@@ -222,8 +229,9 @@ def v3_faults(s, d):
 
 
 def f6_eligible(s, d):
-    v = _vectors(s, d).filter("id % 10 NOT IN (1, 3, 4)")
-    return v.filter(~vf.degenerate(F.col("embedding").cast("array<float>"))).select("id")
+    """Vectors that the vector arm can rank: not degenerate, and at a distance from themselves."""
+    e = F.col("embedding").cast("array<float>")
+    return _vectors(s, d).filter(~vf.degenerate(e)).filter(~F.isnan(vf.cosine_distance(e, e))).select("id")
 
 
 def a7_embedding_audit(s, d):
@@ -235,8 +243,9 @@ def a7_verdict(s, d):
 
 
 def a8_norms(s, d):
-    r = audit.norm_report(_vectors(s, d).filter("id % 10 NOT IN (1, 3, 4)"), WIDTH)
-    return r.select("id", F.round("norm64", 6).alias("norm64"), F.round("norm32", 4).alias("norm32"), "accepted")
+    """Norms of all vectors; one that isn't finite is null."""
+    finite = lambda c, digits: F.when(~F.isnan(c) & (F.col(c) < float("inf")), F.round(c, digits)).alias(c)
+    return audit.norm_report(_vectors(s, d), WIDTH).select("id", finite("norm64", 6), finite("norm32", 4), "accepted")
 
 
 def a9_failed_notes(s, d):
@@ -258,9 +267,14 @@ def p1_embed(s, d):
 
 
 def s6_store_layout(s, d):
-    """What the store's writer lays out: rows and passages by tenant."""
-    p = _passages(s, d).select(*[f.name for f in schemas.PASSAGES])
-    return p.groupBy("client_name").agg(F.count("*").alias("passages"), F.count_distinct("note_id").alias("notes"), F.sum(F.length("content")).alias("chars"))
+    """The store written as a log of two runs (the second one of every tenth note anew), merged into one, and read back: passages by tenant."""
+    notes, passages = _notes(s, d).select(schemas.NOTES.fieldNames()), _passages(s, d).select(schemas.PASSAGES.fieldNames())
+    held = LogStore(s, f"{shared_folder(s)}/layout-{uuid.uuid4().hex}", 16, share=0.0)
+    none = notes.limit(0)
+    held.append(0, notes, none, passages)
+    held.append(1, notes.filter("id % 10 = 0"), none, passages.filter("note_id % 10 = 0"))
+    held.merge()
+    return held.read()[1].groupBy("client_name").agg(F.count("*").alias("passages"), F.count_distinct("note_id").alias("notes"), F.sum(F.length("content")).alias("chars"))
 
 
 _STORED = r""", stored AS (SELECT *, sha256(content) AS hash, CASE WHEN id % 10 = 0 THEN 's2+fts1+ei1+hash+16' ELSE 's3+fts1+ei1+hash+16' END AS version FROM read WHERE id % 2 = 0),
@@ -297,7 +311,7 @@ ALL = {
     "u3_upsert": (u3_upsert, READ + "SELECT CASE WHEN id % 2 = 0 THEN id ELSE id + 1000000000 END AS id, path_or_uri, CASE WHEN id % 3 = 0 THEN 'upserted' END AS status, 2026 AS created, CASE WHEN id % 2 = 0 THEN 1 ELSE 11 END AS month, id % 2 = 0 AND id % 3 = 0 AS updated FROM read WHERE id % 2 = 0 OR id % 3 = 0"),
     "a3_passage_counts": (a3_passage_counts, STORE + "SELECT id AS note_id, CASE WHEN id % 4 = 0 THEN 2 ELSE 0 END AS passage_count FROM stored"),
     "p7_get_notes": (p7_get_notes, STORE + "SELECT id, client_name, scope, path_or_uri, name, hash AS content_hash, 2 AS passage_count FROM stored WHERE id % 7 <> 0"),
-    "a4_summary": (a4_summary, STORE + "SELECT count(*) AS considered, count(*) FILTER (NOT bad AND outcome <> 'skipped') AS ingested, count(*) FILTER (NOT bad AND outcome = 'skipped') AS skipped, count(*) FILTER (bad) AS failed, sum(CASE WHEN NOT bad AND outcome = 'skipped' THEN 2 ELSE 1 END)::BIGINT AS total_passages FROM (SELECT outcome, false AS bad FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT NULL, true FROM req WHERE starts_with(path_or_uri, '/'))"),
+    "a4_summary": (a4_summary, STORE + "SELECT count(*) AS considered, count(*) FILTER (NOT bad AND outcome <> 'skipped') AS ingested, count(*) FILTER (NOT bad AND outcome = 'skipped') AS skipped, count(*) FILTER (bad) AS failed, 0::BIGINT AS differs_by, true AS several FROM (SELECT outcome, false AS bad FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT NULL, true FROM req WHERE starts_with(path_or_uri, '/'))"),
     "a5_uniqueness": (a5_uniqueness, STORE + "SELECT client_name, scope, path_or_uri, count(*) AS n FROM req GROUP BY ALL HAVING count(*) > 1"),
     "a5_passage_ordinals": (a5_passage_ordinals, STORE + "SELECT note_id, ordinal, 2 AS n FROM pass WHERE note_id % 8 = 0 AND ordinal = 1"),
     "p5_ingest_results": (p5_ingest_results, STORE + "SELECT request_id, outcome, NULL::VARCHAR AS fault FROM outcomes WHERE NOT starts_with(path_or_uri, '/') UNION ALL SELECT request_id, 'rejected', 'absolute path' FROM req WHERE starts_with(path_or_uri, '/')"),
@@ -308,12 +322,12 @@ ALL = {
     "s1_corpus_files": (s1_corpus_files, "SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path_or_uri, length(t)::BIGINT AS chars, sha256(t) AS content_hash FROM (SELECT *, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents) WHERE doc_id % 7 <> 3 AND doc_id % 13 <> 4 AND doc_id % 11 <> 5"),
     "s3_failed_files": (s3_failed_files, "SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path_or_uri, 'not UTF-8' AS fault FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 13 <> 4 AND doc_id % 11 = 5"),
     "s5_golden_files": (s5_golden_files, "SELECT 'golden-' || (item_id // 50) || '.yaml' AS file, position::INT AS position, CASE WHEN fault IS NULL THEN regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g') END AS query, CASE WHEN fault IS NULL THEN 'docs/' || item_id || CASE WHEN item_id % 10 = 9 THEN '|x.md' ELSE '' END END AS expected, CASE WHEN fault IS NULL THEN 'item ' || item_id END AS notes, 5 AS top_k, 3 AS threshold, 10 AS minimum_queries, fault FROM (SELECT *, CASE WHEN item_id % 9 = 8 THEN 'queries[' || position || ']: expect_path_or_uri must be a path or a list of paths' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY item_id // 50 ORDER BY item_id) - 1 AS position FROM benchmark)) WHERE item_id // 50 % 6 <> 5 UNION ALL SELECT DISTINCT 'golden-' || (item_id // 50) || '.yaml', -1, NULL, NULL, NULL, NULL::INT, NULL::INT, NULL::INT, 'gate.minimum_queries must be an integer' FROM benchmark WHERE item_id // 50 % 6 = 5"),
-    "v2_degenerate": (v2_degenerate, _V + "SELECT id, k IN (5, 6) AS embedding_degenerate FROM f WHERE k NOT IN (1, 3, 4)"),
+    "v2_degenerate": (v2_degenerate, _V + "SELECT id, CASE WHEN k <> 1 THEN k IN (5, 6) END AS embedding_degenerate FROM f"),
     "v3_faults": (v3_faults, _V + "SELECT id, fault FROM f"),
     "f6_eligible": (f6_eligible, _V + "SELECT id FROM f WHERE k NOT IN (1, 3, 4, 5, 6)"),
     "a7_embedding_audit": (a7_embedding_audit, _V + "SELECT coalesce(fault, 'ok') AS fault, count(*) AS n, min(len(e)) AS least, max(len(e)) AS most, array_to_string(list(id ORDER BY id)[1:3], ',') AS examples FROM f GROUP BY 1"),
     "a7_verdict": (a7_verdict, _V + "SELECT CASE WHEN bool_or(fault IN ('value', 'zero norm', 'missing')) THEN 'unusable' WHEN bool_or(fault = 'width') THEN 'width' ELSE 'ok' END AS verdict, count(*) AS vectors FROM f"),
-    "a8_norms": (a8_norms, _V + "SELECT id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS norm64, CASE WHEN k IN (5, 6) THEN 0.0::DOUBLE ELSE round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) END AS norm32, fault IS NULL AS accepted FROM f WHERE k NOT IN (1, 3, 4)"),
+    "a8_norms": (a8_norms, _V + "SELECT id, CASE WHEN k <> 3 THEN round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) END AS norm64, CASE WHEN k IN (5, 6) THEN 0.0::DOUBLE WHEN k NOT IN (3, 4) THEN round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) END AS norm32, fault IS NULL AS accepted FROM f"),
     "a9_failed_notes": (a9_failed_notes, _V + "SELECT id // 4 AS note_id, first(fault ORDER BY id) AS fault FROM f WHERE fault IS NOT NULL GROUP BY 1"),
     "p2_hash_embedding": (p2_hash_embedding, "WITH r AS (SELECT doc_id, list_transform(range(4), lambda i: ('0x' || substr(sha256(text || '#' || i), 1, 4))::BIGINT / 65535.0::DOUBLE - 0.5::DOUBLE) AS e FROM documents), n AS (SELECT doc_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM r) SELECT doc_id, round((e[1] / n)::FLOAT::DOUBLE, 5) AS e0, round((e[2] / n)::FLOAT::DOUBLE, 5) AS e1, round((e[3] / n)::FLOAT::DOUBLE, 5) AS e2, round((e[4] / n)::FLOAT::DOUBLE, 5) AS e3 FROM n"),
     "p1_embed": (p1_embed, "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents"),

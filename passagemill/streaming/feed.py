@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from passagemill import schemas
 from passagemill.config import IngestConfig
 from passagemill.operators import ingest as ing
+from passagemill.session import stage_table
+from passagemill.sources.store import LogStore
 
 
 def apply_batch(batch: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: ing.Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -19,55 +21,26 @@ def apply_batch(batch: DataFrame, notes: DataFrame, passages: DataFrame, cfg: In
     return ing.ingest(last.filter("op <> 'delete'"), kept_notes, kept_passages, cfg, embed, now)
 
 
-class Store:
-    """Versions of the store as folders; the newest complete one is current."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/v{version:08d}"
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def version(self) -> int:
-        """The newest complete version, or -1."""
-        fs, p = self._fs(self.folder)
-        if not fs.exists(p):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and self._done(fs, int(n[1:]))]
-        return max(done, default=-1)
-
-    def _done(self, fs, version: int) -> bool:
-        return fs.exists(self._fs(f"{self._path(version)}/done/_SUCCESS")[1])
-
-    def read(self) -> tuple[DataFrame, DataFrame]:
-        v = self.version()
-        if v < 0:
-            return self.spark.createDataFrame([], schemas.NOTES), self.spark.createDataFrame([], schemas.PASSAGES)
-        return tuple(self.spark.read.schema(s).parquet(f"{self._path(v)}/{n}") for n, s in (("notes", schemas.NOTES), ("passages", schemas.PASSAGES)))
-
-    def write(self, version: int, notes: DataFrame, passages: DataFrame, results: DataFrame) -> None:
-        """Notes and passages appear together: the mark is written last."""
-        path = self._path(version)
-        notes.write.mode("overwrite").parquet(f"{path}/notes")
-        passages.write.mode("overwrite").parquet(f"{path}/passages")
-        results.write.mode("overwrite").parquet(f"{path}/done")
+def batch_changes(batch: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: ing.Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(notes written, keys of notes gone, passages of the notes written, results) of a batch, which is the same change as apply_batch makes. notes and passages need only be those of the batch's identities."""
+    last = ing.latest_per_identity(ing.normal_requests(batch))
+    gone = last.filter("op = 'delete'").select(*ing.IDENTITY).join(notes.select(*ing.IDENTITY, "id"), ing.IDENTITY)
+    new_notes, new_passages, results = ing.changes(last.filter("op <> 'delete'"), notes, passages, cfg, embed, now)
+    return ing.written_notes(notes, new_notes), gone, new_passages, results
 
 
 def ingest_stream(spark: SparkSession, requests: str, store: str, checkpoint: str, cfg: IngestConfig, embed: ing.Embed, available_now: bool = True) -> StreamingQuery:
-    """A query that applies the request files in requests, as they come, to the store."""
-    held = Store(spark, store)
+    """A query that applies the request files in requests, as they come, to the store (a LogStore in this folder). A batch reads the buckets of its identities and writes what it changes."""
+    held = LogStore(spark, store)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        notes, passages = held.read()
         if held.version() >= batch_id:
             return  # replayed after a failure
-        held.write(batch_id, *apply_batch(batch, notes, passages, cfg, embed))
+        batch = stage_table(batch, "feed-batch")  # its files are read once
+        buckets = [r[0] for r in ing.normal_requests(batch).select(held.bucket().alias("bucket")).distinct().collect()]
+        held.append(batch_id, *batch_changes(batch, *held.read(buckets), cfg, embed))
+        held.merge()
+        held.collect()
 
     writer = spark.readStream.schema(schemas.INGEST_REQUESTS).json(requests).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -8,7 +8,7 @@ from passagemill.config import IngestConfig
 from passagemill.functions import vectors as vf
 from passagemill.functions.embed import embedder
 from passagemill.operators import audit, ingest
-from passagemill.sources import corpus
+from passagemill.sources import corpus, store
 from passagemill.streaming import feed
 
 CFG = IngestConfig(dimension=8, backend="hash")
@@ -127,13 +127,63 @@ def test_stream(spark, tmp_path):
     go = lambda: feed.ingest_stream(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store", f"file://{tmp_path}/cp", CFG, EMBED).awaitTermination()
     put("1.json", [{"request_id": 1, "op": "upsert", "client_name": "a", "repo_name": "r", "path_or_uri": "x.md", "content": "old", "arrived_at": "2026-01-01T00:00:00Z"}, {"request_id": 2, "op": "upsert", "client_name": "a", "scope": "r", "path_or_uri": "x.md", "content": "new", "arrived_at": "2026-01-02T00:00:00Z"}, {"request_id": 3, "op": "upsert", "client_name": "a", "path_or_uri": "y.md", "content": "y"}])
     go()
-    n, p = feed.Store(spark, f"file://{tmp_path}/store").read()
+    n, p = store.LogStore(spark, f"file://{tmp_path}/store").read()
     assert {r.path_or_uri: r.body for r in n.collect()} == {"x.md": "new", "y.md": "y"}
     put("2.json", [{"request_id": 4, "op": "delete", "client_name": "a", "path_or_uri": "y.md"}, {"request_id": 5, "op": "upsert", "client_name": "a", "scope": "r", "path_or_uri": "x.md", "content": "new"}])
     go()
-    store = feed.Store(spark, f"file://{tmp_path}/store")
-    n, p = store.read()
-    assert store.version() == 1 and {r.path_or_uri for r in n.collect()} == {"x.md"} and {r.content for r in p.collect()} == {"new"}
+    held = store.LogStore(spark, f"file://{tmp_path}/store")
+    n, p = held.read()
+    assert held.version() == 1 and {r.path_or_uri for r in n.collect()} == {"x.md"} and {r.content for r in p.collect()} == {"new"}
+
+
+def contents(held):
+    n, p = held.read()
+    return {(r.client_name, r.path_or_uri): r.body for r in n.collect()}, sorted((r.client_name, r.content) for r in p.collect())
+
+
+def test_log_of_batches(spark, tmp_path):
+    """Upserts, changes, deletes and new beginnings over many batches, merged and not, against applying each batch to whole tables."""
+    quiet, busy = (store.LogStore(spark, f"file://{tmp_path}/{n}", 4, *more) for n, more in (("quiet", (1000, 1e9)), ("busy", (2, 0.6, 0))))
+    state = keep(spark, *empty(spark))
+    schema = "request_id long, op string, client_name string, path_or_uri string, content string"
+    base = [(i, "upsert", "acme", f"{i}.md", f"text {i} " * 40) for i in range(30)]
+    batches = [base, [(1, "upsert", "acme", "1.md", "changed"), (2, "delete", "acme", "2.md", None)], [(2, "upsert", "acme", "2.md", "anew"), (3, "delete", "acme", "3.md", None), (4, "upsert", "globex", "4.md", "theirs")],
+               [(2, "delete", "acme", "2.md", None), (1, "upsert", "acme", "1.md", "changed"), (9, "delete", "acme", "none.md", None)], [(5, "upsert", "acme", "5.md", "five"), (3, "upsert", "acme", "3.md", "back")], []]
+    for i, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, schema)
+        state = keep(spark, *feed.apply_batch(batch, *state, CFG, EMBED)[:2])
+        want = {(r.client_name, r.path_or_uri): r.body for r in state[0].collect()}, sorted((r.client_name, r.content) for r in state[1].collect())
+        for held in (quiet, busy):
+            held.append(i, *feed.batch_changes(batch, *held.read(), CFG, EMBED))
+            assert contents(held) == want and held.version() == i
+        merged, gone = busy.merge(), busy.collect()
+        assert contents(busy) == want and not set(gone) & set(store.cover(busy.runs()))
+        assert merged is None or merged in busy.runs()
+    assert len(quiet.runs()) == len(batches) and len(busy.runs()) < len(batches)
+    # What a small batch wrote follows the batch.
+    sizes = [sum(f.stat().st_size for f in (tmp_path / "quiet" / r.name).rglob("part-*") if "done" not in str(f)) for r in quiet.runs()]
+    assert max(sizes[1:]) < sizes[0]
+    # A batch reads the buckets that it names.
+    n, _ = quiet.read([0])
+    assert {r.bucket for r in n.select(quiet.bucket().alias("bucket")).collect()} <= {0}
+
+
+def test_half_written_batches_do_not_count(spark, tmp_path):
+    held = store.LogStore(spark, f"file://{tmp_path}/s", 2)
+    batch = spark.createDataFrame([(1, "upsert", "acme", "1.md", "one")], "request_id long, op string, client_name string, path_or_uri string, content string")
+    changed = feed.batch_changes(batch, *held.read(), CFG, EMBED)
+    held.append(0, *changed)
+    (tmp_path / "s" / "r00000000-00000000" / "done" / "_SUCCESS").unlink()
+    assert held.version() == -1 and contents(held) == ({}, [])
+    held.append(0, *changed)
+    assert held.version() == 0 and contents(held)[1] == [("acme", "one")]
+
+
+def test_cover_of_runs():
+    r = store.Run
+    assert store.cover([r(0, 0), r(1, 1), r(2, 2), r(1, 2), r(3, 3)]) == [r(0, 0), r(1, 2), r(3, 3)]
+    assert store.cover([r(0, 0), r(0, 4), r(1, 3), r(5, 5)]) == [r(0, 4), r(5, 5)]
+    assert store.cover([]) == []
 
 
 def test_each_passage_is_embedded_once(spark):
