@@ -30,12 +30,16 @@ def postings(passages: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def english(posts: DataFrame) -> DataFrame:
-    """postings with lexeme in place of token: each distinct token is stemmed once; stop words go, but have kept their place."""
+def vocabulary(posts: DataFrame) -> DataFrame:
+    """token and lexeme of each distinct token that is no stop word."""
     from passagemill.functions.english import lexeme
 
-    vocabulary = posts.select("token").distinct().withColumn("lexeme", F.pandas_udf(lambda s: s.map(lexeme), "string")("token"))
-    return posts.join(vocabulary.filter("lexeme IS NOT NULL"), "token").drop("token")
+    return posts.select("token").distinct().withColumn("lexeme", F.pandas_udf(lambda s: s.map(lexeme), "string")("token")).filter("lexeme IS NOT NULL")
+
+
+def english(posts: DataFrame) -> DataFrame:
+    """postings with lexeme in place of token: each distinct token is stemmed once; stop words go, but have kept their place."""
+    return posts.join(vocabulary(posts), "token").drop("token")
 
 
 def simple(posts: DataFrame) -> DataFrame:
@@ -116,9 +120,8 @@ def cover_density(at: list[tuple[int, float, list[tuple[int, int, int, int]]]],
     return float(np.float32(total))
 
 
-def ranked(posts: DataFrame, terms: DataFrame, every: DataFrame) -> DataFrame:
-    """query_id, passage_id, rank (float) of all matching passages of every (client_name, scope, passage_id), which posts are of. Queries whose clauses have one term each are a native sum of weights; the helper sees the hits of one matched passage at a time for the others."""
-    found = hits(posts, terms)
+def ranked(found: DataFrame, terms: DataFrame, every: DataFrame) -> DataFrame:
+    """query_id, passage_id, rank (float) of all matching passages of every (client_name, scope, passage_id), from the hits found of terms. Queries whose clauses have one term each are a native sum of weights; the helper sees the hits of one matched passage at a time for the others."""
     matched = matches(every, terms, found)
     value = F.lit(None).cast("double")
     for label, w in WEIGHTS.items():

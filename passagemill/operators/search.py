@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.config import SearchConfig
-from passagemill.operators import fulltext, vector
+from passagemill.operators import fulltext, postings, vector
+from passagemill.session import stage_table
 
 RESULT = (
     "passage_id", "note_id", "ordinal", "name", "description", "type", "path_or_uri", "heading_path", "content", "provenance_kind", "provenance_date", "status",
@@ -49,15 +50,18 @@ def with_metadata(cut: DataFrame, queries: DataFrame, passages: DataFrame, notes
     return both.select("r.query_id", "r.position", *cols, "r.degraded")
 
 
-def hybrid_search(queries: DataFrame, passages: DataFrame, notes: DataFrame, cfg: SearchConfig = SearchConfig(), stemmed: bool = True, posts: DataFrame | None = None) -> DataFrame:
-    """query_id, position, the fields of RESULT and degraded. passages: passage_id, note_id, client_name, scope, ordinal, name, description, heading_path, content, embedding, embedding_degenerate."""
+def text_candidates(index: DataFrame, queries: DataFrame, passages: DataFrame, cfg: SearchConfig, stemmed: bool) -> DataFrame:
+    """query_id, passage_id, r of the full-text arm, from stored postings. The queries are parsed once, and their hits are staged, as matching and ranking both read them."""
+    terms = stage_table(postings.needed_blocks(fulltext.query_terms(queries, stemmed), queries, cfg.candidates, cfg.default_top_k), "terms")
+    found = stage_table(postings.hits(index, terms), "hits")
+    return fulltext.top_candidates(fulltext.ranked(found, terms, passages), queries, cfg.candidates, cfg.default_top_k)
+
+
+def hybrid_search(queries: DataFrame, passages: DataFrame, notes: DataFrame, cfg: SearchConfig = SearchConfig(), stemmed: bool = True, index: DataFrame | None = None) -> DataFrame:
+    """query_id, position, the fields of RESULT and degraded. passages: passage_id, note_id, client_name, scope, ordinal, name, description, heading_path, content, embedding, embedding_degenerate. index: their stored postings (postings.build, with the same stemmed), else made here."""
     q = arm_weights(queries, cfg)
-    if posts is None:
-        posts = fulltext.postings(passages)
-        posts = fulltext.english(posts) if stemmed else fulltext.simple(posts)
     by_text = q.filter("w_fts IS NOT NULL")
-    terms = fulltext.query_terms(by_text, stemmed)
-    fts = fulltext.top_candidates(fulltext.ranked(posts, terms, passages), by_text, cfg.candidates, cfg.default_top_k)
+    fts = text_candidates(postings.build(passages, stemmed) if index is None else index, by_text, passages, cfg, stemmed)
     by_vector = q.filter("w_vec IS NOT NULL")
     vec = vector.nearest(passages, by_vector, cfg.candidates, cfg.default_top_k)
     arms = fts.join(q.select("query_id", F.col("w_fts").alias("w")), "query_id").withColumn("arm", F.lit("fts")).unionByName(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from passagemill.config import IngestConfig, SearchConfig
 from passagemill.functions import text as tx
 from passagemill.functions import vectors as vf
-from passagemill.operators import evaluate, fulltext, search, vector
+from passagemill.operators import evaluate, fulltext, postings, search, vector
 from passagemill.plans import tables as t
+from passagemill.session import stage_table
 
 WITH = f"WITH {t.SEARCH}\n"
 CFG = SearchConfig()
@@ -20,7 +21,7 @@ def _posts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _results(s: SparkSession, d: str, cfg: SearchConfig = CFG, stemmed: bool = False) -> DataFrame:
-    return search.hybrid_search(t.queries(s, d), t.passages(s, d), t.search_notes(s, d), cfg, stemmed)
+    return search.hybrid_search(t.queries(s, d), t.passages(s, d), t.search_notes(s, d), cfg, stemmed, t.index(s, d, stemmed))
 
 
 def p4_hybrid_search(s, d):
@@ -33,7 +34,7 @@ def p4_hybrid_search_english(s, d):
 
 def _fts(s, d):
     q = t.queries(s, d)
-    return fulltext.top_candidates(fulltext.ranked(_posts(s, d), fulltext.query_terms(q, False), t.passages(s, d)), q, CFG.candidates)
+    return search.text_candidates(t.index(s, d, False), q, t.passages(s, d), CFG, False)
 
 
 def e1_postings(s, d):
@@ -59,19 +60,25 @@ def _two_words(s, d):
     return b.select("item_id", F.posexplode(forms).alias("form", "q")).select((F.col("item_id") * 5 + F.col("form")).alias("query_id"), F.lit("en").alias("client_name"), "q", F.lit(None).cast("string").alias("repo_filter"), F.lit(5).alias("top_k"))
 
 
+def _hits(s, d, q):
+    """The terms of queries and their hits, staged, as matching and ranking read them several times."""
+    terms = stage_table(fulltext.query_terms(q, False), "terms")
+    return terms, stage_table(postings.hits(t.index(s, d, False), terms), "hits")
+
+
 def e4_matches(s, d):
-    q, posts = _two_words(s, d), _posts(s, d)
-    terms = fulltext.query_terms(q, False)
-    return fulltext.matches(t.passages(s, d), terms, fulltext.hits(posts, terms))
+    terms, found = _hits(s, d, _two_words(s, d))
+    return fulltext.matches(t.passages(s, d), terms, found)
 
 
 def e5_cover_density(s, d):
-    terms = fulltext.query_terms(_two_words(s, d), False)
-    return fulltext.ranked(_posts(s, d), terms, t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 5).alias("rank"))
+    terms, found = _hits(s, d, _two_words(s, d))
+    return fulltext.ranked(found, terms, t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 5).alias("rank"))
 
 
 def e5_term_rank(s, d):
-    return fulltext.ranked(_posts(s, d), fulltext.query_terms(t.queries(s, d), False), t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 4).alias("rank"))
+    terms, found = _hits(s, d, t.queries(s, d))
+    return fulltext.ranked(found, terms, t.passages(s, d)).select("query_id", "passage_id", F.round(F.col("rank").cast("double"), 4).alias("rank"))
 
 
 def e6_candidates(s, d):
@@ -178,7 +185,7 @@ def p6_modes(s, d):
     has = t.queries(s, d).filter("query_vector IS NOT NULL")
     out = None
     for mode, cfg in (("fts", SearchConfig(vector_weight=0.0)), ("hybrid", CFG)):
-        r = search.hybrid_search(has, t.passages(s, d), t.search_notes(s, d), cfg, False)
+        r = search.hybrid_search(has, t.passages(s, d), t.search_notes(s, d), cfg, False, t.index(s, d, False))
         g = evaluate.gate(evaluate.first_hits(r, _golden(s, d).join(has.select("query_id"), "query_id"), 5), 5, 10).withColumn("mode", F.lit(mode))
         out = g if out is None else out.unionByName(g)
     return out

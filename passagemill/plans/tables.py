@@ -70,6 +70,20 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Folders of the stored postings, by session, tables and normalisation.
+_indexes: dict[tuple[str, str, bool], DataFrame] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, stemmed: bool) -> DataFrame:
+    """The postings of passages(), written when they are first asked for in a session, as ingest would, and read from then on."""
+    from passagemill.operators import postings
+
+    key = (spark.sparkContext.applicationId, sf_dir, stemmed)
+    if key not in _indexes:
+        _indexes[key] = postings.build(passages(spark, sf_dir), stemmed)
+    return _indexes[key]
+
+
 def search_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("lang").alias("client_name"), F.col("source").alias("scope"), F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path_or_uri"),

@@ -6,7 +6,7 @@ from passagemill.config import IngestConfig, SearchConfig
 from passagemill.functions import vectors as vf
 from passagemill.functions.english import lexeme, stem
 from passagemill.functions.webquery import parse
-from passagemill.operators import ann, evaluate, fulltext, search, vector
+from passagemill.operators import ann, evaluate, fulltext, postings, search, vector
 
 P = "passage_id long, note_id long, client_name string, scope string, ordinal int, name string, description string, heading_path string, content string, embedding array<float>, embedding_degenerate boolean"
 Q = "query_id long, client_name string, q string, top_k int, repo_filter string, query_vector array<float>"
@@ -81,7 +81,7 @@ def test_weights_a_over_b_over_c(spark):
     passages, _ = make(spark, rows)
     posts = fulltext.english(fulltext.postings(passages))
     terms = fulltext.query_terms(spark.createDataFrame([(1, "a", "zebras", 5, None, None)], Q), True)
-    rank = {r.passage_id: round(r.rank, 5) for r in fulltext.ranked(posts, terms, passages).collect()}
+    rank = {r.passage_id: round(r.rank, 5) for r in fulltext.ranked(fulltext.hits(posts, terms), terms, passages).collect()}
     assert rank == {1: 0.2, 2: 0.4, 3: 1.0, 4: 1.0}
 
 
@@ -92,7 +92,7 @@ def test_phrases_exclusion_and_or(spark):
     ask = {1: '"red fox"', 2: "red fox", 3: "red -fox", 4: "fox OR wolf", 5: "-red", 6: 'red "', 7: "fox or", 8: "", 9: '-"red fox"'}
     terms = fulltext.query_terms(spark.createDataFrame([(k, "a", v, 5, None, None) for k, v in ask.items()], Q), False)
     got = {}
-    for r in fulltext.ranked(posts, terms, passages).collect():
+    for r in fulltext.ranked(fulltext.hits(posts, terms), terms, passages).collect():
         got.setdefault(r.query_id, set()).add(r.passage_id)
     assert got == {1: {1}, 2: {1, 2}, 3: {3}, 4: {1, 2, 3}, 5: {4, 5}, 6: {1, 2, 3}, 7: {1, 2}, 9: {2, 3, 4, 5}}
 
@@ -151,6 +151,31 @@ def test_stems(word):
     assert stem(word) == STEMS[word]
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_stored_postings_give_the_same(spark, monkeypatch, stemmed):
+    """Small blocks and shards, against hits of all postings; single terms end early, and nothing changes."""
+    rng = np.random.default_rng(4)
+    words = ["apple", "apples", "pear", "the", "plum", "running", "run"]
+    rows = [(i, "acme" if i % 3 else "globex", ["", "s"][i % 2], " ".join(rng.choice(words, rng.integers(0, 9))), axis(0), {"name": "pear" if i % 5 == 0 else None, "description": "plum"}) for i in range(160)]
+    passages, _ = make(spark, rows)
+    asks = ["apple", "the", "pear", "plum", "apple pear", '"apple pear"', "apple -pear", "pear OR plum", "-apple", "running", "none"]
+    queries = spark.createDataFrame([(k * 4 + j, "acme", q, 5, f, None) for k, q in enumerate(asks) for j, f in enumerate([None, "s", "nowhere"])], Q)
+    terms = fulltext.query_terms(queries, stemmed)
+    posts = fulltext.postings(passages)
+    plain = fulltext.ranked(fulltext.hits(fulltext.english(posts) if stemmed else fulltext.simple(posts), terms), terms, passages)
+    want = sorted(map(tuple, fulltext.top_candidates(plain, queries, 7).collect()))
+    monkeypatch.setattr(postings, "BLOCK", 3)
+    monkeypatch.setattr(postings, "HOT", 20)
+    monkeypatch.setattr(postings, "SHARDS", 4)
+    index = postings.build(passages, stemmed)
+    assert sorted(map(tuple, search.text_candidates(index, queries, passages, SearchConfig(candidates=7), stemmed).collect())) == want and len(want) > 100
+    ends = postings.hits(index, postings.needed_blocks(terms, queries, 7)).filter("query_id = 8").select("passage_id").distinct().count()
+    assert 7 <= ends < postings.hits(index, terms).filter("query_id = 8").select("passage_id").distinct().count()
+    assert {r.shard for r in index.filter("lexeme = 'plum'").collect()} == {0, 1, 2, 3}
+    tops = [r.top for r in index.filter("lexeme = 'pear' AND client_name = 'acme' AND shard = 1").orderBy("block").collect()]
+    assert len(tops) > 1 and tops == sorted(tops, reverse=True)
+
+
 def test_nearest_ways_agree(spark, sf_dir):
     from passagemill.plans import tables
 
