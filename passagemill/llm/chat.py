@@ -111,13 +111,13 @@ def _role_code() -> Column:
     return code
 
 
-def _numbered(t: DataFrame, parts: int | None) -> DataFrame:
+def _numbered(t: DataFrame, parts: int | None, first_part: int = 0) -> DataFrame:
     """t in order, with frag (a number for each conversation's part of a task, rising in order) and pos (the rank in it)."""
     order = ["conv_id", "turn", "key", "tie"]
     ranged = t.repartitionByRange(parts, *order) if parts else t.repartitionByRange(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frag, pos, last = TaskContext.get().partitionId() << 32, 0, None
+        frag, pos, last = (first_part + TaskContext.get().partitionId()) << 32, 0, None
         for b in batches:
             frags, places = [], []
             for conv in b.column(0).to_pylist():
@@ -146,11 +146,11 @@ def _ints(matrices) -> list[list[int]]:
     return [[int(x) for x in m] for m in matrices]
 
 
-def repair_chats(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, parts: int | None = None) -> DataFrame:
-    """One row for each of turns (conv_id, turn, role, text): conv_id, segment, place (in the segment), turn, role, new_role, action, inserted, appended, cost, fragment. segment_turns: turns of a segment at most; parts: tasks of the sort."""
+def repair_chats(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, parts: int | None = None, first_part: int = 0) -> DataFrame:
+    """One row for each of turns (conv_id, turn, role, text): conv_id, segment, place (in the segment), turn, role, new_role, action, inserted, appended, cost, fragment. segment_turns: turns of a segment at most; parts: tasks of the sort, numbered from first_part. segment is a pair of numbers, in whose order a conversation's segments come."""
     bound_batches(turns.sparkSession)
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("key"), F.xxhash64("text").alias("tie"), "role", F.coalesce("text", F.lit("")).alias("text"), _role_code().alias("code"))
-    t = stage_table(_numbered(t, parts), "chat-turns").withColumn("seg", F.floor(F.col("pos") / segment_turns))
+    t = stage_table(_numbered(t, parts, first_part), "chat-turns").withColumn("seg", F.floor(F.col("pos") / segment_turns))
     in_order = lambda *fields: F.array_sort(F.collect_list(F.struct(*fields)))
     matrix = F.pandas_udf(lambda s: s.map(lambda c: segment_matrix([int(x) for x in c])), _MATRIX)
     times = F.pandas_udf(lambda s: s.map(lambda c: product_of(_ints(c))), _MATRIX)
@@ -167,7 +167,7 @@ def repair_chats(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, parts: in
     held = t.groupBy("conv_id", "frag", "seg").agg(in_order("pos", "turn", "code", "text", "role").alias("rows"))
     traced = F.pandas_udf(_each(lambda codes, entry, leave: route([FLAT[int(c)] for c in codes], int(entry), int(leave))), _WAY)
     both = held.join(inner, ["frag", "seg"]).withColumn("path", traced(F.col("rows.code"), F.col("entry"), F.col("leave")))
-    number = (F.col("frag") * 1048576 + F.col("seg")).alias("segment")
+    number = F.struct("frag", "seg").alias("segment")
     each = both.select("conv_id", number, "last", F.size("rows").alias("n"), F.posexplode(F.arrays_zip("rows", "path")).alias("place", "x"))
     role_of = F.array(F.lit(None).cast("string"), *[F.lit(r) for r in ROLES])
     old, new, code = F.col("x.path.entry"), F.col("x.path.leave"), F.col("x.rows.code")
