@@ -153,12 +153,13 @@ def test_log_of_batches(spark, tmp_path):
         batch = spark.createDataFrame(rows, schema)
         state = keep(spark, *feed.apply_batch(batch, *state, CFG, EMBED)[:2])
         want = {(r.client_name, r.path_or_uri): r.body for r in state[0].collect()}, sorted((r.client_name, r.content) for r in state[1].collect())
+        changed = feed.batch_changes(batch, *busy.read(), CFG, EMBED)
         for held in (quiet, busy):
-            held.append(i, *feed.batch_changes(batch, *held.read(), CFG, EMBED))
-            assert contents(held) == want and held.version() == i
+            held.append(i, *changed)
         merged, gone = busy.merge(), busy.collect()
-        assert contents(busy) == want and not set(gone) & set(store.cover(busy.runs()))
+        assert contents(busy) == want and busy.version() == i and not set(gone) & set(store.cover(busy.runs()))
         assert merged is None or merged in busy.runs()
+    assert contents(quiet) == want
     assert len(quiet.runs()) == len(batches) and len(busy.runs()) < len(batches)
     # What a small batch wrote follows the batch.
     sizes = [sum(f.stat().st_size for f in (tmp_path / "quiet" / r.name).rglob("part-*") if "done" not in str(f)) for r in quiet.runs()]
