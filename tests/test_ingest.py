@@ -148,7 +148,7 @@ def test_log_of_batches(spark, tmp_path):
     schema = "request_id long, op string, client_name string, path_or_uri string, content string"
     base = [(i, "upsert", "acme", f"{i}.md", f"text {i} " * 40) for i in range(30)]
     batches = [base, [(1, "upsert", "acme", "1.md", "changed"), (2, "delete", "acme", "2.md", None)], [(2, "upsert", "acme", "2.md", "anew"), (3, "delete", "acme", "3.md", None), (4, "upsert", "globex", "4.md", "theirs")],
-               [(2, "delete", "acme", "2.md", None), (1, "upsert", "acme", "1.md", "changed"), (9, "delete", "acme", "none.md", None)], [(5, "upsert", "acme", "5.md", "five"), (3, "upsert", "acme", "3.md", "back")], []]
+               [(2, "delete", "acme", "2.md", None), (1, "upsert", "acme", "1.md", "changed"), (9, "delete", "acme", "none.md", None), (5, "upsert", "acme", "5.md", "five"), (3, "upsert", "acme", "3.md", "back")]]
     for i, rows in enumerate(batches):
         batch = spark.createDataFrame(rows, schema)
         state = keep(spark, *feed.apply_batch(batch, *state, CFG, EMBED)[:2])
