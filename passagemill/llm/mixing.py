@@ -1,21 +1,23 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of equal slots. Slot i has the golden-ratio point frac(i * phi);
-the point's place among the sources' cumulative targets names the slot's source,
-and the slot's rank among that source's slots names the block it takes. A
-source's blocks are equal runs of tokens (words) of its documents in shuffled
-order, read again from the start after each pass. So every prefix of the mix
-holds the sources near their weights, and each takes near its target.
-
-A source whose target is under FEW of these blocks would get them by chance. It
-takes exactly its target instead, in at most FEW blocks of its own size at even
-distances over the slots, and has no part in the points. So the error of every
-source is small against its own target, whatever the size of the input.
+Sources are grouped by the order of magnitude of their targets (powers of 16), and
+each group is a row of equal slots over the whole length of the mix. Slot i of n has
+the golden-ratio point frac(i * phi); the point's place among the group's cumulative
+targets names the slot's source, and the slot's rank among that source's slots names
+the block it takes. A source's blocks are equal runs of tokens (words) of its
+documents in shuffled order, read again from the start after each pass. Slots of all
+groups are merged by where they lie, so every prefix of the mix holds the sources
+near their weights, and each takes near its target.
+
+A target fills 512 to 8,192 blocks (of at least one word) whatever the other sources
+and the input's size, and points leave a source a few blocks from its target at most.
 
 A word is a run of other than blanks; a null text has none. Documents without
 words take part in nothing but are reported with taken = 0. Null sources are one
 source, last in order. Null doc_ids, repeated rows and ties are told apart by
-their place in the shuffled order; an empty table gives an empty mix.
+their place in the shuffled order; an empty table gives an empty mix. Texts of any
+length are counted and cut by Spark's own expressions. Other columns are passed over,
+and mixed_documents() keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import quoted, stage_table
 
-#: Slots of the mix at most, passes over a source at most, 2**32 / golden ratio, buckets for prefix sums and for finding a point's source.
-SLOTS, PASSES, GOLDEN, HASH_DIGITS, CELLS = 1 << 16, 3, 2654435769, 3, 4096
-#: Blocks that a source's target must fill to be placed by points; the most blocks of one that is placed at even distances.
-FEW = 512
+#: Passes over a source at most, 2**32 / golden ratio, buckets for prefix sums and for finding a point's source.
+PASSES, GOLDEN, HASH_DIGITS, CELLS = 3, 2654435769, 3, 4096
+#: A target of d hexadecimal digits has blocks of 2 ** (4 * d - BLOCK_BITS) words, or of one; slots that one row makes.
+BLOCK_BITS, RUN = 13, 1 << 16
 
 
 def sized_documents(docs: DataFrame, *keep: str) -> DataFrame:
@@ -63,52 +65,30 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def source_blocks(targets: DataFrame) -> DataFrame:
-    """targets with few (whether the source is placed at even distances), block_size (words in a block of it) and most (words that it gives at most: its target if few, else what its passes hold)."""
-    whole = F.greatest(F.ceil(F.sum("source_size").over(Window.partitionBy()) / SLOTS), F.lit(1))
-    t = targets.withColumn("whole", whole).withColumn("few", F.col("target") < F.col("whole") * FEW)
-    exact = F.when(F.col("target") > 0, F.greatest(F.round("target").cast("long"), F.lit(1))).otherwise(F.lit(0))
-    t = t.withColumn("most", F.when(F.col("few"), exact).otherwise(PASSES * F.col("source_size")).cast("long"))
-    own = F.greatest(F.ceil(F.col("most") / FEW), F.lit(1))
-    return t.withColumn("block_size", F.when(F.col("few"), own).otherwise(F.col("whole")).cast("long")).drop("whole")
-
-
-def slot_count(blocks: DataFrame) -> DataFrame:
-    """One row: n_slots, the slots that are placed by points, and span, those over which the other sources' blocks are spread."""
-    total = blocks.agg(
-        F.coalesce(F.sum("source_size"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(F.col("few"), F.col("most"))), F.lit(0)).alias("exact"),
-        F.count_if(~F.col("few")).alias("many"),
-    )
-    size = F.greatest(F.ceil(F.col("total") / SLOTS), F.lit(1))
-    n = F.when(F.col("many") > 0, F.greatest(F.floor((F.col("total") - F.col("exact")) / size), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return total.select(n.alias("n_slots"), F.when(n > 0, n).otherwise(F.greatest(F.floor(F.col("total") / size), F.lit(1))).cast("long").alias("span"))
+    """targets with digits (hexadecimal digits of the target, which group the sources), block_size (words in a block) and most (words that its passes hold)."""
+    digits = F.length(F.hex(F.greatest(F.floor("target"), F.lit(1)).cast("long")))
+    t = targets.withColumn("digits", digits).withColumn("block_size", F.expr(f"shiftleft(1L, greatest(4 * digits - {BLOCK_BITS}, 0))"))
+    return t.withColumn("most", PASSES * F.col("source_size"))
 
 
 def slot_schedule(blocks: DataFrame) -> DataFrame:
-    """slot, sid and block: which block of which source each slot takes. Slots placed by points are bounded by SLOTS whatever the input; each other source adds at most FEW blocks."""
-    every = Window.partitionBy()
-    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("target").over(every)
-    hi = F.sum("target").over(upto)
-    t = (
-        blocks.filter(~F.col("few"))
-        .withColumn("hi", hi / whole)
-        .withColumn("lo", (hi - F.col("target")) / whole)
-        .withColumn("hi", F.when(F.col("sid") == F.max("sid").over(every), F.lit(2.0)).otherwise(F.col("hi")))
-    )
-    cells = t.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CELLS).cast("int"))).alias("cell"))
-    count = slot_count(blocks)
-    slots = count.filter("n_slots > 0").select(F.explode(F.expr("sequence(0L, n_slots - 1)")).alias("slot"))
-    point = ((F.col("slot") + 1) * GOLDEN % (1 << 32)).cast("double") / float(1 << 32)
+    """slot, sid and block: which block of which source is taken where in the mix (slot: 0 to 2**52, over all groups). There are at most 8,192 slots for each source, and they are made in runs."""
+    group = Window.partitionBy("digits")
+    hi = F.sum("target").over(group.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    t = blocks.filter("target > 0").withColumn("whole", F.sum("target").over(group)).withColumn("hi", hi / F.col("whole")).withColumn("lo", (hi - F.col("target")) / F.col("whole"))
+    t = t.withColumn("hi", F.when(F.col("sid") == F.max("sid").over(group), F.lit(2.0)).otherwise(F.col("hi")))
+    cells = t.select("digits", "sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CELLS).cast("int"))).alias("cell"))
+    n = F.greatest(F.round(F.sum("target") / F.first("block_size")), F.lit(1)).cast("long")
+    runs = blocks.filter("target > 0").groupBy("digits").agg(n.alias("n")).select("digits", "n", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)")).alias("run"))
+    slots = runs.repartition("digits", "run").select("digits", "n", F.explode(F.expr(f"sequence(run, least(run + {RUN}, n) - 1)")).alias("i"))
+    point = ((F.col("i") + 1) % (1 << 32) * GOLDEN % (1 << 32)).cast("double") / float(1 << 32)
     slots = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    placed = slots.join(cells, "cell").filter("lo <= point AND point < hi")
-    rank = F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1
+    placed = slots.join(cells, ["digits", "cell"]).filter("lo <= point AND point < hi")
+    ranked = placed.withColumn("block", (F.row_number().over(Window.partitionBy("sid").orderBy("i")) - 1).cast("long"))
     # No source gives more than its passes hold.
-    caps = blocks.select("sid", "block_size", "most")
-    by_point = placed.withColumn("block", rank.cast("long")).join(caps, "sid").filter("block * block_size < most").select("slot", "sid", "block")
-    even = blocks.filter("few AND most > 0").withColumn("n", F.ceil(F.col("most") / F.col("block_size"))).crossJoin(F.broadcast(count))
-    even = even.select("sid", "n", "span", F.explode(F.expr("sequence(0L, n - 1)")).alias("block"))
-    return by_point.unionByName(even.select(F.expr("(2 * block + 1) * span div (2 * n)").alias("slot"), "sid", "block"))
+    held = ranked.join(blocks.select("sid", "block_size", "most"), "sid").filter("block * block_size < most")
+    place = ((2 * F.col("i") + 1).cast("double") / F.col("n") * float(1 << 51)).cast("long")
+    return held.select(place.alias("slot"), "sid", "block")
 
 
 def shuffled_positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -146,9 +126,11 @@ def mix_sources(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     schedule = stage_table(slot_schedule(targets), "mix-slots")
     positions = shuffled_positions(sized, targets)
     pieces = mix_pieces(positions, schedule)
-    taken = pieces.groupBy("sid", "pos").agg(F.sum("words").alias("mixed"))
-    both = positions.join(taken, ["sid", "pos"], "left")
-    return both.withColumn("taken", F.when(F.col("size") > 0, F.coalesce(F.col("mixed"), F.lit(0))).otherwise(F.lit(0)).cast("long")).drop("mixed", "few", "block_size", "most"), pieces
+    taken = pieces.groupBy("sid", F.col("pos").alias("mix_key")).agg(F.sum("words").alias("mixed"))
+    # Documents without words share a place with the next one that has some; as they take part in nothing, their key is another one.
+    key = F.when(F.col("size") > 0, F.col("pos")).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)))
+    both = positions.withColumn("mix_key", key).join(taken, ["sid", "mix_key"], "left")
+    return both.withColumn("taken", F.coalesce(F.col("mixed"), F.lit(0)).cast("long")).drop("mix_key", "mixed", "digits", "block_size", "most"), pieces
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -196,21 +178,22 @@ final AS (SELECT max(level) FILTER (cap > weight * level) AS final_level FROM le
 targets AS (
   SELECT source, sid, source_size, total,
          CASE WHEN cap <= weight * level OR final_level IS NULL THEN cap ELSE weight * final_level END AS target FROM levels, final),
-sizes AS (
-  SELECT greatest(ceil(total / {SLOTS}), 1)::BIGINT AS block_size, total::BIGINT // greatest(ceil(total / {SLOTS}), 1)::BIGINT AS n_slots
-  FROM (SELECT coalesce(max(total), 0) AS total FROM targets)),
+groups AS (
+  SELECT *, greatest(1, 1::BIGINT << greatest(4 * digits - {BLOCK_BITS}, 0)) AS block_size
+  FROM (SELECT *, length(to_base(greatest(floor(target)::BIGINT, 1), 16)) AS digits FROM targets)),
 spans AS (
-  SELECT sid, (sum(target) OVER w - target) / sum(target) OVER () AS lo,
-         CASE WHEN sid = max(sid) OVER () THEN 2.0::DOUBLE ELSE sum(target) OVER w / sum(target) OVER () END AS hi
-  FROM targets WHERE target > 0 WINDOW w AS (ORDER BY sid ROWS UNBOUNDED PRECEDING)),
-slots AS (SELECT (((i + 1) * {GOLDEN}) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE AS point FROM sizes, range(n_slots) t(i)),
-taken AS (SELECT sid, count(*) AS blocks FROM slots JOIN spans ON lo <= point AND point < hi GROUP BY sid),
+  SELECT sid, digits, (sum(target) OVER w - target) / sum(target) OVER g AS lo,
+         CASE WHEN sid = max(sid) OVER g THEN 2.0::DOUBLE ELSE sum(target) OVER w / sum(target) OVER g END AS hi
+  FROM groups WHERE target > 0 WINDOW w AS (PARTITION BY digits ORDER BY sid ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY digits)),
+counts AS (SELECT digits, greatest(round(sum(target) / any_value(block_size)), 1)::BIGINT AS n FROM groups WHERE target > 0 GROUP BY digits),
+slots AS (SELECT digits, ((((i + 1) % 4294967296) * {GOLDEN}) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE AS point FROM counts, LATERAL (SELECT unnest(range(n)) AS i)),
+taken AS (SELECT sid, count(*) AS blocks FROM slots JOIN spans ON slots.digits = spans.digits AND lo <= point AND point < hi GROUP BY sid),
 placed AS (
-  SELECT doc_id, size, t.sid, source_size, target,
+  SELECT doc_id, size, t.sid, source_size, target, block_size,
          coalesce(sum(size) OVER (PARTITION BY t.sid ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN groups t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (SELECT coalesce(sum(greatest(0, least(coalesce(blocks, 0) * block_size, {PASSES} * source_size, e * source_size + pos + size) - (e * source_size + pos))), 0)
         FROM range({PASSES}) r(e))::BIGINT AS taken
-FROM placed LEFT JOIN taken USING (sid), sizes
+FROM placed LEFT JOIN taken USING (sid)
 """

@@ -169,3 +169,24 @@ def test_fingerprint_corner_cases(spark):
     wide = d.withColumn("fingerprint_of", F.lit(1))
     assert fp.fingerprints(wide).columns == ["doc_id", "text", "fingerprint_of", "fingerprint", "distinct_shingles"]
     assert fp.fingerprints(d.withColumn("fingerprint", F.lit("own"))).columns == ["doc_id", "text", "fingerprint", "_fingerprint", "distinct_shingles"]
+
+
+def test_mixing_of_many_sources(spark, same_rows):
+    """400 sources of about one size, and beside them some of a few words and one with most of all: points place every one, near its own target, and SQL agrees."""
+    import duckdb
+
+    rows = [(10 * k + i, f"s{k:03}", "w " * (37 + (7 * k + 11 * i) % 60)) for k in range(400) for i in range(8)]
+    rows += [(10_000 + i, "z", "w " * 3000) for i in range(60)] + [(20_000 + k, f"t{k}", "w " * (k + 1)) for k in range(6)] + [(30_000, "t0", None), (30_001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed, pieces = mixing.mix_sources(docs)
+    by = mixed.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).toPandas()
+    assert (abs(by.taken - by.target) <= 4 + 0.01 * by.target).all(), by[abs(by.taken - by.target) > 4 + 0.01 * by.target]
+    assert abs(by.taken.sum() / by.target.sum() - 1) < 0.01
+    slots = pieces.toPandas()
+    half = slots[slots.slot < 1 << 51].groupby("sid").words.sum()
+    whole = slots.groupby("sid").words.sum()
+    assert all(abs(half.get(k, 0) - n / 2) <= 4 + 0.01 * n for k, n in whole.items())
+    duck = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    duck.execute("CREATE TABLE documents AS SELECT * FROM documents")
+    assert same_rows(mixed.select("doc_id", "size", "source_size", "target", "taken"), duck.execute(mixing.OP3_SQL)) == len(rows)
