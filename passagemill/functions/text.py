@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,19 +41,23 @@ def fts_lead_c(description: Column) -> Column:
     return F.coalesce(description, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value reckoned once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
+#: A line of ---, the lines of the block, and the next such line.
+FRONTMATTER = r"(?U)\A---[^\S\n]*\n(?:((?s:.*?))\n)??---[^\S\n]*(?:\n|\z)"
+
+
 def cut_frontmatter(content: Column) -> Column:
     """struct(block, rest): the lines between a leading --- and the next ---, and what follows; block is null and rest the whole content without such a pair."""
-    lines = F.split(content, "\n", -1)
-    bare = F.transform(lines, rstrip)
-    end = F.array_position(F.slice(bare, 2, F.greatest(F.size(bare) - 1, F.lit(1))), "---").cast("int")
-    has = (bare[0] == "---") & (F.size(bare) > 1) & (end > 0)
-    block = F.when(end > 1, F.array_join(F.slice(lines, 2, F.greatest(end - 1, F.lit(1))), "\n")).otherwise(F.lit(""))
-    rest = F.when(F.size(lines) > end + 1, F.array_join(F.slice(lines, end + 2, F.greatest(F.size(lines) - end - 1, F.lit(1))), "\n")).otherwise(F.lit(""))
-    return F.struct(F.when(has, block).alias("block"), F.when(has, rest).otherwise(content).alias("rest"))
+    head = F.when(content.startswith("---"), F.regexp_extract(content, FRONTMATTER, 0)).otherwise(F.lit(""))
+    return let(head, lambda h: F.struct(F.when(h != "", F.regexp_extract(h, FRONTMATTER, 1)).alias("block"), F.when(h != "", F.substring(content, F.length(h) + 1, F.length(content))).otherwise(content).alias("rest")))
 
 
 def flat_field(block: Column, key: str) -> Column:

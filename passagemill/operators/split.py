@@ -1,15 +1,14 @@
 """Splitting notes into heading-aware passages.
 
-The section scan, the split decision and the hard split are native; the
-order-dependent folds (merging short sections, packing paragraphs) are one small
-Arrow helper that sees one note at a time.
+All of it is native: sections by nested splits at headings (those in fences are hidden
+first), the order-dependent rules (merging short sections, packing paragraphs) by folds
+over running lengths. Only frontmatter that is not plain 'key: value' goes to Python,
+for YAML.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -61,78 +60,94 @@ def hard_split(paragraph: Column) -> Column:
     return F.when(n <= MAX_CHARS, F.array(paragraph)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(MAX_CHARS)), lambda i: F.substring(paragraph, i, F.lit(MAX_CHARS))))
 
 
-# The helper. -----------------------------------------------------------------
+# Splitting a body by array expressions. ---------------------------------------
 
+#: Blanks of one line, as the headings' and fences' rules know them; hides headings inside fences; stands for a mark that was in the text.
+BLANK, HIDDEN, ESCAPED = r"[[^\S\n]\x1c-\x1f]", "\x01h", "\x01e"
+FENCE = rf"{BLANK}*(?:```|~~~)"
 
-def scan(body: str) -> list[tuple[str | None, str]]:
-    """(heading path, text) of each section of one body."""
-    out, path, above, held, fenced = [], None, None, [], False
-    for line in body.split("\n"):
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        elif not fenced and (m := re.match(HEADING, line)):
-            out.append((path, "\n".join(held).rstrip()))
-            title, held = m[2].strip(), []
-            if len(m[1]) == 2:
-                above = path = title
-            else:
-                path = f"{above}{tx.HEADING_JOINT}{title}" if above else title
-        held.append(line)
-    out.append((path, "\n".join(held).rstrip()))
-    return out[1:] if len(out) > 1 and not out[0][1] else out
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
-def run_starts(sizes: list[int], joins: Callable[[int, int], bool]) -> list[int]:
-    """Where runs begin, when item i joins the run before it if joins(i, length of that run with it)."""
-    longer = lambda run, item: (item[0], run[1] + len(JOIN) + item[1])
-    runs = accumulate(enumerate(sizes), lambda run, item: grown if joins(*(grown := longer(run, item))) else item)
-    return [i for i, length in runs if length == sizes[i]]
 
+def _hide_fenced(body: Column) -> Column:
+    """body with marks before the headings inside fences. Bodies without a fence pass as they are."""
+    parts = F.regexp_extract_all(body, F.lit(rf"(?Us)(?:\A|\n){FENCE}.*?(?:\n{FENCE}|\z)|.+?(?=\n{FENCE}|\z)"), F.lit(0))
+    fenced = lambda x: x.rlike(rf"(?U)\A\n?{FENCE}")
+    hide = lambda x: F.when(fenced(x), F.replace(x, F.lit("\n##"), F.lit("\n" + HIDDEN + "##"))).otherwise(x)
+    return F.when(body.contains("```") | body.contains("~~~"), F.array_join(F.transform(parts, hide), "")).otherwise(body)
 
-def joined_runs(texts: list[str], starts: list[int]) -> list[str]:
-    return [JOIN.join(texts[a:b]) for a, b in zip(starts, [*starts[1:], None], strict=True)]
 
+def body_sections(body: Column) -> Column:
+    """An array of (path, text) of each section of a body: at the headings of two signs, then within each at those of three, so that a path is known from its own block."""
+    hidden = _hide_fenced(F.replace(body, F.lit("\x01"), F.lit(ESCAPED)))
+    shown = lambda c: F.replace(F.replace(c, F.lit(HIDDEN), F.lit("")), F.lit(ESCAPED), F.lit("\x01"))
+    title = lambda part, signs: _strip(F.substring(shown(F.substring_index(part, "\n", 1)), signs + 1, 1 << 30))
+    two, three = [rf"{'#' * k}{BLANK}[^\n]" for k in (2, 3)]
 
-def merge_short(found: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
-    """Units of sections. A short section joins the unit before it within the target, and the first long section the short ones before it if they are one unit, which then has its heading."""
-    paths, texts = [p for p, _ in found], [t for _, t in found]
-    short = [len(t.strip()) < MIN_SECTION_CHARS for t in texts]
-    head = short.index(False) if False in short else 0
-    leads = head > 0 and len(JOIN.join(texts[:head])) <= TARGET_CHARS
-    starts = run_starts(list(map(len, texts)), lambda i, length: (leads and i == head) or (short[i] and length <= TARGET_CHARS))
-    headings = [paths[head if leads and i == 0 else i] for i in starts]
-    return list(zip(headings, joined_runs(texts, starts), strict=True))
+    def block(whole: Column) -> Column:
+        above = F.when(whole.rlike(rf"(?U)\A{two}"), title(whole, 2))
+        path = lambda part: F.when(part.rlike(rf"(?U)\A{three}"), tx.heading_path(above, title(part, 3)))
+        text = lambda part: F.regexp_replace(shown(part), r"(?U)[\s\x1c-\x1f]+\z", "")
+        return F.transform(F.split(whole, rf"(?U)\n(?={three})", -1), lambda part, i: F.struct(F.when((i == 0) & above.isNotNull(), above).otherwise(path(part)).alias("path"), text(part).alias("text")))
 
+    every = F.flatten(F.transform(F.split(hidden, rf"(?U)\n(?={two})", -1), block))
+    preamble = lambda x: (F.size(x) > 1) & x[0]["path"].isNull() & (x[0]["text"] == "")
+    return tx.let(every, lambda x: F.when(preamble(x), F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))).otherwise(x))
 
-def pack(unit: str) -> list[str]:
-    """A unit over MAX_CHARS in pieces of whole paragraphs near the target; paragraphs over MAX_CHARS are sliced, and empty ones left out."""
-    if len(unit) <= MAX_CHARS:
-        return [unit]
-    slices = [p[i : i + MAX_CHARS] for p in re.split(r"\n[ \t]*\n+", unit) for i in range(0, len(p), MAX_CHARS)]
-    return joined_runs(slices, run_starts(list(map(len, slices)), lambda _, length: length <= TARGET_CHARS)) if slices else []
 
+def run_starts(items: Column) -> Column:
+    """Where runs begin in an array of (size, joins, room): an item joins the run before it if it must (joins), or if it may (room) and both are within the target. A fold over running lengths; what it gathers grows with the runs only."""
+    first = F.struct(F.lit(0).alias("length"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
-def passages_of(body: str) -> list[tuple[str | None, str]]:
-    """(heading path, content) of the passages of one body."""
-    found = scan(body)
-    units = merge_short(found) if len(body) > TARGET_CHARS and any(p for p, _ in found) else [(None, body)]
-    return [(path, piece) for path, unit in units for piece in pack(unit)] or [(None, "")]
+    def step(run: Column, x: Column) -> Column:
+        longer = run["length"] + len(JOIN) + x["size"]
+        on = (run["i"] > 0) & (x["joins"] | (x["room"] & (longer <= TARGET_CHARS)))
+        return F.struct(F.when(on, longer).otherwise(x["size"]).alias("length"), (run["i"] + 1).alias("i"), F.when(on, run["starts"]).otherwise(F.array_append(run["starts"], run["i"])).alias("starts"))
 
+    return F.aggregate(items, first, step, lambda run: run["starts"])
 
-PASSAGE_STRUCT = "array<struct<ordinal:int,heading_path:string,content:string>>"
 
+def _runs(texts: Column, starts: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(start, joined texts) of each run."""
+    return F.transform(starts, lambda a, k: use(a, F.array_join(F.slice(texts, a + 1, F.coalesce(F.get(starts, k + 1), F.size(texts)) - a), JOIN)))
 
-def split_bodies(body: Column) -> Column:
-    """An array of passages (ordinal, heading_path, content) of each body."""
 
-    def run(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in bodies:
-            yield s.map(lambda b: [{"ordinal": i, "heading_path": p, "content": c} for i, (p, c) in enumerate(passages_of(b or ""))])
+def merge_short(found: Column) -> Column:
+    """Units of sections. A short section joins the unit before it within the target, and the first long section the short ones before it if they are one unit, which then has its heading."""
+
+    def merge(x: Column, short: Column) -> Column:
+        head = F.array_position(short, F.lit(False)).cast("int") - 1
+        fits = F.aggregate(F.slice(x, 1, F.greatest(head, F.lit(0))), F.lit(-len(JOIN)), lambda n, y: n + len(JOIN) + F.length(y["text"])) <= TARGET_CHARS
+        return tx.let(F.struct(head.alias("at"), ((head > 0) & fits).alias("leads")), lambda h: units(x, short, h))
+
+    def units(x: Column, short: Column, h: Column) -> Column:
+        items = F.transform(x, lambda y, i: F.struct(F.length(y["text"]).alias("size"), (h["leads"] & (i == h["at"])).alias("joins"), F.get(short, i).alias("room")))
+        path = lambda a: F.get(x, F.when(h["leads"] & (a == 0), h["at"]).otherwise(a))["path"]
+        return tx.let(F.struct(F.transform(x, lambda y: y["text"]).alias("texts"), run_starts(items).alias("starts")), lambda r: _runs(r["texts"], r["starts"], lambda a, t: F.struct(path(a).alias("path"), t.alias("text"))))
 
-    from collections.abc import Iterator as It
+    return tx.let(found, lambda x: tx.let(F.transform(x, lambda y: F.length(_strip(y["text"])) < MIN_SECTION_CHARS), lambda short: merge(x, short)))
 
-    run.__annotations__ = {"bodies": It[pd.Series], "return": It[pd.Series]}
-    return F.pandas_udf(run, PASSAGE_STRUCT)(body)
+
+def pack(unit: Column) -> Column:
+    """A unit over MAX_CHARS in pieces of whole paragraphs near the target; paragraphs over MAX_CHARS are sliced, and empty ones left out."""
+    slices = F.flatten(F.transform(F.filter(F.split(unit, r"\n[ \t]*\n+", -1), lambda p: p != ""), hard_split))
+    items = lambda x: F.transform(x, lambda y: F.struct(F.length(y).alias("size"), F.lit(False).alias("joins"), F.lit(True).alias("room")))
+    pieces = tx.let(slices, lambda x: tx.let(run_starts(items(x)), lambda starts: _runs(x, starts, lambda _, t: t)))
+    return F.when(F.length(unit) <= MAX_CHARS, F.array(unit)).otherwise(pieces)
+
+
+def split_bodies(body: Column) -> Column:
+    """An array of passages (ordinal, heading_path, content) of each body; native. A null body is an empty one."""
+    whole = lambda b: F.array(F.struct(F.lit(None).cast("string").alias("path"), b.alias("text")))
+    headed = lambda x: F.exists(x, lambda y: F.coalesce(y["path"], F.lit("")) != "")
+    cut = lambda b: tx.let(body_sections(b), lambda x: F.when(headed(x), merge_short(x)).otherwise(whole(b)))
+    units = lambda b: F.when(F.length(b) > TARGET_CHARS, cut(b)).otherwise(whole(b))
+    pieces = lambda u: F.transform(pack(u["text"]), lambda p: F.struct(u["path"].alias("path"), p.alias("text")))
+    every = tx.let(F.coalesce(body, F.lit("")), lambda b: F.flatten(F.transform(units(b), pieces)))
+    some = tx.let(every, lambda x: F.when(F.size(x) > 0, x).otherwise(whole(F.lit(""))))
+    return F.transform(some, lambda x, i: F.struct(i.cast("int").alias("ordinal"), x["path"].alias("heading_path"), x["text"].alias("content")))
 
 
 def read_note(content: Column) -> Column:
@@ -162,12 +177,25 @@ def yaml_fields(block: Column) -> Column:
     return F.pandas_udf(lambda s: pd.DataFrame([_yaml_fields(b) for b in s]), "struct<ok:boolean,name:string,description:string,type:string>")(block)
 
 
+#: Frontmatter lines that are plain strings in YAML too: a key, and a value that begins with a letter and is no word for true, false or null.
+PLAIN_LINE = r"^[A-Za-z_][A-Za-z0-9_]{0,99}:[ ]+(?!(?i:true|false|yes|no|on|off|null)[ ]*$)\p{L}[\p{L}\p{N} _./-]*$"
+
+
+def plain_block(block: Column) -> Column:
+    """Whether a frontmatter block has plain lines only, with none of the three fields twice."""
+    lines = F.split(block, "\n", -1)
+    once = lambda key: F.size(F.filter(lines, lambda x: x.startswith(key + ":"))) <= 1
+    return F.forall(lines, lambda x: x.rlike(PLAIN_LINE)) & once("name") & once("description") & once("type")
+
+
 def split_notes(notes: DataFrame, content: str = "content") -> DataFrame:
-    """notes with name, description, type, provenance_kind, provenance_date, body and passages. YAML is read for rows that have a block only."""
+    """notes with name, description, type, provenance_kind, provenance_date, body and passages. YAML is read in Python for rows alone whose block is not plain."""
     cut = notes.withColumn("fm", tx.cut_frontmatter(F.col(content)))
-    some, none = cut.filter("fm.block IS NOT NULL"), cut.filter("fm.block IS NULL")
-    read = some.withColumn("y", yaml_fields(F.col("fm.block")))
-    plain = none.withColumn("y", F.expr("cast(null AS struct<ok:boolean,name:string,description:string,type:string>)"))
+    block = F.col("fm.block")
+    odd = block.isNotNull() & ~plain_block(block)
+    read = cut.filter(odd).withColumn("y", yaml_fields(block))
+    flat = F.struct(F.lit(True).alias("ok"), *[tx.flat_field(block, k).alias(k) for k in ("name", "description", "type")])
+    plain = cut.filter(~F.coalesce(odd, F.lit(False))).withColumn("y", F.when(block.isNotNull(), flat))
     both = read.unionByName(plain)
     rest = F.when(F.coalesce(F.col("y.ok"), F.lit(False)), F.col("fm.rest")).otherwise(F.col(content))
     out = both.withColumn("body", tx.normalise_body(rest)).withColumn("p", tx.provenance(F.col("body")))

@@ -1,3 +1,4 @@
+import plain_split
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,31 +32,31 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_invariants(name):
     text = CASES[name].rstrip()
-    found = split.passages_of(text)
+    found = plain_split.passages_of(text)
     assert found and all(len(t) <= split.MAX_CHARS for _, t in found)
     assert joined(found) == "".join(text.split())
 
 
 def test_small_body_stays_whole():
-    assert split.passages_of(CASES["short with headings"]) == [(None, CASES["short with headings"])]
-    assert split.passages_of("") == [(None, "")]
+    assert plain_split.passages_of(CASES["short with headings"]) == [(None, CASES["short with headings"])]
+    assert plain_split.passages_of("") == [(None, "")]
 
 
 def test_heading_paths():
-    paths = [p for p, _ in split.passages_of(CASES["h3 below h2"])]
+    paths = [p for p, _ in plain_split.passages_of(CASES["h3 below h2"])]
     assert paths == ["Two", "Two › Three"]
-    assert split.passages_of(CASES["h3 alone"])[0][0] == "Only"
-    assert not any(p and "not" in p for p, _ in split.passages_of(CASES["fenced"]))
+    assert plain_split.passages_of(CASES["h3 alone"])[0][0] == "Only"
+    assert not any(p and "not" in p for p, _ in plain_split.passages_of(CASES["fenced"]))
 
 
 def test_long_paragraph_is_sliced():
-    assert max(len(t) for _, t in split.passages_of(CASES["one paragraph"])) == split.MAX_CHARS
+    assert max(len(t) for _, t in plain_split.passages_of(CASES["one paragraph"])) == split.MAX_CHARS
 
 
 @pytest.mark.parametrize("run", [2, 5, 20, 120, 400])
 def test_short_sections_merge_under_the_first_heading(run):
     text = "\n".join(f"## Entry {i}\n\nline {i} of the log" for i in range(run)) + "\n\n## Tail\n\n" + LONG * 4
-    found = split.passages_of(text)
+    found = plain_split.passages_of(text)
     assert found[0][0] == ("Tail" if run <= 20 else "Entry 0")
     assert all(len(t) <= split.TARGET_CHARS or "Tail" in t for _, t in found)
     for i in range(run):
@@ -69,7 +70,7 @@ def test_native_sections_equal_the_helper(spark):
     for r in split.sections(notes).orderBy("id", "section").collect():
         got.setdefault(r.id, []).append((r.heading_path, r.text))
     for r in notes.collect():
-        assert got[r.id] == split.scan(r.body), r.id
+        assert got[r.id] == plain_split.scan(r.body), r.id
 
 
 def test_frontmatter_cases(spark):
@@ -134,9 +135,40 @@ def test_units_follow_the_rules():
     rnd = random.Random(2)
     for _ in range(400):
         found = [(f"H{i}", "x" * rnd.choice([5, 120, 299, 299, 300, 700, 1490, 2000])) for i in range(rnd.randint(1, 14))]
-        assert split.merge_short(found) == by_rules(found)
+        assert plain_split.merge_short(found) == by_rules(found)
 
 
 def test_pack_keeps_blank_pieces():
     unit = "\n\n".join(["a" * 1400, "\f", "b" * 1499, "", "c" * 4100, "d"])
-    assert split.pack(unit) == ["a" * 1400 + "\n\n\f", "b" * 1499, "c" * 4000, "c" * 100 + "\n\nd"]
+    assert plain_split.pack(unit) == ["a" * 1400 + "\n\n\f", "b" * 1499, "c" * 4000, "c" * 100 + "\n\nd"]
+
+
+def test_native_split_equals_the_plain_one(spark):
+    """Bodies put together at random from headings, fences, blanks of all kinds, short and long paragraphs."""
+    import random
+
+    rnd = random.Random(5)
+    line = lambda: rnd.choice([
+        f"## H{rnd.randint(0, 99)}", f"### h{rnd.randint(0, 99)} ", "##", "##  ", "## \x1f", "#### four", "##tight", "##\u00a0wide", " ## in", "```", "  ~~~ py", "\u2003```x", "", "", " ", "\f", "\r",
+        "a\x01b", "\x01h## x", "\x01e", "w " * rnd.randint(1, 200), "é" * rnd.randint(1, 400), "long " * rnd.randint(100, 1000), "🙂" * rnd.choice([3, 290, 4001]), "## T\r",
+    ])
+    bodies = ["\n".join(line() for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    bodies += [None, "", "\n" * 5000, "## A\n" * 3000, "##  \n" + "x" * 1600, *CASES.values()]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string").repartition(4)
+    got = {r.id: [(p.ordinal, p.heading_path, p.content) for p in r.passages] for r in df.select("id", split.split_bodies(F.col("body")).alias("passages")).collect()}
+    for i, b in enumerate(bodies):
+        assert got[i] == [(k, p, c) for k, (p, c) in enumerate(plain_split.passages_of(b or ""))], i
+
+
+def test_plain_frontmatter_is_what_yaml_reads(spark):
+    blocks = [
+        "name: A b\ntype: note", "name: 5", "name: yes", "name: Yes \ntype: x", "name: yesterday", "a: b", "name: a: b", "name: a #b", "name: x\nname: y", "name:  two  blanks  in", "name: é-ü/ö.1", "name: ", "name:x",
+        "- a", "name: [x]", "name: 'q'", "Name: X\nname: y", "type: null", "description: None", "description: on\nname: On time", "name: a\n\ntype: b", "name: a\r", "name: y", "x-y: b\nname: c",
+    ]
+    df = spark.createDataFrame([(i, f"---\n{b}\n---\nBody") for i, b in enumerate(blocks)], "id int, content string")
+    got = {r.id: (r.name, r.description, r.type) for r in split.split_notes(df).collect()}
+    for i, b in enumerate(blocks):
+        y = split._yaml_fields(b)
+        assert got[i] == (y["name"], y["description"], y["type"]), b
+    plain = df.select("id", split.plain_block(F.regexp_extract("content", r"(?s)---\n(.*)\n---", 1)).alias("p")).filter("p").count()
+    assert plain >= 6
