@@ -2,6 +2,7 @@ import random
 from functools import lru_cache
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from passagemill.llm import chat, language, quality
@@ -81,20 +82,98 @@ def test_language_mixture_and_und(spark, sf_dir):
     assert got[5].lang_pred == "fr" and got[5].score > 0.9
 
 
+def model_of(words):
+    """The model of languages that each are one word, said so often that unseen trigrams hardly count."""
+    found = [language.trigram_counts(w) for w in words]
+    lang = np.repeat(np.arange(len(words)), [len(f[0]) for f in found])
+    return language.make_model(lang, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]) * 10**9, len(words))
+
+
 def test_language_sets_of_any_size():
     """Five languages in one text, and 300 in a model, against their share in the text."""
     rnd = np.random.default_rng(0)
-    model = np.log(np.full((300, language.BUCKETS), 1e-7))
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    words = ["".join(rnd.choice(list(letters), 5)) for _ in range(300)]
-    for i, w in enumerate(words):
-        found = language.trigram_counts(w)
-        model[i, found[0]] = np.log(found[1] / found[1].sum())
+    words = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(300)]
+    model = model_of(words)
     text = " ".join(w for w in words[:5] for _ in range(200))
-    has, share = language.infer([text, None, words[7]] + [text] * 5, model.astype(np.float32))
-    assert list(has) == [True, False, True] + [True] * 5
-    assert set(np.flatnonzero(share[0] > 0.1)) == {0, 1, 2, 3, 4} and np.abs(share[0][:5] - 0.2).max() < 0.05
-    assert share[2].argmax() == 7 and not share[1].any()
+    got = language.infer([text, None, words[7]] + [text] * 5, model)
+    assert [g is not None for g in got] == [True, False, True] + [True] * 5
+    share = dict(zip(*got[0]))
+    assert {i for i, x in share.items() if x > 0.1} == {0, 1, 2, 3, 4} and all(abs(share[i] - 0.2) < 0.05 for i in range(5))
+    assert got[2][0][got[2][1].argmax()] == 7
+
+
+def plain_mixture(text, probabilities):
+    """The chosen set of a text and its proportions, reckoned trigram by trigram. probabilities: those of all buckets, by language."""
+    buckets, counts = language.trigram_counts(text)
+    terms, total, n = list(zip(buckets, counts)), int(counts.sum()), len(probabilities)
+
+    def likelihood(theta):
+        return sum(c * np.log(sum(theta[l] * probabilities[l][b] for l in theta)) for b, c in terms)
+
+    def rounds(theta, many):
+        for _ in range(many):
+            new = dict.fromkeys(theta, 0.0)
+            for b, c in terms:
+                whole = sum(theta[l] * probabilities[l][b] for l in theta)
+                for l in theta:
+                    new[l] += c * theta[l] * probabilities[l][b] / whole / total
+            theta = new
+        return theta
+
+    alone = [likelihood({l: 1.0}) for l in range(n)]
+    best = int(np.argmax(alone))
+    theta = rounds(dict.fromkeys(range(n), 1 / n), language.ROUNDS)
+    others = sorted((l for l in range(n) if l != best and theta[l] * total >= 1), key=lambda l: (-theta[l], l))
+    chosen, score = {best: 1.0}, alone[best]
+    for k in range(2, len(others) + 2):
+        start = {l: max(theta[l], 1e-3) for l in [best, *others[: k - 1]]}
+        got = rounds({l: x / sum(start.values()) for l, x in start.items()}, language.SET_ROUNDS)
+        like = likelihood(got) - language.PENALTY * (k - 1) * np.log(max(total, 2))
+        if like > score:
+            chosen, score = got, like
+        elif k > 2:
+            break
+    return {l: x / sum(chosen.values()) for l, x in chosen.items()}
+
+
+def test_language_mixture_by_brute_force():
+    """Sets and proportions of random mixtures, several texts at once and in small runs, against a plain reckoning."""
+    rnd = np.random.default_rng(3)
+    words = [["".join(rnd.choice(list("abcdefg"), rnd.integers(2, 6))) for _ in range(12)] for _ in range(6)]
+    counts = np.zeros((6, language.BUCKETS), int)
+    for l in range(6):
+        at, n = language.trigram_counts(" ".join(rnd.choice(words[l], 60)))
+        counts[l, at] = n
+    lang, bucket = np.nonzero(counts)
+    model = language.make_model(lang, bucket, counts[lang, bucket], 6)
+    smooth = counts + language.SMOOTHING
+    probabilities = smooth / smooth.sum(axis=1, keepdims=True)
+    texts = [" ".join(rnd.choice(words[l]) for l in rnd.choice(6, rnd.integers(1, 60), p=rnd.dirichlet([0.4] * 6))) for _ in range(40)]
+    whole = language.infer(texts, model)
+    sizes = set()
+    for text, found in zip(texts, whole, strict=True):
+        want = plain_mixture(text, probabilities)
+        sizes.add(len(want))
+        assert set(found[0]) == {l for l, x in want.items() if x > 0}
+        assert all(abs(x - want[l]) < 1e-5 for l, x in zip(*found))
+    assert len(sizes) > 2
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language, "CELLS", 50)
+        for a, b in zip(whole, language.infer(texts, model), strict=True):
+            assert (a[0] == b[0]).all() and np.allclose(a[1], b[1])
+
+
+def test_language_thousands_of_labels(spark, monkeypatch):
+    """5,000 labels, and counts sent on early: each is learned and found."""
+    monkeypatch.setattr(language, "HELD", 5000)
+    rnd = np.random.default_rng(1)
+    words = ["".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(5000)]
+    rows = [(i, f"{w} {w}", f"l{i:04}") for i, w in enumerate(words)]
+    langs, model = language.train(spark.createDataFrame(rows + rows[:10], "doc_id long, text string, lang string"))
+    assert langs == [r[2] for r in rows]
+    some = spark.createDataFrame(rows[::100], "doc_id long, text string, lang string")
+    got = language.predict(some, langs, model).collect()
+    assert len(got) == 50 and all(r.lang == r.lang_pred for r in got)
 
 
 def test_language_predict_by_its_formula(spark):
@@ -103,12 +182,15 @@ def test_language_predict_by_its_formula(spark):
     langs, model = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     got = language.predict(spark.createDataFrame(docs, "doc_id long, text string, lang_pred string"), langs, model)
     assert got.columns == ["doc_id", "text", "lang_pred", "_lang_pred", "score", "lang_set"]
+    counts = np.full((3, language.BUCKETS), language.SMOOTHING)
+    for _, text, lang in docs:
+        at, n = language.trigram_counts(text)
+        counts["def".index(lang), at] += n
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     for r in got.collect():
         at, n = language.trigram_counts(r.text)
-        assert r["_lang_pred"] == langs[int((model[:, at] * n).sum(axis=1).argmax())] == r.lang_pred
+        assert r["_lang_pred"] == "def"[int((logs[:, at] * n).sum(axis=1).argmax())] == r.lang_pred
     assert language.predict(got.limit(0).select("doc_id", "text"), langs, model).count() == 0
-    few, small = language.train(spark.createDataFrame(docs + [(99, "zz", "z")], "doc_id long, text string, lang string"), 3)
-    assert few == ["d", "e", "f"] and len(small) == 3
 
 
 def test_language_nothing_to_learn(spark):
