@@ -11,6 +11,9 @@ distribution, passes a limit.
 Null urls and urls without :// have empty host and path, match no rule and have
 the reputation of the empty host. Unlabelled hosts, and an empty labels table,
 fall back to their parents' prior. Repeated rows count as often as they occur.
+Urls of any length are read whole; other columns of pages and labels are not read,
+so their names clash with nothing. Hosts are counted and staged once; a host of
+many pages is joined without meeting in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.llm.common import hot_join, stage_table
+
 #: (verdict, host and path), as the query's contract gives them.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,9 +77,10 @@ def _strength(children: DataFrame, by: list[str]) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """By host of hosts: n, bad, mean and weight (pages seen and those of the prior) of the posterior share of bad pages. outcomes: host, bad (0 or 1)."""
+    """By host of hosts: rows (how many of hosts), n, bad, mean and weight (pages seen and those of the prior) of the posterior share of bad pages. outcomes: host, bad (0 or 1)."""
     counts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    h = with_levels(hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "bad"]))
+    h = with_levels(hosts.groupBy("host").agg(F.count("*").alias("rows")).join(counts, "host", "left").fillna(0, ["n", "bad"]))
+    h = stage_table(h, "hosts")
     domains = h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("all_mean"))
@@ -88,7 +94,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     h_strength = _strength(h, ["suffix", "domain"])
     x = h.join(d, ["suffix", "domain"]).join(h_strength, ["suffix", "domain"], "left").withColumn("strength", given(F.col("domain_weight")))
     mean, weight = _shrink("domain_mean", "strength"), F.col("n") + F.col("strength")
-    return x.select("host", "n", "bad", mean.alias("mean"), weight.alias("weight"))
+    return x.select("host", "rows", "n", "bad", mean.alias("mean"), weight.alias("weight"))
 
 
 def beta_score(x: float) -> Column:
@@ -106,11 +112,11 @@ def filter_urls(pages: DataFrame, outcomes_of: DataFrame, rules=RULES) -> DataFr
     marks = outcomes_of.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad.cast("long")).alias("bad"))
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.html)?/?$", 1)
     outcomes = p.withColumn("doc_id", number.try_cast("long")).filter("doc_id IS NOT NULL").join(marks, "doc_id").select("host", "bad")
-    reputation = host_reputation(outcomes, p)
+    reputation = stage_table(host_reputation(outcomes, p), "host-reputation")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     score = beta_score(MAX_BAD)
     own = F.when(score < -BOUND_Z, F.lit("block")).otherwise(F.lit("allow"))
-    return p.join(reputation, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 9).alias("bad_mean"), F.round(score, 9).alias("bad_score"))
+    return hot_join(p.drop("url"), reputation, ["host"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 9).alias("bad_mean"), F.round(score, 9).alias("bad_score"))
 
 
 def op5_url_filters(spark, sf_dir):

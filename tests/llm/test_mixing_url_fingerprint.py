@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from passagemill.llm import fingerprint as fp
-from passagemill.llm import mixing, url_filter
+from passagemill.llm import common, mixing, url_filter
 
 
 def test_mixing_sql(spark, sf_dir, duck, same_rows):
@@ -120,6 +120,15 @@ def test_bad_hosts_are_blocked(spark):
     assert got[100] == "block" and got[0] == "allow"
 
 
+def test_hot_hosts_are_split(spark, sf_dir, monkeypatch):
+    """With few rows to be hot, broadcast or salted: the same rows."""
+    want = sorted(map(str, url_filter.op5_url_filters(spark, sf_dir).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(str, url_filter.op5_url_filters(spark, sf_dir).collect())) == want
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 1)
+    assert sorted(map(str, url_filter.op5_url_filters(spark, sf_dir).collect())) == want
+
+
 def jaccard(a, b):
     def s(t):
         w = t.encode().split()
