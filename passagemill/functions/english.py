@@ -107,5 +107,7 @@ def stem(word: str) -> str:
 
 
 def lexeme(token: str) -> str | None:
-    """The lexeme of a lower-case token; None for a stop word."""
+    """The lexeme of a lower-case token; None for a stop word. Words and compounds of letters have a stem, other classes stand for themselves."""
+    if not token.replace("-", "").isalpha():
+        return token
     return None if token in STOP_WORDS else stem(token)

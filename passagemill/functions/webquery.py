@@ -8,8 +8,12 @@ from collections.abc import Callable
 TERMS = "array<struct<clause:int,item:int,offset:int,length:int,negated:boolean,term:string>>"
 
 
-def parse(q: str | None, normal: Callable[[str], str | None] = lambda t: t) -> list[dict]:
-    """The terms of a query: a clause is an alternative, an item a word or phrase in it, offset a term's place in its phrase. normal gives a token's lexeme, or None to drop it (its place still counts)."""
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\W]+", text.lower())
+
+
+def parse(q: str | None, normal: Callable[[str], str | None] = lambda t: t, cut: Callable[[str], list[str]] = words) -> list[dict]:
+    """The terms of a query: a clause is an alternative, an item a word or phrase in it, offset a term's place in its phrase. cut gives the tokens of a word or phrase (several of one word make a phrase), normal a token's lexeme, or None to drop it (its place still counts)."""
     clauses: list[list[tuple[bool, list[tuple[int, str]]]]] = [[]]
     after_or = False
     for m in re.finditer(r'(-?)"([^"]*)"?|(\S+)', q or ""):
@@ -18,7 +22,7 @@ def parse(q: str | None, normal: Callable[[str], str | None] = lambda t: t) -> l
             after_or = True
             continue
         negated = bool(m[1]) if raw is None else raw.startswith("-")
-        tokens = re.findall(r"[^\W]+", (m[2] if raw is None else raw).lower())
+        tokens = cut(m[2] if raw is None else raw.removeprefix("-"))
         found = [(i, x) for i, t in enumerate(tokens) if (x := normal(t)) is not None]
         if not found:
             continue

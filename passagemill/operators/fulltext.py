@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
+from passagemill.functions import wordclass
 
-#: Token class and label weights.
+#: Token class of the simple configuration and label weights.
 TOKEN = r"[\p{L}\p{N}_]+"
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: Query terms are broadcast up to this many rows, and shuffled beyond.
@@ -20,9 +21,10 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(passages: DataFrame, *keep: str) -> DataFrame:
-    """client_name, scope, passage_id, token, pos and weight label of every token of passages (passage_id, name, heading_path, content, description): A name and heading, B content, C description, each placed after the one before."""
-    a, b, c = tokens(tx.fts_lead_a(F.col("name"), F.col("heading_path"))), tokens(F.col("content")), tokens(tx.fts_lead_c(F.col("description")))
+def postings(passages: DataFrame, *keep: str, stemmed: bool = False) -> DataFrame:
+    """client_name, scope, passage_id, token, pos and weight label of every token of passages (passage_id, name, heading_path, content, description): A name and heading, B content, C description, each placed after the one before. stemmed: tokens by class, as english takes them."""
+    cut = wordclass.tokens if stemmed else tokens
+    a, b, c = cut(tx.fts_lead_a(F.col("name"), F.col("heading_path"))), cut(F.col("content")), cut(tx.fts_lead_c(F.col("description")))
     label = lambda arr, x: F.transform(arr, lambda t: F.struct(t.alias("token"), F.lit(x).alias("weight")))
     both = F.concat(label(a, "A"), label(b, "B"), label(c, "C"))
     return passages.select("client_name", "scope", "passage_id", *keep, F.posexplode(both).alias("at", "t")).select(
@@ -38,7 +40,7 @@ def vocabulary(posts: DataFrame) -> DataFrame:
 
 
 def english(posts: DataFrame) -> DataFrame:
-    """postings with lexeme in place of token: each distinct token is stemmed once; stop words go, but have kept their place."""
+    """postings (stemmed) with lexeme in place of token: each distinct token is stemmed once; stop words go, but have kept their place."""
     return posts.join(vocabulary(posts), "token").drop("token")
 
 
@@ -52,7 +54,8 @@ def query_terms(queries: DataFrame, stemmed: bool) -> DataFrame:
     from passagemill.functions.english import lexeme
 
     normal = lexeme if stemmed else (lambda t: t)
-    parsed = F.pandas_udf(lambda s: s.map(lambda q: webquery.parse(q, normal)), webquery.TERMS)
+    cut = wordclass.query_tokens if stemmed else webquery.words
+    parsed = F.pandas_udf(lambda s: s.map(lambda q: webquery.parse(q, normal, cut)), webquery.TERMS)
     return queries.select("query_id", "client_name", "repo_filter", F.explode(parsed("q")).alias("t")).select("query_id", "client_name", "repo_filter", "t.*")
 
 

@@ -40,7 +40,7 @@ def build(passages: DataFrame, stemmed: bool = True) -> DataFrame:
 
     Texts are cut into tokens twice: to count each tenant's tokens, of which each distinct one is stemmed once, and to make the lists. All postings are shuffled once, by tenant, lexeme and shard.
     """
-    posts = fulltext.postings(passages)
+    posts = fulltext.postings(passages, stemmed=stemmed)
     counts = stage_table(posts.groupBy("client_name", "token").agg(F.count("*").alias("n")), "tokens")
     words = stage_table(fulltext.vocabulary(counts), "vocabulary") if stemmed else counts.select("token", F.col("token").alias("lexeme")).distinct()
     key = ["client_name", "lexeme"]

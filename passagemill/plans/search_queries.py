@@ -42,7 +42,7 @@ def e1_postings(s, d):
 
 
 def e2_english_vocabulary(s, d):
-    p = fulltext.english(fulltext.postings(t.passages(s, d)))
+    p = fulltext.english(fulltext.postings(t.passages(s, d), stemmed=True))
     return p.groupBy("lexeme").agg(F.count("*").alias("n"))
 
 

@@ -79,7 +79,7 @@ def test_degenerate_other_tenant_and_scope(spark):
 def test_weights_a_over_b_over_c(spark):
     rows = [(1, "a", "", "other", axis(0), {"description": "zebra"}), (2, "a", "", "zebra", axis(0), {}), (3, "a", "", "other", axis(0), {"name": "zebra"}), (4, "a", "", "x", axis(0), {"heading": "zebra"})]
     passages, _ = make(spark, rows)
-    posts = fulltext.english(fulltext.postings(passages))
+    posts = fulltext.english(fulltext.postings(passages, stemmed=True))
     terms = fulltext.query_terms(spark.createDataFrame([(1, "a", "zebras", 5, None, None)], Q), True)
     rank = {r.passage_id: round(r.rank, 5) for r in fulltext.ranked(fulltext.hits(posts, terms), terms, passages).collect()}
     assert rank == {1: 0.2, 2: 0.4, 3: 1.0, 4: 1.0}
@@ -161,7 +161,7 @@ def test_stored_postings_give_the_same(spark, monkeypatch, stemmed):
     asks = ["apple", "the", "pear", "plum", "apple pear", '"apple pear"', "apple -pear", "pear OR plum", "-apple", "running", "none"]
     queries = spark.createDataFrame([(k * 4 + j, "acme", q, 5, f, None) for k, q in enumerate(asks) for j, f in enumerate([None, "s", "nowhere"])], Q)
     terms = fulltext.query_terms(queries, stemmed)
-    posts = fulltext.postings(passages)
+    posts = fulltext.postings(passages, stemmed=stemmed)
     plain = fulltext.ranked(fulltext.hits(fulltext.english(posts) if stemmed else fulltext.simple(posts), terms), terms, passages)
     want = sorted(map(tuple, fulltext.top_candidates(plain, queries, 7).collect()))
     monkeypatch.setattr(postings, "BLOCK", 3)
@@ -176,6 +176,64 @@ def test_stored_postings_give_the_same(spark, monkeypatch, stemmed):
     assert len(tops) > 1 and tops == sorted(tops, reverse=True)
 
 
+#: Texts and their tokens in order.
+CLASSES = {
+    "The quick-brown Fox": ["the", "quick-brown", "quick", "brown", "fox"],
+    "foo-bar-beta1 covid-19": ["foo-bar-beta1", "foo", "bar", "beta1", "covid", "-19"],
+    "see http://Example.com/stuff/index.html.": ["see", "example.com/stuff/index.html", "example.com", "/stuff/index.html"],
+    "https://www.example.org:8080/a?b=c&d=e#f, next": ["www.example.org:8080/a?b=c&d=e#f", "www.example.org:8080", "/a?b=c&d=e#f", "next"],
+    "at sub.example.co.uk today": ["at", "sub.example.co.uk", "today"],
+    "mail jo.doe+x@mail.example.com!": ["mail", "jo.doe+x@mail.example.com"],
+    "in /usr/local/foo.txt or src/app": ["in", "/usr/local/foo.txt", "or", "src/app"],
+    "3.14 -12 8.3.0 1e5 2nd 10-20": ["3.14", "-12", "8.3.0", "1e5", "2nd", "10", "-20"],
+    "a <b class='x'>bold</b> &amp; snake_case": ["a", "bold", "snake", "case"],
+    "größe naïve-état 東京": ["größe", "naïve-état", "naïve", "état", "東京"],
+    "end. Next, it's": ["end", "next", "it", "s"],
+    "--- @ / <": [],
+    "": [],
+}
+
+
+def test_token_classes_alike_on_both_sides(spark):
+    from passagemill.functions import wordclass
+
+    texts = list(CLASSES)
+    rng = np.random.default_rng(7)
+    pieces = ["a", "b9", "7", ".", "-", "/", "@", "://", "com", "example.com", "<", ">", "&", ";", "_", " ", "é", "+", ":", "http", "?", '"']
+    texts += ["".join(rng.choice(pieces, rng.integers(1, 14))) for _ in range(600)]
+    got = {r.t: r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", wordclass.tokens(F.col("t")).alias("k")).collect()}
+    for t, want in CLASSES.items():
+        assert got[t] == want, t
+    assert all(wordclass.query_tokens(t) == k for t, k in got.items())
+    assert spark.range(1).select(wordclass.tokens(F.lit(None).cast("string")).alias("k")).first().k == []
+
+
+def test_token_classes_in_linear_time(spark):
+    import time
+
+    from passagemill.functions import wordclass
+
+    for unit in ("a.", "a-", "a/", "a", "<a", "a@", "1.", ".", "&a", "a_"):
+        text = unit * (100_000 // len(unit))
+        start = time.time()
+        spark.createDataFrame([(text,)], "t string").select(F.size(wordclass.tokens(F.col("t")))).collect()
+        wordclass.query_tokens(text)
+        assert time.time() - start < 20, unit
+
+
+def test_searches_by_class(spark):
+    """Compounds, their parts, hosts, urls and addresses are found by query; a sign is an exclusion."""
+    texts = ["a well-known fact", "well and known", "visit http://example.com/docs/a.html now", "visit example.com", "write to jo@example.com", "covid-19 cases", "running notes"]
+    passages, _ = make(spark, [(i, "a", "", t, axis(0), {"name": None, "description": None}) for i, t in enumerate(texts)])
+    ask = {"well-known": {0}, "known well": {0, 1}, "example.com": {2, 3}, "http://example.com/docs/a.html": {2}, "jo@example.com": {4}, "covid": {5}, "run": {6}, "visit -example.com/docs/a.html": {3}, '"known facts"': {0}}
+    terms = fulltext.query_terms(spark.createDataFrame([(k, "a", q, 5, None, None) for k, q in enumerate(ask)], Q), True)
+    posts = fulltext.english(fulltext.postings(passages, stemmed=True))
+    got = {}
+    for r in fulltext.ranked(fulltext.hits(posts, terms), terms, passages).collect():
+        got.setdefault(r.query_id, set()).add(r.passage_id)
+    assert got == dict(enumerate(ask.values()))
+
+
 def test_nearest_ways_agree(spark, sf_dir):
     from passagemill.plans import tables
 
