@@ -1,4 +1,4 @@
-"""Web-search syntax: words are ANDed, or binds looser, - excludes, quotes make phrases. Nothing is a syntax error."""
+"""Web-search syntax: words are ANDed, or binds looser, - excludes, quotes make phrases. An or that nothing stands before, or that follows an or, is a word. Nothing is a syntax error."""
 
 from __future__ import annotations
 
@@ -15,12 +15,13 @@ def words(text: str) -> list[str]:
 def parse(q: str | None, normal: Callable[[str], str | None] = lambda t: t, cut: Callable[[str], list[str]] = words) -> list[dict]:
     """The terms of a query: a clause is an alternative, an item a word or phrase in it, offset a term's place in its phrase. cut gives the tokens of a word or phrase (several of one word make a phrase), normal a token's lexeme, or None to drop it (its place still counts)."""
     clauses: list[list[tuple[bool, list[tuple[int, str]]]]] = [[]]
-    after_or = False
+    after_or, operand = False, False
     for m in re.finditer(r'(-?)"([^"]*)"?|(\S+)', q or ""):
         raw = m[3]
-        if raw and raw.lower() == "or":
-            after_or = True
+        if operand and raw and raw.lower() == "or":
+            after_or, operand = True, False
             continue
+        operand = True
         negated = bool(m[1]) if raw is None else raw.startswith("-")
         tokens = cut(m[2] if raw is None else raw.removeprefix("-"))
         found = [(i, x) for i, t in enumerate(tokens) if (x := normal(t)) is not None]

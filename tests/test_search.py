@@ -97,6 +97,16 @@ def test_phrases_exclusion_and_or(spark):
     assert got == {1: {1}, 2: {1, 2}, 3: {3}, 4: {1, 2, 3}, 5: {4, 5}, 6: {1, 2, 3}, 7: {1, 2}, 9: {2, 3, 4, 5}}
 
 
+def test_an_or_in_place_of_a_word_is_a_word(spark):
+    said = lambda q: [(x["clause"], x["item"], x["negated"], x["term"]) for x in parse(q)]
+    assert said("or") == [(0, 0, False, "or")]
+    assert said("Or fox") == [(0, 0, False, "or"), (0, 1, False, "fox")]
+    assert said("or OR fox") == [(0, 0, False, "or"), (1, 0, False, "fox")] and said("fox or or") == [(0, 0, False, "fox"), (1, 0, False, "or")]
+    assert said("or -fox") == [(0, 0, False, "or"), (0, 1, True, "fox")] and said("fox or wolf or") == [(0, 0, False, "fox"), (1, 0, False, "wolf")]
+    rows = [(1, "a", "", "this or that", axis(0), {}), (2, "a", "", "this", axis(0), {})]
+    assert [r.passage_id for r in run(spark, rows, [(1, "a", "or", 5, None, None)], stemmed=False)] == [1]
+
+
 def test_cover_density():
     one = lambda item: [(0, item, 0, 1)]
     hits = [(1, 0.4, one(0)), (2, 0.4, one(1))]
