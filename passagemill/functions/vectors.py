@@ -15,7 +15,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, the cosine clamped to [-1, 1]; NaN with a zero vector or one that has no finite norm."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return cosine_distance_of(a, b, F.sqrt(dot(a, a)), F.sqrt(dot(b, b)))
+
+
+def cosine_distance_of(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """cosine_distance, with both norms (sqrt(dot(x, x))) reckoned before."""
+    norm = norm_a * norm_b
     cosine = dot(a, b) / F.when(norm > 0, norm)
     return F.when((norm > 0) & ~F.isnan(cosine), 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))).otherwise(F.lit(float("nan")))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.functions.vectors import cosine_distance
+from passagemill.functions.vectors import cosine_distance_of, dot
 from passagemill.operators import ann
 from passagemill.operators.fulltext import in_scope
 
@@ -27,23 +27,41 @@ def _cut(distances: DataFrame, queries: DataFrame, candidates: int, default_top_
     return distances.withColumn("r", F.row_number().over(w)).filter("r <= 1000").join(queries.select("query_id", n.alias("n")), "query_id").filter("r <= n").select("query_id", "passage_id", "distance", "r")
 
 
-def nearest_native(passages: DataFrame, queries: DataFrame, candidates: int, default_top_k: int = 5) -> DataFrame:
+def query_blocks(rows: DataFrame, block_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """rows (with query_id and query_vector) in parts of about block_bytes of vectors."""
+    width, many = rows.select(F.coalesce(F.max(F.size("query_vector")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-width * many * 8 // block_bytes))
+    return [rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def tenant_distances(passages: DataFrame, queries: DataFrame, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, passage_id, scope, repo_filter and distance of all passages of each query's tenant, native. A tenant's passages are dealt out by id and the queries are broadcast in blocks, so that no tenant is in one task; norms are reckoned once for each vector."""
+    vector = lambda c: F.col(c).cast("array<double>")
+    n = max(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), passages.sparkSession.sparkContext.defaultParallelism)
+    # By number: what is few bytes is much work here, and would be put into few tasks.
+    p = passages.select("passage_id", "client_name", "scope", vector("embedding").alias("e")).repartition(n, F.xxhash64("passage_id")).withColumn("e_norm", F.sqrt(dot(F.col("e"), F.col("e"))))
+    q = queries.filter("query_vector IS NOT NULL").select("query_id", "client_name", "repo_filter", vector("query_vector").alias("query_vector"))
+    found = None
+    for block in query_blocks(q, block_bytes):
+        v = block.withColumn("v_norm", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))))
+        part = p.join(F.broadcast(v), "client_name").select("query_id", "passage_id", "scope", "repo_filter", cosine_distance_of(F.col("e"), F.col("query_vector"), F.col("e_norm"), F.col("v_norm")).alias("distance"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def nearest_native(passages: DataFrame, queries: DataFrame, candidates: int, default_top_k: int = 5, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, passage_id, distance, r by a join on the tenant and native distances."""
-    p, q = eligible(passages).alias("p"), queries.filter("query_vector IS NOT NULL").alias("q")
-    both = p.join(q, (F.col("p.client_name") == F.col("q.client_name")) & in_scope("q.repo_filter", "p.scope"))
-    d = both.select("q.query_id", "p.passage_id", cosine_distance(F.col("p.embedding"), F.col("q.query_vector")).alias("distance")).filter(~F.isnan("distance"))
-    return _cut(d, queries, candidates, default_top_k)
+    d = tenant_distances(eligible(passages), queries, block_bytes).filter(in_scope("repo_filter", "scope")).filter(~F.isnan("distance"))
+    return _cut(d.select("query_id", "passage_id", "distance"), queries, candidates, default_top_k)
 
 
 def nearest(passages: DataFrame, queries: DataFrame, candidates: int, default_top_k: int = 5, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, passage_id, distance, r by a matrix product for each batch of passages: the queries go to the passages, in blocks of block_bytes, and embeddings are never shuffled. A batch gives its best of each query."""
     rows = queries.filter("query_vector IS NOT NULL").select("query_id", "client_name", "repo_filter", "top_k", "query_vector")
-    width, many = rows.select(F.coalesce(F.max(F.size("query_vector")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-width * many * 8 // block_bytes))
     narrow = eligible(passages).select("passage_id", "client_name", "scope", "embedding")
     found = None
-    for i in range(blocks):
-        held = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about block_bytes
+    for block in query_blocks(rows, block_bytes):
+        held = block.collect()  # about block_bytes
         part = narrow.mapInPandas(_best(passages.sparkSession.sparkContext.broadcast(_by_tenant(held, candidates, default_top_k))), "query_id long, passage_id long, distance double")
         found = part if found is None else found.unionByName(part)
     return _cut(found, queries, candidates, default_top_k)

@@ -97,6 +97,17 @@ def test_phrases_exclusion_and_or(spark):
     assert got == {1: {1}, 2: {1, 2}, 3: {3}, 4: {1, 2, 3}, 5: {4, 5}, 6: {1, 2, 3}, 7: {1, 2}, 9: {2, 3, 4, 5}}
 
 
+def test_native_distances_of_one_tenant_are_spread_over_tasks(spark):
+    data = [(i, i, "acme", "x" if i % 3 else "y", 0, None, None, None, "", [float(i % 7), 1.0, float(i % 5)], False) for i in range(400)]
+    passages = spark.createDataFrame(data, P).repartition(1)
+    queries = spark.createDataFrame([(k, "acme", "", 5, "x" if k == 2 else None, [1.0, float(k), 2.0]) for k in range(1, 6)], Q)
+    d = vector.tenant_distances(passages, queries)
+    assert d.select(F.spark_partition_id()).distinct().count() >= 4 and d.count() == 2000
+    rows = lambda df: sorted((r.query_id, r.r, r.passage_id, round(r.distance, 9)) for r in df.collect())
+    whole = rows(vector.nearest_native(passages, queries, 7))
+    assert whole == rows(vector.nearest_native(passages, queries, 7, block_bytes=48)) and [x[:3] for x in whole] == [x[:3] for x in rows(vector.nearest(passages, queries, 7))]
+
+
 def test_an_or_in_place_of_a_word_is_a_word(spark):
     said = lambda q: [(x["clause"], x["item"], x["negated"], x["term"]) for x in parse(q)]
     assert said("or") == [(0, 0, False, "or")]
