@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 from passagemill.functions import wordclass
+from passagemill.session import stage_table
 
 #: Token class of the simple configuration and label weights.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -32,11 +33,16 @@ def postings(passages: DataFrame, *keep: str, stemmed: bool = False) -> DataFram
     )
 
 
+def lexemes(token: Column) -> Column:
+    """The lexeme of each token; null for a stop word. A task stems each token once, or again if it has met very many."""
+    from passagemill.functions.english import known_lexeme
+
+    return F.pandas_udf(lambda s: s.map(known_lexeme), "string")(token)
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     """token and lexeme of each distinct token that is no stop word."""
-    from passagemill.functions.english import lexeme
-
-    return posts.select("token").distinct().withColumn("lexeme", F.pandas_udf(lambda s: s.map(lexeme), "string")("token")).filter("lexeme IS NOT NULL")
+    return posts.select("token").distinct().withColumn("lexeme", lexemes(F.col("token"))).filter("lexeme IS NOT NULL")
 
 
 def english(posts: DataFrame) -> DataFrame:
@@ -76,8 +82,10 @@ def hits(posts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def matches(every: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, passage_id of passages that satisfy some clause: all its items, none of its negated ones. A clause of negated items alone matches the rest of every (client_name, scope, passage_id): all passages of the tenant, also those without a token."""
-    whole = found.groupBy("query_id", "clause", "item", "length", "negated", "passage_id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n")).filter("n = length")
-    items = whole.select("query_id", "clause", "item", "negated", "passage_id").distinct()
+    item = ["query_id", "clause", "item", "negated", "passage_id"]
+    # Places matter in phrases only.
+    phrases = found.filter("length > 1").groupBy(*item, "length", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n")).filter("n = length")
+    items = found.filter("length = 1").select(*item).distinct().unionByName(phrases.select(*item).distinct())
     got = items.groupBy("query_id", "clause", "passage_id").agg(F.count_if(~F.col("negated")).alias("yes"), F.count_if("negated").alias("no"))
     need = terms.select("query_id", "client_name", "repo_filter", "clause", "item", "negated").distinct().groupBy("query_id", "client_name", "repo_filter", "clause").agg(F.count_if(~F.col("negated")).alias("need"))
     positive = got.join(need.filter("need > 0").select("query_id", "clause", "need"), ["query_id", "clause"]).filter("yes = need AND no = 0").select("query_id", "passage_id")
@@ -125,15 +133,18 @@ def cover_density(at: list[tuple[int, float, list[tuple[int, int, int, int]]]],
 
 def ranked(found: DataFrame, terms: DataFrame, every: DataFrame) -> DataFrame:
     """query_id, passage_id, rank (float) of all matching passages of every (client_name, scope, passage_id), from the hits found of terms. Queries whose clauses have one term each are a native sum of weights; the helper sees the hits of one matched passage at a time for the others."""
-    matched = matches(every, terms, found)
+    matched = stage_table(matches(every, terms, found), "matched")  # read for both ranks and the result
     value = F.lit(None).cast("double")
     for label, w in WEIGHTS.items():
         value = F.when(F.col("weight") == label, F.lit(w)).otherwise(value)
     shape = terms.filter("NOT negated").groupBy("query_id", "clause").agg(F.count("*").alias("n")).groupBy("query_id").agg((F.max("n") == 1).alias("plain"))
-    use = found.filter("NOT negated").withColumn("w", value).join(matched, ["query_id", "passage_id"]).join(F.broadcast(shape) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else shape, "query_id")
-    plain = use.filter("plain").select("query_id", "passage_id", "pos", "w").distinct().groupBy("query_id", "passage_id").agg(F.sum("w").cast("float").alias("rank"))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    use = found.filter("NOT negated").withColumn("w", value).join(F.broadcast(shape) if few else shape, "query_id")
+    of = lambda rows: rows.join(matched, ["query_id", "passage_id"], "left_semi")
+    # Equal places of a passage meet before anything is shuffled.
+    plain = of(use.filter("plain").select("query_id", "passage_id", "pos", "w").distinct()).groupBy("query_id", "passage_id").agg(F.sum("w").cast("float").alias("rank"))
     need = terms.filter("NOT negated").select("query_id", "clause", "item").distinct().groupBy("query_id").agg(F.collect_list(F.struct("clause", "item")).alias("need"))
-    grouped = use.filter("NOT plain").groupBy("query_id", "passage_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "clause", "item", "offset", "length"))).alias("hits"))
+    grouped = of(use.filter("NOT plain")).groupBy("query_id", "passage_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "clause", "item", "offset", "length"))).alias("hits"))
 
     def rank(hit: pd.Series, need: pd.Series) -> pd.Series:
         out = []

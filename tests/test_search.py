@@ -108,6 +108,13 @@ def test_native_distances_of_one_tenant_are_spread_over_tasks(spark):
     assert whole == rows(vector.nearest_native(passages, queries, 7, block_bytes=48)) and [x[:3] for x in whole] == [x[:3] for x in rows(vector.nearest(passages, queries, 7))]
 
 
+def test_places_count_in_phrases_only(spark):
+    passages, _ = make(spark, [(1, "a", "", "x y x", axis(0), {"name": None})])
+    terms = fulltext.query_terms(spark.createDataFrame([(1, "a", "x", 5, None, None)], Q), False)
+    found = fulltext.hits(fulltext.simple(fulltext.postings(passages)), terms).withColumn("pos", F.raise_error(F.lit("read")).cast("int"))
+    assert fulltext.matches(passages, terms, found).count() == 1
+
+
 def test_an_or_in_place_of_a_word_is_a_word(spark):
     said = lambda q: [(x["clause"], x["item"], x["negated"], x["term"]) for x in parse(q)]
     assert said("or") == [(0, 0, False, "or")]
