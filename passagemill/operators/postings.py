@@ -22,6 +22,7 @@ from passagemill.operators import fulltext
 from passagemill.session import stage_table
 
 BLOCK, HOT, SHARDS = 128, 4096, 16
+LABELS = "".join(fulltext.WEIGHTS)
 #: Distinct terms up to which the scan itself looks for them.
 PUSHED_TERMS = 1000
 SCHEMA = "client_name string, lexeme string, shard int, block int, top float, hits array<struct<passage_id: bigint, scope: string, pos: int, weight: string>>"
@@ -35,24 +36,35 @@ def tenths(weight: Column) -> Column:
     return value
 
 
+def lists(passages: DataFrame, stemmed: bool = True) -> DataFrame:
+    """client_name, scope, passage_id, lexeme and places (4 * pos + the label's number in LABELS) of each lexeme of each passage. Texts are dealt by passage and cut once; a posting never leaves its task."""
+    texts = passages.select("client_name", "scope", "passage_id", "name", "heading_path", "content", "description").repartition("passage_id")
+    place = F.col("pos") * 4 + F.instr(F.lit(LABELS), F.col("weight")) - 1
+    own = ["client_name", "scope", "passage_id"]
+    by_token = fulltext.postings(texts, stemmed=stemmed).groupBy(*own, "token").agg(F.collect_list(place).alias("places"))
+    if not stemmed:
+        return by_token.withColumnRenamed("token", "lexeme")
+    words = by_token.withColumn("lexeme", fulltext.lexemes(F.col("token"))).filter("lexeme IS NOT NULL")
+    return words.groupBy(*own, "lexeme").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+
 def build(passages: DataFrame, stemmed: bool = True) -> DataFrame:
     """The index (SCHEMA) of passages (passage_id, client_name, scope, name, heading_path, content, description).
 
-    Texts are cut into tokens twice: to count each tenant's tokens, of which each distinct one is stemmed once, and to make the lists. All postings are shuffled once, by tenant, lexeme and shard.
+    The lists of passages are staged, then counted, and shuffled once by tenant, lexeme and shard.
     """
-    posts = fulltext.postings(passages, stemmed=stemmed)
-    counts = stage_table(posts.groupBy("client_name", "token").agg(F.count("*").alias("n")), "tokens")
-    words = stage_table(fulltext.vocabulary(counts), "vocabulary") if stemmed else counts.select("token", F.col("token").alias("lexeme")).distinct()
+    held = stage_table(lists(passages, stemmed), "lists")
     key = ["client_name", "lexeme"]
-    # More occurrences than HOT: as many as passages, or more. Fewer than one in HOT postings.
-    hot = counts.join(words, "token").groupBy(*key).agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select(*key, F.lit(True).alias("hot"))
-    posts = (posts.join(words, "token").drop("token") if stemmed else fulltext.simple(posts)).join(F.broadcast(hot), key, "left")
+    # Fewer than one in HOT lists.
+    hot = held.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(*key, F.lit(True).alias("hot"))
     shard = F.when(F.coalesce("hot", F.lit(False)), F.pmod(F.xxhash64("passage_id"), F.lit(SHARDS))).otherwise(0).cast("int")
-    own = posts.withColumn("shard", shard).repartition(*key, "shard")
-    own = own.withColumn("impact", F.sum(tenths(F.col("weight"))).over(Window.partitionBy(*key, "shard", "passage_id")))
-    place = F.dense_rank().over(Window.partitionBy(*key, "shard").orderBy(F.col("impact").desc(), "passage_id"))
+    own = held.join(F.broadcast(hot), key, "left").withColumn("shard", shard).drop("hot").repartition(*key, "shard")
+    label = lambda x: F.substring(F.lit(LABELS), x % 4 + 1, F.lit(1))
+    own = own.withColumn("impact", F.aggregate("places", F.lit(0).cast("long"), lambda n, x: n + tenths(label(x))))
+    place = F.row_number().over(Window.partitionBy(*key, "shard").orderBy(F.col("impact").desc(), "passage_id"))
     own = own.withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
-    blocks = own.groupBy(*key, "shard", "block").agg((F.max("impact") / 10).cast("float").alias("top"), F.collect_list(F.struct("passage_id", "scope", "pos", "weight")).alias("hits"))
+    hits = F.transform("places", lambda x: F.struct(F.col("passage_id").alias("passage_id"), F.col("scope").alias("scope"), F.floor(x / 4).cast("int").alias("pos"), label(x).alias("weight")))
+    blocks = own.groupBy(*key, "shard", "block").agg((F.max("impact") / 10).cast("float").alias("top"), F.flatten(F.collect_list(hits)).alias("hits"))
     return stage_table(blocks.sortWithinPartitions(*key, "shard", "block"), "postings")
 
 

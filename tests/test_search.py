@@ -115,6 +115,12 @@ def test_places_count_in_phrases_only(spark):
     assert fulltext.matches(passages, terms, found).count() == 1
 
 
+def test_postings_are_grouped_by_passage_before_they_are_shuffled(spark):
+    passages, _ = make(spark, [(1, "a", "s", "runs x running", axis(0), {"name": "run"}), (2, "a", "", "the", axis(0), {"name": None})])
+    got = {(r.passage_id, r.lexeme): sorted(r.places) for r in postings.lists(passages, True).collect()}
+    assert got == {(1, "run"): [4, 9, 17], (1, "x"): [13]}
+
+
 def test_an_or_in_place_of_a_word_is_a_word(spark):
     said = lambda q: [(x["clause"], x["item"], x["negated"], x["term"]) for x in parse(q)]
     assert said("or") == [(0, 0, False, "or")]
