@@ -50,6 +50,8 @@ WIDTH, PERCENT = 4, 85
 BAND, BLOCKS_EACH = 1.5, 0.2
 #: Documents in the sample that shows common blocks, documents of it that make a block common, and rows of a block that are held together.
 SAMPLE, COMMON, HELD = 1024, 8, 100_000
+#: Bytes of an Arrow batch here: a worker holds its texts, their words and sets at once, and Spark's side a buffer each way.
+BATCH_BYTES = 4 << 20
 #: Ids that are broadcast for a semi-join at most; beyond that they are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -237,23 +239,33 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n, place (of its point on the R-tree's curve) and hashes (as bytes)."""
+def tree_members(docs: DataFrame, members: DataFrame, repeated: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of members (cell, doc_id) with n, place (of the point on the R-tree's curve) and hashes (as bytes). repeated: ids that several of docs have, of which one counts.
+
+    A text meets the list of its cells and is made a set where it is read, so neither texts nor sets are shuffled, unless members are too many to be broadcast. Its set is repeated for its cells by Spark.
+    """
+    kinds = [("doc_id", "long"), ("cells", "array<long>"), ("n", "long"), ("place", "long"), ("hashes", "binary")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [text_set(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(place_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", "place", "hashes"],
+                [b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(map(place_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=[k for k, _ in kinds],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, place long, hashes binary")
+    cells = members.groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
+    few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(cells) if few else cells, "doc_id").select("doc_id", "text", "cells")
+    if not repeated.isEmpty():
+        found = found.dropDuplicates(["doc_id"])
+    made = found.mapInArrow(run, ", ".join(f"{k} {kind}" for k, kind in kinds))
+    return made.select(F.explode("cells").alias("cell"), "doc_id", "n", "place", "hashes")
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles and component_id for each of docs (doc_id, text). leaf: points of an R-tree leaf at most."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH_BYTES)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = stage_table(set_digests(d, width), "set-digests")
     # Sets that several documents share; the least of these documents stands for them.
@@ -267,8 +279,8 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, lea
     # Cells of one node hold nothing to compare.
     several = members.groupBy("cell").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).filter("a < b").select("cell", "rows")
     members = stage_table(hot_join(members, several, ["cell"]), "members")
-    sets = stage_table(sets_of(_semi(d, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), width), "candidate-sets")
-    found = stage_table(tree_components(stage_table(members.join(sets, "doc_id").select("cell", "doc_id", "n", "place", "hashes"), "tree-members"), percent, leaf), "node-components")
+    repeated = digests.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = stage_table(tree_components(stage_table(tree_members(d, members, repeated, width), "tree-members"), percent, leaf), "node-components")
     named = shared.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"), "rows")
     # Empty sets have one digest and nothing to be joined with; they stay out of the joins, as do ids that are null.
     some, none = digests.filter("n_shingles > 0"), digests.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -37,6 +37,8 @@ from passagemill.llm.components import components, joined
 
 #: Coordinates of a point; sums of them that order points; points and shingles of a leaf at most; leaves of a node.
 GROUPS, AXES, LEAF, LEAF_SHINGLES, FANOUT = 256, 8, 256, 1 << 20, 16
+#: Stand-ins that are broadcast at most; beyond that they are shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Rounds of joining stand-ins go on while they leave at most this share of them.
 SHRINK = 0.8
 
@@ -270,6 +272,7 @@ def tree_components(members: DataFrame, percent: int, size: int = LEAF) -> DataF
             break
         before = n
         few = stand_ins.join(open_cells, "cell", "left_semi").select("cell", "doc_id")
+        few = F.broadcast(few) if n <= BROADCAST_ROWS else few  # members hold all sets, which would be shuffled
         upper = stage_table(load_leaves(few.join(members.select("cell", "doc_id", "n", "place", "hashes"), ["cell", "doc_id"]), percent, size), "rtree-upper")
         found = joined(found, leaf_links(upper))
     inside = (

@@ -161,3 +161,17 @@ def test_links_join_components(spark):
     as_dict = lambda df: {r.node: r.component for r in df.collect()}
     assert as_dict(joined(found, table(more))) == as_dict(components(table(some + more)))
     assert as_dict(joined(found, table([]))) == as_dict(joined(found, table(some))) == as_dict(found)
+
+
+def test_texts_and_sets_are_not_shuffled_to_their_cells(spark):
+    docs, members = [(i, f"a b c d e{i}") for i in range(60)], [(1, i) for i in range(60)]
+    made = nj.tree_members(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(members, "cell long, doc_id long"), spark.createDataFrame([], "doc_id long"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+
+
+def test_one_row_of_a_repeated_id_counts(spark):
+    docs = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k")]
+    members = [(7, 1), (8, 1), (7, 2)]
+    made = nj.tree_members(*[spark.createDataFrame(rows, kinds) for rows, kinds in ((docs, "doc_id long, text string"), (members, "cell long, doc_id long"), ([(1,)], "doc_id long"))])
+    assert sorted((r.cell, r.doc_id, r.n) for r in made.collect()) == [(7, 1, 3), (7, 2, 2), (8, 1, 3)]
