@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passagemill import schemas
 from passagemill.functions.text import exclusion_patterns
+from passagemill.session import stage_table
 
 DEFAULT_EXCLUDES = ("**/MEMORY.md", "**/learning-log.md")
 
@@ -29,17 +30,95 @@ def is_excluded(path: Column, globs: list[str]) -> Column:
 
 
 def read_corpus(spark: SparkSession, root: str, globs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, failed) of all *.md under root: path_or_uri (relative) and content; failed has those that are no UTF-8. Line ends become \\n."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    top = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    files = raw.select(F.expr(f"substring(path, instr(path, '{top}') + {len(top)})").alias("path_or_uri"), "content")
-    files = files.filter(~is_excluded(F.col("path_or_uri"), resolve_excludes() if globs is None else globs))
+    """(files, failed) of all *.md under root: path_or_uri (relative) and content; failed has those that are no UTF-8. Line ends become \\n.
+
+    Folders are listed and files read in tasks, so no list of files meets at the driver. Where pyarrow does not open the store, or root is a pattern, Spark's reader does both, and lists files at the driver.
+    """
+    excluded = resolve_excludes() if globs is None else globs
+    place = _openable(spark, root)
+    if place is None:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+        top = "/" + root.split("://", 1)[-1].strip("/") + "/"
+        files = raw.select(F.expr(f"substring(path, instr(path, '{top}') + {len(top)})").alias("path_or_uri"), "content")
+        files = files.filter(~is_excluded(F.col("path_or_uri"), excluded))
+    else:
+        names = list_files(spark, place).filter(F.col("path").endswith(".md")).withColumnRenamed("path", "path_or_uri")
+        files = read_files(names.filter(~is_excluded(F.col("path_or_uri"), excluded)), place)
     text = F.expr("try_validate_utf8(cast(content AS string))")
     both = files.withColumn("text", text)
     good = both.filter("text IS NOT NULL").select("path_or_uri", F.regexp_replace("text", "\r\n?", "\n").alias("content"))
     return good, both.filter("text IS NULL").select("path_or_uri", F.lit("not UTF-8").alias("fault"))
 
 
+def _openable(spark: SparkSession, root: str) -> str | None:
+    """root as a URI that pyarrow opens and finds a folder at, else None."""
+    if any(c in root for c in "*?[]{}%\\ "):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    try:
+        fs, top = pyarrow.fs.FileSystem.from_uri(uri)
+        return uri if fs.get_file_info(top).type == pyarrow.fs.FileType.Directory else None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+#: Rows and bytes of a batch of names or contents.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative to root) of every file under root. Each level of folders is listed in tasks, and is a table in the shared folder. Names that Spark's readers pass over (beginning with a dot or _) are passed over here too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(root)
+        top = top.rstrip("/")
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = fs.get_file_info(pyarrow.fs.FileSelector(f"{top}/{folder}".rstrip("/")))
+                found = [x for x in found if not x.base_name.startswith(".") and not (x.base_name.startswith("_") and "=" not in x.base_name) and not x.base_name.endswith("._COPYING_")]
+                for i in range(0, len(found), BATCH_ROWS):
+                    part = found[i : i + BATCH_ROWS]
+                    paths = [f"{folder}/{x.base_name}".lstrip("/") for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x.type == pyarrow.fs.FileType.Directory for x in part], pa.bool_())], names=["path", "folder"])
+
+    folders, files = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        level = stage_table(folders.repartition("path").mapInArrow(run, "path string, folder boolean"), "corpus-folders")
+        here = level.filter("NOT folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("folder").select("path")
+        if folders.isEmpty():
+            return files
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """path_or_uri and content (bytes) of each of files (path_or_uri) under root, read in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pyarrow.fs.FileSystem.from_uri(root)
+        top = top.rstrip("/")
+
+        def out(names: list[str], contents: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path_or_uri", "content"])
+
+        for b in batches:
+            names, contents, held = [], [], 0
+            for name in b.column(0).to_pylist():
+                with fs.open_input_stream(f"{top}/{name}", compression=None) as f:
+                    contents.append(f.read())
+                names.append(name)
+                held += len(contents[-1])
+                if len(names) == BATCH_ROWS or held >= BATCH_BYTES:
+                    yield out(names, contents)
+                    names, contents, held = [], [], 0
+            yield out(names, contents)
+
+    # Names are small, so one task would get many of them.
+    return files.select("path_or_uri").repartition("path_or_uri").mapInArrow(run, "path_or_uri string, content binary")
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Write each of files (path_or_uri, content as bytes) as a file under root, in tasks. A task that runs again writes the same files again."""
 

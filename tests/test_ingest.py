@@ -213,3 +213,37 @@ def test_ids_are_a_tenants_own(spark):
     n, p, r = ingest.ingest(change, notes, passages, CFG, embed)
     assert {x.client_name: (x.outcome, x.passages) for x in r.collect()} == {"acme": ("failed", 0), "globex": ("changed", 1)}
     assert {x.client_name: x.content for x in p.collect()} == {"acme": "one", "globex": "fine now"}
+
+
+def test_corpus_is_listed_in_tasks(spark, tmp_path):
+    """Files of nested folders, with the names that Spark's readers pass over, and no list of files in Spark's index."""
+    for name in ("a.md", "x/b.md", "x/y/c d.md", "x/.hidden.md", "_gone/d.md", "x/e.txt", ".f/g.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    files, failed = corpus.read_corpus(spark, f"file://{tmp_path}")
+    want = {"a.md": "a.md", "x/b.md": "x/b.md", "x/y/c d.md": "x/y/c d.md"}
+    assert {r.path_or_uri: r.content for r in files.collect()} == want and failed.isEmpty()
+    assert "binaryFile" not in files._jdf.queryExecution().executedPlan().toString()
+    by_spark, _ = corpus.read_corpus(spark, f"file://{tmp_path.parent}/{tmp_path.name[:-1]}*")
+    assert {r.content for r in by_spark.collect()} == set(want)
+
+
+def test_requests_are_derived_once(spark):
+    from pyspark.sql import functions as F
+
+    from passagemill import schemas
+    from passagemill.config import IngestConfig
+    from passagemill.functions import vectors as vf
+    from passagemill.operators import ingest
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def derive(k):
+        calls.add(1)
+        return f"text {k}"
+
+    r = spark.range(20).select(F.lit("c").alias("client_name"), F.lit("s").alias("scope"), F.concat(F.col("id"), F.lit(".md")).alias("path_or_uri"), F.udf(derive, "string")("id").alias("content"))
+    notes, passages = spark.createDataFrame([], schemas.NOTES), spark.createDataFrame([], schemas.PASSAGES)
+    new, pieces, results = ingest.changes(r, notes, passages, IngestConfig(dimension=4, backend="hash"), lambda c: vf.hash_embedding(c, 4).cast("array<double>"))
+    assert (new.count(), pieces.count(), results.count()) == (20, 20, 20)
+    assert calls.value == 20
