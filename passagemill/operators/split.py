@@ -189,14 +189,15 @@ def plain_block(block: Column) -> Column:
 
 
 def split_notes(notes: DataFrame, content: str = "content") -> DataFrame:
-    """notes with name, description, type, provenance_kind, provenance_date, body and passages. YAML is read in Python for rows alone whose block is not plain."""
-    cut = notes.withColumn("fm", tx.cut_frontmatter(F.col(content)))
+    """notes with name, description, type, provenance_kind, provenance_date, body and passages. YAML is read in Python for blocks alone that are not plain; other rows give it null.
+
+    One pass without a filter: a filter would repeat what the content is derived from, for itself and in each branch.
+    """
     block = F.col("fm.block")
-    odd = block.isNotNull() & ~plain_block(block)
-    read = cut.filter(odd).withColumn("y", yaml_fields(block))
+    cut = notes.withColumn("fm", tx.cut_frontmatter(F.col(content))).withColumn("odd", block.isNotNull() & ~plain_block(block))
     flat = F.struct(F.lit(True).alias("ok"), *[tx.flat_field(block, k).alias(k) for k in ("name", "description", "type")])
-    plain = cut.filter(~F.coalesce(odd, F.lit(False))).withColumn("y", F.when(block.isNotNull(), flat))
-    both = read.unionByName(plain)
+    both = cut.withColumn("read", yaml_fields(F.when(F.col("odd"), block)))
+    both = both.withColumn("y", F.when(F.col("odd"), F.col("read")).when(block.isNotNull(), flat)).drop("odd", "read")
     rest = F.when(F.coalesce(F.col("y.ok"), F.lit(False)), F.col("fm.rest")).otherwise(F.col(content))
     out = both.withColumn("body", tx.normalise_body(rest)).withColumn("p", tx.provenance(F.col("body")))
     out = out.withColumn("name", F.col("y.name")).withColumn("description", F.col("y.description")).withColumn("type", F.col("y.type"))

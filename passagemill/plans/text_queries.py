@@ -8,6 +8,7 @@ from passagemill.config import IngestConfig
 from passagemill.functions import text as tx
 from passagemill.operators import audit, split
 from passagemill.plans import tables as t
+from passagemill.session import stage_table
 from passagemill.sources import corpus
 
 RAW, READ = f"WITH {t.RAW}\n", f"WITH {t.RAW}, {t.READ}\n"
@@ -116,7 +117,8 @@ def _split(s, d):
 
 
 def d6_passages(s, d):
-    return _split(s, d).select("id", F.explode("passages").alias("p")).select("id", "p.ordinal", "p.heading_path", F.length("p.content").alias("chars"), F.md5("p.content").alias("h"))
+    # Every note has a passage; a plain explode would have Spark filter on the array's size first, and so split each body several times.
+    return _split(s, d).select("id", F.explode_outer("passages").alias("p")).select("id", "p.ordinal", "p.heading_path", F.length("p.content").alias("chars"), F.md5("p.content").alias("h"))
 
 
 def d3_short_sections(s, d):
@@ -134,7 +136,7 @@ def d5_pack(s, d):
 
 
 def d7_split_quality(s, d):
-    n = _split(s, d)
+    n = stage_table(_split(s, d).select("id", "body", "passages"), "split-notes")  # read twice
     p = n.select(F.col("id").alias("note_id"), F.explode("passages").alias("p")).select("note_id", "p.ordinal", "p.content")
     return audit.split_quality(n, p).select("note_id", "contiguous", "same_text", "ok")
 

@@ -172,3 +172,11 @@ def test_plain_frontmatter_is_what_yaml_reads(spark):
         assert got[i] == (y["name"], y["description"], y["type"]), b
     plain = df.select("id", split.plain_block(F.regexp_extract("content", r"(?s)---\n(.*)\n---", 1)).alias("p")).filter("p").count()
     assert plain >= 6
+
+
+def test_bodies_are_split_once(spark, sf_dir):
+    """No filter and no second branch, each of which would repeat what notes are derived from, or the split."""
+    from passagemill.plans import text_queries
+
+    plan = text_queries.d6_passages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and "Union" not in plan
