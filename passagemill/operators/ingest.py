@@ -50,7 +50,8 @@ def latest_per_identity(requests: DataFrame) -> DataFrame:
 def outcomes(requests: DataFrame, notes: DataFrame, cfg: IngestConfig) -> DataFrame:
     """requests with note_id, content_hash, pipeline_version and outcome: new, changed, forced or skipped. Only the notes' keys are joined, never their bodies."""
     keys = notes.select(*IDENTITY, F.col("id").alias("_id"), F.col("content_hash").alias("_hash"), F.col("pipeline_version").alias("_version"))
-    both = requests.withColumn("content_hash", tx.content_hash(F.col("content"))).withColumn("pipeline_version", tx.pipeline_version(cfg)).join(keys, IDENTITY, "left")
+    hashed = requests if "content_hash" in requests.columns else requests.withColumn("content_hash", tx.content_hash(F.col("content")))
+    both = hashed.withColumn("pipeline_version", tx.pipeline_version(cfg)).join(keys, IDENTITY, "left")
     same = (F.col("content_hash") == F.col("_hash")) & (F.col("pipeline_version") == F.col("_version"))
     outcome = F.when(F.col("_id").isNull(), "new").when(~same, "changed").when(F.col("force"), "forced").otherwise("skipped")
     own = F.coalesce("_id", note_id(*[F.col(c) for c in IDENTITY]))
@@ -122,11 +123,12 @@ def ingest(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: Inge
 def changes(requests: DataFrame, notes: DataFrame, passages: DataFrame, cfg: IngestConfig, embed: Embed, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new notes, their passages, results) of requests to a store that holds notes and passages. results: request_id, identity, note_id, outcome, fault, passages.
 
-    The skip join comes before splitting and embedding, so that only new and changed notes pay for them. Split notes and embedded passages are staged: each passage is embedded once, and the vectors that are stored are those that were checked. A note with a faulty vector fails as a whole and keeps what it had.
+    The skip join comes before splitting and embedding, so that only new and changed notes pay for them. Requests are staged with their hashes, as they are read several times: what they are derived from runs once, and of their contents only the split reads any. Split notes and embedded passages are staged: each passage is embedded once, and the vectors that are stored are those that were checked. A note with a faulty vector fails as a whole and keeps what it had.
     """
     now = now if now is not None else F.current_timestamp()
     r = normal_requests(requests)
     r = r.withColumn("fault", tx.request_fault(F.col("scope"), F.col("path_or_uri"), F.col("content"), F.col("status"), cfg))
+    r = stage_table(r.withColumn("content_hash", tx.content_hash(F.col("content"))), "ingest-requests")
     rejected = r.filter("fault IS NOT NULL")
     good = outcomes(latest_per_identity(r.filter("fault IS NULL")), notes, cfg)
     work = stage_table(split_notes(good.filter("outcome <> 'skipped'")).drop("content", "fault"), "ingest-notes")

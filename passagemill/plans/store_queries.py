@@ -48,7 +48,10 @@ def _notes(s: SparkSession, d: str) -> DataFrame:
 
 def _passages(s: SparkSession, d: str) -> DataFrame:
     """Two passages for each stored note: the halves of its body; every ninth has a scope that isn't its note's."""
-    n = _notes(s, d)
+    return _passages_of(_notes(s, d))
+
+
+def _passages_of(n: DataFrame) -> DataFrame:
     halves = F.array(F.expr("substring(body, 1, length(body) div 2)"), F.expr("substring(body, length(body) div 2 + 1)"))
     p = n.select(F.col("id").alias("note_id"), "client_name", F.when(F.col("id") % 9 == 0, F.lit("elsewhere")).otherwise(F.col("scope")).alias("scope"), F.posexplode(halves).alias("ordinal", "content"))
     return p.select((F.col("note_id") * ingest.ROOM + F.col("ordinal")).alias("id"), "note_id", "client_name", "scope", "ordinal", F.lit(None).cast("string").alias("heading_path"), "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(False).alias("embedding_degenerate"))
@@ -133,7 +136,8 @@ def a5_passage_ordinals(s, d):
 
 def _ingested(s, d):
     embed = lambda c: vf.hash_embedding(c, CFG.dimension).cast("array<double>")
-    return ingest.ingest(_requests(s, d), _notes(s, d), _passages(s, d), CFG, embed, _now())
+    notes = stage_table(_notes(s, d), "stored-notes")  # stored, as a store is: the plans read it several times
+    return ingest.ingest(_requests(s, d), notes, _passages_of(notes), CFG, embed, _now())
 
 
 def p5_ingest_results(s, d):
