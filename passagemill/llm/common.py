@@ -11,6 +11,8 @@ from passagemill.session import stage_table  # noqa: F401
 
 #: Arrow batches are bounded by rows and, as texts can be long, by bytes.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
+#: The bytes where several operators follow each other in one session: workers stay between them, and keep what their largest batch took.
+SMALL_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, hot_join, mix64, shingle_set, stage_table
+from passagemill.llm.common import SMALL_BYTES, bound_batches, hot_join, mix64, shingle_set, stage_table
 from passagemill.llm.rtree import LEAF, place_of, tree_components
 
 WIDTH, PERCENT = 4, 85
@@ -50,8 +50,6 @@ WIDTH, PERCENT = 4, 85
 BAND, BLOCKS_EACH = 1.5, 0.2
 #: Documents in the sample that shows common blocks, documents of it that make a block common, and rows of a block that are held together.
 SAMPLE, COMMON, HELD = 1024, 8, 100_000
-#: Bytes of an Arrow batch here: a worker holds its texts, their words and sets at once, and Spark's side a buffer each way.
-BATCH_BYTES = 4 << 20
 #: Ids that are broadcast for a semi-join at most; beyond that they are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -265,7 +263,7 @@ def tree_members(docs: DataFrame, members: DataFrame, repeated: DataFrame, width
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles and component_id for each of docs (doc_id, text). leaf: points of an R-tree leaf at most."""
-    bound_batches(docs.sparkSession, BATCH_BYTES)
+    bound_batches(docs.sparkSession, SMALL_BYTES)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = stage_table(set_digests(d, width), "set-digests")
     # Sets that several documents share; the least of these documents stands for them.

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound_batches, stage_table
+from passagemill.llm.common import SMALL_BYTES, bound_batches, stage_table
 from passagemill.llm.tokens import SEPARATOR, SPECIAL, Encoder, vocabulary_paths
 
 WINDOW, OPEN_WINDOWS = 1024, 64
@@ -152,7 +152,7 @@ def merge_leftovers(group: pd.DataFrame, window: int) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BYTES)
     path, pattern = vocabulary_paths()
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         lambda batches: pack_partition(batches, path, pattern, window, open_windows),

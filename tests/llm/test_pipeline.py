@@ -28,6 +28,18 @@ def test_near_copies_from_080(spark, sf_dir):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d // 10 % 2 == 0 or d % 10 == 0)
 
 
+def test_stages_bound_their_batches_of_texts(spark, sf_dir):
+    """What a stage leaves to Python comes in batches of 1 MB, whatever was set before: workers outlive a stage and keep what its largest batch took."""
+    import corpus_pipeline as cp
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    for name, stage in cp.STAGES:
+        spark.conf.set(key, str(16 << 20))
+        stage(spark, docs, sf_dir).count()
+        assert name in ("pii", "source_mixing") or int(spark.conf.get(key)) <= 1 << 20, name
+
+
 def test_stages_on_nothing(spark, sf_dir):
     import corpus_pipeline as cp
 
