@@ -89,6 +89,8 @@ def matches(every: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
     got = items.groupBy("query_id", "clause", "passage_id").agg(F.count_if(~F.col("negated")).alias("yes"), F.count_if("negated").alias("no"))
     need = terms.select("query_id", "client_name", "repo_filter", "clause", "item", "negated").distinct().groupBy("query_id", "client_name", "repo_filter", "clause").agg(F.count_if(~F.col("negated")).alias("need"))
     positive = got.join(need.filter("need > 0").select("query_id", "clause", "need"), ["query_id", "clause"]).filter("yes = need AND no = 0").select("query_id", "passage_id")
+    if need.filter("need = 0").isEmpty():
+        return positive.distinct()  # every need not be read
     only_not = need.filter("need = 0").alias("n")
     every = every.select("client_name", "scope", "passage_id").alias("e")
     rest = every.join(only_not, (F.col("e.client_name") == F.col("n.client_name")) & in_scope("n.repo_filter", "e.scope")).select("query_id", "clause", "passage_id")

@@ -54,6 +54,31 @@ def test_weights_and_switches(spark):
         IngestConfig(embed_batch=0)
 
 
+def test_modes_search_each_arm_once(spark, monkeypatch):
+    """hybrid_modes gives what hybrid_search gives for each mode, also for a query without a vector, from one search of each arm."""
+    passages, notes = make(spark, THREE)
+    queries = spark.createDataFrame([(1, "acme", "apple", 2, None, axis(0)), (2, "acme", "apple", None, None, None), (3, "acme", "-apple", 5, None, axis(1))], Q)
+    modes = {"text": SearchConfig(vector_weight=0.0), "vector": SearchConfig(fts_weight=0.0), "both": SearchConfig(rrf_k=10, fts_weight=2.0)}
+    want = sorted((m, *r) for m, c in modes.items() for r in search.hybrid_search(queries, passages, notes, c).select("query_id", "position", "passage_id", "score", "fts_rank", "vector_rank", "degraded").fillna(0).collect())
+    calls = []
+    text, near = search.text_candidates, vector.nearest
+    monkeypatch.setattr(search, "text_candidates", lambda *x: calls.append("text") or text(*x))
+    monkeypatch.setattr(vector, "nearest", lambda *x: calls.append("vector") or near(*x))
+    got = search.hybrid_modes(queries, passages, notes, modes).select("mode", "query_id", "position", "passage_id", "score", "fts_rank", "vector_rank", "degraded").fillna(0)
+    assert sorted(map(tuple, got.collect())) == want and {m for m, *_ in want} == set(modes)
+    assert sorted(calls) == ["text", "vector"]
+    with pytest.raises(ValueError):
+        search.hybrid_modes(queries, passages, notes, {"a": SearchConfig(), "b": SearchConfig(candidates=7)})
+
+
+def test_p6_modes_searches_each_arm_once(spark, sf_dir, monkeypatch):
+    from passagemill.plans import search_queries
+
+    calls, text = [], search.text_candidates
+    monkeypatch.setattr(search, "text_candidates", lambda *x: calls.append(1) or text(*x))
+    assert search_queries.p6_modes(spark, sf_dir).count() == 2 and len(calls) == 1
+
+
 def test_candidates_are_at_least_top_k(spark):
     rows = [(i, "acme", "", "apple", axis(0), {}) for i in range(1, 8)]
     assert len(run(spark, rows, [(1, "acme", "apple", 5, None, axis(0))], SearchConfig(candidates=2))) == 5
