@@ -47,6 +47,8 @@ WORD_BYTES = word_bytes(b" \t" + BREAKS)
 _BREAK = ~word_bytes(BREAKS)
 #: Ids of a length that are ranks; ids along a side of a tile; dense tiles that a task holds; coordinates that it holds; ids that are looked at at a time.
 DICTIONARY, TILE, HELD_TILES, HELD_PAIRS, SLICE = 1 << 18, 256, 32, 1 << 19, 1 << 19
+#: Ids from which a row of a sequence table ends at the next gap, and bytes of a row group. Parquet's writer looks at a page's size each 100 rows, and pages are (de)compressed whole outside the heap, so rows must be small.
+ROW_IDS, GROUP_BYTES = 1 << 11, 4 << 20
 #: Occurrences in a slice from which a tile is dense.
 DENSE = TILE * TILE // 8
 #: Bytes of a batch to tasks, and rows of a batch from them.
@@ -133,16 +135,29 @@ def runs_only(seq: np.ndarray) -> np.ndarray:
 
 
 def _as_rows(seqs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """seqs as rows of about ROW_IDS ids, or of one longer run: they are cut between runs, where no neighbours are lost."""
     for s in seqs:
         s = runs_only(s)
         if len(s):
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["seq"])
+            gaps = np.flatnonzero(s == 0)
+            cuts = np.unique(np.searchsorted(gaps, np.arange(ROW_IDS, len(s), ROW_IDS)))
+            ends = [*gaps[cuts[cuts < len(gaps)]].tolist(), len(s)]
+            rows = [s[a:z].tobytes() for a, z in zip([0, *(z + 1 for z in ends[:-1])], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["seq"])
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The rows of each batch as one sequence, with a 0 between rows."""
     for b in batches:
-        for s in b.column(0):
-            yield np.frombuffer(s.as_buffer(), np.int64)
+        if b.num_rows:
+            seq = b.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(seq.buffers()[1], np.int64)[seq.offset : seq.offset + len(seq) + 1]
+            ids = np.frombuffer(seq.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64)
+            yield np.insert(ids, (ends[1:-1] - ends[0]) // 8, 0)
+
+
+def _stage_sequences(seqs: DataFrame, name: str) -> DataFrame:
+    return stage_table(seqs, name, {"parquet.block.size": str(GROUP_BYTES)})
 
 
 def _slices(seqs: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
@@ -281,7 +296,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     ids = share(ids_of(words, n, dictionary))
     none = F.array().cast("array<long>")
     level = stage_table(_with_ids(words, ids).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("pre"), none.alias("suf")), "phrases-1")
-    seqs = stage_table(word_sequences(docs, ids), "phrase-sequences")
+    seqs = _stage_sequences(word_sequences(docs, ids), "phrase-sequences")
     levels: list[DataFrame] = []
     for width in range(2, longest + 1):
         pairs = stage_table(_pair_keyed(pair_counts(seqs).filter(F.col("f") >= least)), f"phrase-pairs-{width}")
@@ -295,7 +310,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         level = stage_table(both.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", "a", "b", "pre", "suf"), f"phrases-{width}")
         levels.append(level)
         if width < longest:
-            seqs = stage_table(phrase_sequences(seqs, ids), f"phrase-sequences-{width}")
+            seqs = _stage_sequences(phrase_sequences(seqs, ids), f"phrase-sequences-{width}")
     return totals, levels
 
 

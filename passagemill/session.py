@@ -41,8 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, so lost executors cost no recomputation, and nothing before it runs twice."""
+def stage_table(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as a Parquet table (with the writer's options) in the shared folder and read it back: lineage ends there, so lost executors cost no recomputation, and nothing before it runs twice."""
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

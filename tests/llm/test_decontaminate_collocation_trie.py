@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from passagemill.llm import bytewords, collocation, decontaminate, prefix_trie
@@ -157,6 +158,36 @@ def test_runs_only():
     assert runs() == runs(1) == runs(0, 1, 0) == []
 
 
+def test_rows_of_sequences_are_small_and_lose_no_neighbours(spark):
+    rng = np.random.default_rng(7)
+    short = np.where(rng.random(50_000) < 0.05, 0, rng.integers(1, 40, 50_000))
+    short[::200] = 0
+    long = rng.integers(1, 40, 9_000)
+    pairs = lambda s: Counter((int(a), int(b)) for a, b in zip(s[:-1], s[1:], strict=True) if a and b)
+    rows = [r for b in collocation._as_rows(iter([short])) for r in b.column(0).to_pylist()]
+    assert max(map(len, rows)) <= 8 * (2048 + 200)
+    frame = spark.createDataFrame([(bytearray(r),) for r in [*rows, *(r for b in collocation._as_rows(iter([long])) for r in b.column(0).to_pylist())]], "seq binary").coalesce(1)
+    assert {(r.a, r.b): r.f for r in collocation.pair_counts(frame).collect()} == pairs(short) + pairs(long)
+
+
+def test_collocations_over_many_rows_of_sequences(spark):
+    rng = np.random.default_rng(11)
+    texts = [(" ".join(x + "." * (i % 9 == 0 and j < 3) for i, x in enumerate(rng.choice([f"v{i}" for i in range(4)], 4000).tolist())), "en") for j in range(4)]
+    got = sorted(tuple(r) for r in collocation.collocations(spark.createDataFrame(texts, "text string, lang string").coalesce(1), 8, 5, 5000).collect())
+    assert got == phrases_plainly(texts, 8, 5, 5000)
+    assert any(len(r[2].split()) > 3 for r in got)
+
+
+def test_sequences_are_staged_in_small_row_groups(spark):
+    seq = np.random.default_rng(13).integers(-(1 << 62), 1 << 62, 3 << 20)
+    seq[::50] = 0
+    frame = spark.createDataFrame([(bytearray(s.tobytes()),) for s in np.array_split(seq, 1024)], "seq binary").coalesce(1)
+    staged = collocation._stage_sequences(frame, "test-sequences")
+    (path,) = staged.inputFiles()
+    found = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert found.num_row_groups > 1 and max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 8 << 20
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert collocation.collocations(empty).count() == 0
